@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from . import line_dedup, minhash_dedup, mixing, substring_dedup
+from . import bpe, line_dedup, minhash_dedup, mixing, substring_dedup, toxicity
 
 QUERIES = {
     "op1_substring_dedup": substring_dedup.op1_substring_dedup,
     "op2_minhash_dedup": minhash_dedup.op2_minhash_dedup,
     "op4_mix_sources": mixing.op4_mix_sources,
+    "op5_toxicity": toxicity.op5_toxicity,
+    "op6_bpe": bpe.op6_bpe,
     "op7_line_dedup": line_dedup.op7_line_dedup,
 }
 ORACLE_SQL = {"op4_mix_sources": mixing.ORACLE_SQL}

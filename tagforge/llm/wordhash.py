@@ -70,9 +70,9 @@ def utf8(texts: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
     """The bytes of all texts and the offsets of each; a null is empty."""
     if isinstance(texts, pa.ChunkedArray):
         texts = texts.combine_chunks()
-    if texts.null_count:
-        texts = pc.fill_null(texts, "")
     texts = texts.cast(pa.large_binary())
+    if texts.null_count:
+        texts = pc.fill_null(texts, b"")
     offsets = np.frombuffer(texts.buffers()[1], np.int64)[texts.offset : texts.offset + len(texts) + 1]
     if not len(texts) or texts.buffers()[2] is None:
         return np.zeros(0, np.uint8), np.zeros(len(texts) + 1, np.int64)
