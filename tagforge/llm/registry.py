@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe, line_dedup, minhash_dedup, mixing, substring_dedup, toxicity
+from . import bpe, line_dedup, minhash_dedup, mixing, quality, substring_dedup, toxicity
 
 QUERIES = {
     "op1_substring_dedup": substring_dedup.op1_substring_dedup,
@@ -11,5 +11,6 @@ QUERIES = {
     "op5_toxicity": toxicity.op5_toxicity,
     "op6_bpe": bpe.op6_bpe,
     "op7_line_dedup": line_dedup.op7_line_dedup,
+    "op10_quality_rules": quality.op10_quality_rules,
 }
-ORACLE_SQL = {"op4_mix_sources": mixing.ORACLE_SQL}
+ORACLE_SQL = {"op4_mix_sources": mixing.ORACLE_SQL, "op10_quality_rules": quality.ORACLE_SQL}
