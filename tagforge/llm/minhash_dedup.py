@@ -17,7 +17,8 @@ The chance that a pair at the threshold shares no band is (1 - 0.8**5)**40, abou
 
 Edge cases: null or empty texts have an empty set, are linked with nothing and are kept; fewer
 words than a shingle are one shingle; rows that repeat a doc_id count as one document, whose text
-is the first in order of their hashes; rows with a null doc_id are their own component (null);
+is the least; a row with a null doc_id belongs to the documents with an equal set, or else is kept
+with a null component;
 other columns pass through in `near_dedup` and are ignored in `near_groups`.
 """
 

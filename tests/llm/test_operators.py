@@ -1,0 +1,282 @@
+"""Each operator against plain Python on sf0.001 and on a table of edge cases."""
+
+from __future__ import annotations
+
+import hashlib
+import math
+import random
+import re
+import struct
+
+import brute
+import numpy as np
+import pytest
+from pyspark.sql import Row
+from pyspark.sql import functions as F
+
+import corpus_pipeline
+from tagforge.llm import bpe, components, line_dedup, minhash_dedup, mixing, quality, secrets, substring_dedup, token_counts, topk, toxicity
+
+SF = "/root/testdata/sf0.001"
+SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, kept_text string, ids string, n_tokens string, kept boolean"
+
+
+def edge_rows():
+    rng = random.Random(3)
+    w = lambda n: " ".join(rng.choice(["aa", "bb", "Cc", "dé", "e'll", "12"]) + str(rng.randint(0, 99)) for _ in range(n))
+    long, line = w(20_000), "A line, shared by many documents."
+    passage = w(70)
+    texts = [None, "", " \t\n ", "x", line, f"{line.upper()} \n\n{line}\nend", f"{w(30)} {passage} {w(9)}", f"{passage}\n{w(40)}", long, long + " tail", passage, passage, "same " * 300, "same " * 120, f"\x1c\x85 {w(60)}", "it's we'll  they've\n\n'sun  'll"]
+    rows = [(i, t, "en", f"s{i % 3}" if i % 5 else None, len(t or ""), "k", "i", "n", True) for i, t in enumerate(texts)]
+    rows.append((None, passage, None, None, None, None, None, None, None))
+    return rows + rows[6:7]
+
+
+@pytest.fixture(scope="module")
+def edges(spark):
+    return spark.createDataFrame(edge_rows(), SCHEMA).cache()
+
+
+@pytest.fixture(scope="module")
+def empty(spark):
+    return spark.createDataFrame([], SCHEMA)
+
+
+@pytest.fixture(scope="module")
+def docs(spark):
+    return spark.read.parquet(f"{SF}/documents.parquet")
+
+
+def pairs(df):
+    return [tuple(r) for r in df.select("doc_id", "text").collect()]
+
+
+def same(df, want):
+    key = lambda x: tuple(map(str, x))
+    assert sorted((tuple(r) for r in df.collect()), key=key) == sorted(want, key=key)
+
+
+BIG = 2**63 - 1
+known = lambda rows: [(BIG if d is None else d, t) for d, t in rows]
+back = lambda rows: [(None if r[0] == BIG else r[0], *r[1:]) for r in rows]
+
+
+@pytest.mark.parametrize("table", ["docs", "edges", "empty"])
+def test_op1(table, request):
+    df = request.getfixturevalue(table)
+    out = substring_dedup.substring_dedup(df).select("doc_id", "n_words", "n_removed", F.sha2(F.encode("kept_text", "UTF-8"), 256))
+    same(out, back(brute.substring(known(pairs(df)))))
+
+
+@pytest.mark.parametrize("table", ["docs", "edges", "empty"])
+def test_op2(table, request):
+    df = request.getfixturevalue(table).where("doc_id is not null").dropDuplicates(["doc_id"])
+    same(minhash_dedup.near_groups(df, 4, 80), brute.near(pairs(df)))
+
+
+def test_op2_blocks_and_estimate(spark, monkeypatch):
+    """A chain of copies in which the hub meets few, over blocks of a few texts."""
+    monkeypatch.setattr(minhash_dedup, "BLOCK_SHINGLES", 400)
+    rng = random.Random(5)
+    base = [f"w{i}" for i in range(200)]
+    rows = []
+    for i in range(60):
+        words = list(base)
+        for _ in range(rng.choice([2, 5, 8, 11])):
+            words[rng.randrange(200)] = f"n{rng.randrange(10**6)}"
+        rows.append((i, " ".join(words)))
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    same(minhash_dedup.near_groups(df, 4, 80), brute.near(rows))
+    signs = minhash_dedup.signatures(4)
+    batches = df.toArrow().combine_chunks().to_batches()
+    packed = next(iter(signs(iter(batches)))).column(5)
+    sets = [set(zip(*(t.split()[j:] for j in range(4)), strict=False)) for _, t in rows]
+    est = minhash_dedup.estimate(packed.slice(0, 59), packed.slice(1, 59))
+    true = [len(a & b) / len(a | b) for a, b in zip(sets, sets[1:], strict=False)]
+    assert np.abs(est - true).mean() < 0.05
+
+
+def test_op2_null_ids_and_repeats(edges, empty):
+    out = minhash_dedup.near_groups(edges).collect()
+    assert len(out) == edges.count() and all(r.component_id == 10 and not r.kept for r in out if r.doc_id is None)
+    assert set(minhash_dedup.near_dedup(edges).columns) == set(edges.columns)
+    assert minhash_dedup.near_dedup(empty).count() == 0
+
+
+def test_components(spark):
+    rng = random.Random(1)
+    links = [(rng.randrange(300), rng.randrange(300)) for _ in range(200)] + [(1000 + i, 1001 + i) for i in range(60)] + [(5000, 5001 + i) for i in range(50)]
+    root = {x: x for e in links for x in e}
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for a, b in links:
+        p, q = find(a), find(b)
+        root[max(p, q)] = min(p, q)
+    want = {(x, find(x)) for a, b in links if a != b for x in (a, b)}
+    assert {tuple(r) for r in components.components(spark.createDataFrame(links, "a long, b long")).collect()} == want
+
+
+def test_op3_brute_force(spark):
+    rng = np.random.default_rng(2)
+    rows = [(i, rng.integers(-3, 4, 8).astype(float).tolist()) for i in range(400)]
+    rows += [(400, None), (401, [1.0, None, 2.0] + [0.0] * 5), (402, [float("nan")] * 8), (403, [1.0] * 4), (450, [2.0] * 4), (None, [1.0] * 8), (7, rows[7][1]), (404, [])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").withColumn("score", F.lit("clash"))
+    good = [(i, [math.floor(256 * x) for x in v]) for i, v in rows if i is not None and v and all(x is not None and math.isfinite(x) for x in v)]
+    want = []
+    for q, v in good:
+        if q % 50 == 0:
+            best = sorted((-sum(a * b for a, b in zip(v, x, strict=True)), i) for i, x in good if i != q and len(x) == len(v))[:5]
+            want += [(q, r + 1, i, -s) for r, (s, i) in enumerate(best)]
+    same(topk.top_k(df, lambda v: v % 50 == 0), want)
+    same(topk.top_k(df.limit(0), lambda v: v % 50 == 0), [])
+
+
+def test_op4(edges, empty, docs):
+    for df in (docs, edges):
+        rows = mixing.sampled(df).collect()
+        assert len(rows) == df.count()
+        by_source = {}
+        for r in rows:
+            by_source.setdefault(r.source, []).append(r)
+            assert 0 <= r.copies <= 2
+        total = sum(r.size for r in rows)
+        assert sum(v[0].target for v in by_source.values()) == pytest.approx(1.5 * total)
+        for v in by_source.values():
+            taken = sum(r.size * r.copies for r in v)
+            assert v[0].target <= 2 * v[0].source_size and abs(taken - v[0].target) <= 2 * max(r.size for r in v)
+        assert mixing.mixed(df).columns == df.columns
+        assert mixing.mixed(df).count() == sum(r.copies for r in rows)
+    assert mixing.sampled(empty).count() == mixing.mixed(empty).count() == 0
+
+
+def test_op5(spark, edges, empty):
+    docs, labels = (spark.read.parquet(f"/root/testdata/sf0.1/{t}.parquet") for t in ("documents", "labels"))
+    out = toxicity.op5_toxicity(spark, "/root/testdata/sf0.1").join(labels.groupBy("doc_id").agg(F.max("toxic").alias("toxic")), "doc_id").where("held_out").collect()
+    hit = sum(r.predicted for r in out if r.toxic)
+    assert hit >= 0.9 * sum(r.toxic for r in out)
+    assert sum(r.predicted for r in out if not r.toxic) <= 0.02 * len(out)
+    assert toxicity.scored(edges, labels.limit(0)).count() == edges.count()
+    assert toxicity.scored(empty, labels).count() == 0
+    assert docs.count()
+
+
+def test_op5_folding():
+    assert toxicity.fold("Ѕtup1d, cl0wn!") == " stupid clown "
+    words = toxicity.Lexicon({" clown": 5.0})
+    assert words.strength("a cl​оwn") > 0 and words.strength("a clown fish") == 0 and words.strength(None) == 0
+
+
+@pytest.mark.parametrize("table", ["docs", "edges", "empty"])
+@pytest.mark.parametrize("limit", [bpe.TABLE_BYTES, -1])
+def test_op6(table, limit, request):
+    import public_tokenizers
+    import tiktoken
+
+    df = request.getfixturevalue(table)
+    with open(bpe.ranks_path(), "rb") as f:
+        ranks = bpe.read_ranks(f.read())
+    plain = tiktoken.Encoding("plain", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    out = bpe.decode(bpe.encode(df, bpe.ranks_path(), limit), bpe.ranks_path())
+    want = []
+    for doc, text in pairs(df):
+        ids = plain.encode_ordinary(text or "")
+        want.append((doc, len(ids), struct.pack(f"<{len(ids)}I", *ids), (text or "").encode()))
+    same(out.select("doc_id", "n_tokens", "ids", "decoded"), want)
+    if table == "edges":
+        assert {"in_ids", "in_n_tokens", "kept_text"} <= set(out.columns)
+
+
+@pytest.mark.parametrize("table", ["docs", "edges", "empty"])
+def test_op7(table, request):
+    df = request.getfixturevalue(table)
+    out = line_dedup.line_dedup(df)
+    if table == "edges":
+        assert "in_kept_text" in out.columns
+    same(out.select("doc_id", "n_lines", "n_dropped", F.sha2(F.encode("kept_text", "UTF-8"), 256)), back(brute.lines(known(pairs(df)))))
+
+
+def test_op8(spark, docs, edges, tmp_path):
+    import tiktoken
+
+    plain = tiktoken.Encoding("p", pat_str=r"\S+|\s+", mergeable_ranks=bpe.read_ranks(open(bpe.ranks_path(), "rb").read()), special_tokens={})
+    import public_tokenizers
+
+    plain = tiktoken.Encoding("p", pat_str=public_tokenizers.PATTERN, mergeable_ranks=plain._mergeable_ranks, special_tokens={})
+    want = {}
+    for r in docs.collect():
+        n, t = want.get((r.source, r.lang), (0, 0))
+        want[r.source, r.lang] = (n + 1, t + len(plain.encode_ordinary(r.text or "")))
+    same(token_counts.op8_token_counts(spark, SF), [(*k, token_counts.VERSION, *v) for k, v in want.items()])
+    rollup = token_counts.Rollup(spark, f"file://{tmp_path}/r")
+    assert rollup.totals().count() == 0
+    added = token_counts.inserts(token_counts.estimated(edges))
+    assert rollup.commit("a", added) and not rollup.commit("a", added)
+    (tmp_path / "r" / "broken").mkdir()
+    before = sorted(map(tuple, rollup.totals().collect()), key=str)
+    assert rollup.commit("b", token_counts.deletes(token_counts.estimated(edges))) and rollup.totals().count() == 0
+    assert sum(x[3] for x in before) == edges.count()
+
+
+def test_op9(spark, docs, edges, empty):
+    pattern = re.compile(r"""([Pp][Aa][Ss][Ss][Ww][Oo][Rr][Dd]|[Pp][Aa][Ss][Ss][Ww][Dd]|[Ss][Ee][Cc][Rr][Ee][Tt]|[Tt][Oo][Kk][Ee][Nn]|[Aa][Pp][Ii]_?[Kk][Ee][Yy])["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""")
+    want = []
+    for doc, text in pairs(docs):
+        t = text or ""
+        found = {"assign": [m for m in pattern.finditer(t) if len(m[2]) >= 12], "access": [m for m in re.finditer("AKIA[A-Z0-9]+", t) if len(m[0]) >= 18], "hex": [m for m in re.finditer("[0-9a-f]+", t) if len(m[0]) >= 16]}
+        every = sorted((m.start(), k, m.end(), n) for k, (n, v) in enumerate(found.items()) for m in v)
+        want.append((doc, *(len(v) for v in found.values()), hashlib.sha256(",".join(f"{n}:{a}:{z}" for a, _, z, n in every).encode()).hexdigest()))
+    same(secrets.op9_secret_scan(spark, SF).drop("spans", "n_live"), want)
+    assert secrets.secrets(edges).count() == edges.count() and secrets.secrets(empty).count() == 0
+    own, wide = "token = 'Zq81kPLmx02vQrT9'", "secret: 4f1Lmx02vQrT9zzQ1"
+    rows = [(i, f"{wide} {own}" if i == 0 else wide, f"o{i % 4}") for i in range(8)]
+    out = {r.doc_id: r.spans for r in secrets.secrets(spark.createDataFrame(rows, "doc_id long, text string, source string")).collect()}
+    assert [(s.owners, s.repositories, s.live) for s in out[0]] == [(4, 8, False), (1, 1, True)]
+
+
+def base_rules(text):
+    w = brute.words(text)
+    grams = {}
+    for i in range(len(w) - 7):
+        grams.setdefault(tuple(w[i : i + 8]), []).append(i)
+    again = {i + j for v in grams.values() if len(v) > 1 for i in v for j in range(8)}
+    lines = [x for x in (text or "").split("\n") if brute.words(x)]
+    return len(w), sum(map(len, w)), sum(c in "#*$%&|<>" for c in text or ""), len(lines) - len(set(lines)), len(again), len(w) < 20 or 100 * len(again) > 30 * len(w)
+
+
+@pytest.mark.parametrize("table", ["docs", "edges", "empty"])
+def test_op10(table, request):
+    df = request.getfixturevalue(table)
+    out = quality.judged(df)
+    same(out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed"), [(d, *base_rules(t)) for d, t in pairs(df)])
+    assert out.where("kept and base_failed").count() == 0
+
+
+def test_op10_lines(spark):
+    junk = ["a | b | c | d", "ALL OF THESE WORDS ARE SHOUTED HERE", "go!! to!! the!! shop!!", "the " * 12, "1 2 3 4", "All rights reserved."]
+    fine = ["A plain sentence of some words.", "Of.", "", "He said 12 things & left!"]
+    out = spark.createDataFrame([Row(x=x) for x in junk + fine]).select(quality.line_fails(F.col("x")).alias("f")).collect()
+    assert [r.f for r in out] == [True] * len(junk) + [False] * len(fine)
+
+
+def test_pipeline(spark, docs, edges):
+    """Stage by stage: what a stage drops follows from brute force over what it was given."""
+    held = docs
+    for name, stage in corpus_pipeline.STAGES:
+        before, held = held, stage(spark, held, SF).cache()
+        rows = {r.doc_id: r for r in before.collect()}
+        after = held.collect()
+        if name != "bpe":
+            assert held.columns == docs.columns
+        if name == "line_dedup":
+            want = {d: h for d, _, _, h in brute.lines([(r.doc_id, r.text) for r in rows.values()])}
+            assert {r.doc_id: brute.sha(r.text) for r in after} == want
+        if name == "near_dedup":
+            assert {r.doc_id for r in after} == {d for d, _, _, kept in brute.near([(r.doc_id, r.text) for r in rows.values()], 5) if kept}
+        if name == "bpe":
+            assert sorted((r.doc_id, r.text) for r in after) == sorted((r.doc_id, r.text) for r in before.collect())
+    for _, stage in corpus_pipeline.STAGES:
+        assert stage(spark, edges, SF).count() > 0
