@@ -5,13 +5,15 @@ that stand for letters (when a letter follows), invisible characters away, every
 non-letters one space.  Entries are word starts or whole words; a hit inside an exception phrase
 doesn't count.
 
-Entries and weights are learned: the document frequency of word starts and words in toxic and in
-other labelled documents gives a smoothed log-odds weight; entries under `LEAST_WEIGHT`, or found
-in fewer toxic documents than `LEAST_DOCS` and `LEAST_SHARE` of them, are left out, as are those
-that only lengthen another of about its weight.  Equal texts count once.  The sum of hits is damped by length, sum / sqrt(1 + words / `NORM_WORDS`), and one
-logistic curve over its logarithm turns it into a score.  The fit takes at most about `FIT_ROWS`
-labelled rows, chosen by a hash of doc_id, so its cost and the lexicon are bounded; scores cover
-every whole text.
+Entries and weights are learned from how often word starts and words occur, a word, in toxic and in
+other labelled documents: an entry's weight is the smoothed log of the two rates' ratio.  Candidates
+occur in `LEAST_DOCS` toxic documents and `LEAST_SHARE` of them, with a weight of `LEAST_WEIGHT` or
+more.  Of nested ones the longer stays if it is clearly purer or about as frequent, and the shorter
+is weighed by what is left.  Equal texts count once.  Each word counts by its longest entry.  The sum
+of hits and its density (the sum a hundred words) are put on a logarithmic scale, and one logistic
+curve over both gives the score, so a chance hit in a long text weighs little.  The fit takes at
+most about `FIT_ROWS` labelled rows, chosen by a hash of doc_id, so its cost and the lexicon are
+bounded; scores cover every whole text.
 
 Edge cases: rows labelled twice count as toxic if any label says so; null labels are no labels;
 without toxic or without other labels the lexicon is empty and all scores are the prior; null and empty
@@ -35,8 +37,7 @@ from .staging import read_table, ship_code
 
 FIT_ROWS = 20_000
 MAX_ENTRIES = 5_000
-LEAST_DOCS, LEAST_SHARE, LEAST_WEIGHT = 4, 0.01, 3.5
-NORM_WORDS = 5_000
+LEAST_DOCS, LEAST_SHARE, LEAST_WEIGHT = 6, 0.02, 2.5
 THRESHOLD = 0.3
 STARTS = (3, 4, 5, 6, 7)
 #: Phrases in which an entry is harmless.
@@ -67,28 +68,37 @@ def fold(text: str | None) -> str:
     return f" {_GAP.sub(' ', text).strip()} "
 
 
-def entries_of(folded: str) -> set[str]:
-    """Word starts (a space before) and whole words (a space at both ends)."""
-    words = set(folded.split())
-    out = {f" {w} " for w in words if len(w) <= 24}
-    for n in STARTS:
-        out |= {f" {w[:n]}" for w in words if len(w) >= n}
+def entries_of(folded: str) -> Counter:
+    """Counts of word starts (a space before) and whole words (a space at both ends)."""
+    out: Counter = Counter()
+    for w, n in Counter(folded.split()).items():
+        if len(w) <= 24:
+            out[f" {w} "] += n
+        for k in STARTS:
+            if len(w) >= k:
+                out[f" {w[:k]}"] += n
     return out
 
 
 def count_entries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    held: dict[bool, Counter] = {True: Counter(), False: Counter()}
+    """entry, toxic, occurrences, documents; the empty entry counts all words."""
+    held: dict[bool, tuple[Counter, Counter]] = {True: (Counter(), Counter()), False: (Counter(), Counter())}
 
     def flush() -> Iterator[pa.RecordBatch]:
-        for toxic, counts in held.items():
-            if counts:
-                yield pa.RecordBatch.from_pydict({"entry": list(counts), "toxic": [toxic] * len(counts), "n": list(counts.values())})
-                counts.clear()
+        for toxic, (n, docs) in held.items():
+            if n:
+                yield pa.RecordBatch.from_pydict({"entry": list(n), "toxic": [toxic] * len(n), "n": list(n.values()), "docs": [docs[e] for e in n]})
+                n.clear()
+                docs.clear()
 
     for batch in batches:
         for text, toxic in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-            held[toxic].update(entries_of(fold(text)))
-            if sum(map(len, held.values())) > 400_000:
+            folded = fold(text)
+            found = entries_of(folded)
+            found[""] = len(folded.split())
+            held[toxic][0].update(found)
+            held[toxic][1].update(found.keys())
+            if sum(len(n) for n, _ in held.values()) > 400_000:
                 yield from flush()
     yield from flush()
 
@@ -108,55 +118,63 @@ class Lexicon:
         if weights:
             self.automaton.make_automaton()
 
-    def strength(self, text: str | None) -> float:
-        """The damped sum of hits, the best entry of each word only."""
+    def features(self, text: str | None) -> tuple[float, float]:
+        """Logarithms of the sum of hits, the longest entry of each word only, and of its density."""
         if self.empty or not text:
-            return 0.0
+            return 0.0, 0.0
         folded = fold(text)
-        best: dict[int, float] = {}
+        best: dict[int, tuple[int, float]] = {}
         excused: list[tuple[int, int]] = []
         for end, (size, weight) in self.automaton.iter(folded):
             begin = end - size + 1
             if weight is None:
                 excused.append((begin, end))
             else:
-                best[begin] = max(best.get(begin, 0.0), weight)
-        total = sum(w for at, w in best.items() if not any(a <= at < z for a, z in excused))
-        return total / math.sqrt(1 + folded.count(" ") / NORM_WORDS)
-
-
-def _feature(strength: float) -> float:
-    return math.log1p(strength)
+                best[begin] = max(best.get(begin, (0, 0.0)), (size, weight))
+        total = sum(w for at, (_, w) in best.items() if not any(a <= at < z for a, z in excused))
+        return math.log1p(total), math.log1p(100 * total / max(folded.count(" ") - 1, 1))
 
 
 def strengths(weights: dict[str, float]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lexicon = Lexicon(weights)
-        for batch in batches:
-            yield pa.RecordBatch.from_arrays([pa.array([_feature(lexicon.strength(t)) for t in batch.column(0).to_pylist()], pa.float64()), batch.column(1)], names=["x", "toxic"])
+        for batch in filter(len, batches):
+            yield pa.RecordBatch.from_arrays([*(pa.array(x, pa.float64()) for x in zip(*map(lexicon.features, batch.column(0).to_pylist()), strict=True)), batch.column(1)], names=["total", "density", "toxic"])
 
     return run
 
 
-def choose(counts: list[tuple[str, int, int]], n_toxic: int, n_other: int) -> dict[str, float]:
-    """counts: (entry, toxic documents, other documents) -> weight of each entry worth keeping."""
-    weigh = lambda t, c: math.log((t + 0.5) / (n_toxic + 1)) - math.log((c + 0.5) / (n_other + 1))
-    ranked = sorted((len(e), e, weigh(t, c), t) for e, t, c in counts)
-    kept: dict[str, tuple[float, int]] = {}
-    for _, entry, weight, seen in ranked:
-        starts = [kept[entry[:n]] for n in range(2, len(entry)) if entry[:n] in kept]
-        if not any(w >= weight - 0.5 and n >= seen for w, n in starts):
-            kept[entry] = (weight, seen)
-    top = sorted(kept.items(), key=lambda x: (-x[1][0] * x[1][1], x[0]))[:MAX_ENTRIES]
-    return {e: w for e, (w, _) in top}
-
-
-def logistic(x: np.ndarray, y: np.ndarray) -> tuple[float, float]:
-    """Intercept and slope of a ridge-regularised logistic curve, by Newton steps that must gain."""
+def choose(counts: list[tuple[str, int, int]], toxic_words: int, other_words: int, least: float) -> dict[str, float]:
+    """counts: (entry, occurrences in toxic documents, in others) -> weight of each entry worth keeping."""
+    weigh = lambda t, c: math.log((t + 0.5) / (toxic_words + 1)) - math.log((c + 0.5) / (other_words + 1))
+    kept: dict[str, tuple[int, int]] = {}
+    above: dict[str, str | None] = {}
+    for entry, t, c in sorted(counts, key=lambda x: (len(x[0]), x[0])):
+        over = max((entry[:n] for n in range(2, len(entry)) if entry[:n] in kept), key=len, default=None)
+        if over is not None:
+            by_chance = t * (kept[over][1] + 0.5) / (kept[over][0] + 0.5)
+            purer = by_chance >= 4 and c <= by_chance / 4
+            if not purer and (entry.endswith(" ") or t < 0.95 * kept[over][0]):
+                continue
+        kept[entry], above[entry] = (t, c), over
+    left = dict(kept)
+    for entry, over in above.items():
+        if over is not None:
+            left[over] = (left[over][0] - kept[entry][0], left[over][1] - kept[entry][1])
+    # what a longer entry leaves of a shorter one is weighed alone
+    weights = {e: (weigh(t, max(c, 0)), t) for e, (t, c) in left.items() if t >= least and t >= 0.05 * kept[e][0]}
+    top = sorted(((e, w, t) for e, (w, t) in weights.items() if w >= LEAST_WEIGHT), key=lambda x: (-x[1] * x[2], x[0]))[:MAX_ENTRIES]
+    return {e: w for e, w, _ in top}
+
+
+def logistic(x: np.ndarray, y: np.ndarray) -> list[float]:
+    """Intercept and slopes of a ridge-regularised logistic curve, by Newton steps that must gain."""
     prior = (y.sum() + 0.5) / (len(y) + 1)
-    beta = np.array([math.log(prior / (1 - prior)), 0.0])
-    design = np.stack([np.ones_like(x), x], 1)
-    ridge = np.array([0.01, 0.1])
+    design = np.column_stack([np.ones(len(x)), x])
+    beta = np.zeros(design.shape[1])
+    beta[0] = math.log(prior / (1 - prior))
+    ridge = np.full(len(beta), 0.1)
+    ridge[0] = 0.01
 
     def loss(v: np.ndarray) -> float:
         z = design @ v
@@ -172,15 +190,15 @@ def logistic(x: np.ndarray, y: np.ndarray) -> tuple[float, float]:
         beta = beta + size * step
         if np.abs(size * step).max() < 1e-8 or size <= 1e-6:
             break
-    return float(beta[0]), float(beta[1])
+    return beta.tolist()
 
 
 def held_out(doc_id) -> F.Column:
     return F.coalesce(F.crc32(doc_id.cast("string")) % 4 == 2, F.lit(False))
 
 
-def fit(docs: DataFrame, labels: DataFrame) -> tuple[dict[str, float], float, float]:
-    """Entry weights, intercept and slope from labelled rows that aren't held out."""
+def fit(docs: DataFrame, labels: DataFrame) -> tuple[dict[str, float], list[float]]:
+    """Entry weights, intercept and slopes from labelled rows that aren't held out."""
     known = labels.where("doc_id is not null and toxic is not null").where(~held_out(F.col("doc_id")))
     known = known.groupBy(F.col("doc_id").cast("long").alias("label_id")).agg((F.max("toxic") > 0).alias("toxic"))
     n = known.count()
@@ -190,25 +208,29 @@ def fit(docs: DataFrame, labels: DataFrame) -> tuple[dict[str, float], float, fl
     sizes = {r["toxic"]: r["n"] for r in rows.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
     n_toxic, n_other = sizes.get(True, 0), sizes.get(False, 0)
     if not n_toxic or not n_other:
-        return {}, math.log((n_toxic + 0.5) / (n_other + n_toxic + 9.5)), 0.0
-    counts = rows.mapInArrow(count_entries, "entry string, toxic boolean, n long")
-    table = counts.groupBy("entry").agg(F.sum(F.when(F.col("toxic"), F.col("n")).otherwise(0)).alias("t"), F.sum(F.when(F.col("toxic"), 0).otherwise(F.col("n"))).alias("c"))
-    ratio = math.exp(LEAST_WEIGHT) * (n_toxic + 1) / (n_other + 1)
-    strong = table.where((F.col("t") >= max(LEAST_DOCS, LEAST_SHARE * n_toxic)) & (F.col("t") + 0.5 >= (F.col("c") + 0.5) * ratio))
+        return {}, [math.log((n_toxic + 0.5) / (n_other + n_toxic + 9.5)), 0.0, 0.0]
+    counts = rows.mapInArrow(count_entries, "entry string, toxic boolean, n long, docs long")
+    either = lambda toxic, what: F.sum(F.when(F.col("toxic") == toxic, F.col(what)).otherwise(0))
+    table = counts.groupBy("entry").agg(either(True, "n").alias("t"), either(False, "n").alias("c"), either(True, "docs").alias("docs")).persist()
+    words = table.where("entry = ''").first()
+    ratio = math.exp(LEAST_WEIGHT) * (words["t"] + 1) / (words["c"] + 1)
+    least = max(LEAST_DOCS, LEAST_SHARE * n_toxic)
+    strong = table.where((F.col("docs") >= least) & (F.col("t") + 0.5 >= (F.col("c") + 0.5) * ratio) & (F.col("entry") != ""))
     top = strong.orderBy(F.desc("t"), "entry").limit(20 * MAX_ENTRIES)
-    weights = choose([tuple(r) for r in top.collect()], n_toxic, n_other)
-    seen = rows.mapInArrow(strengths(weights), "x double, toxic boolean").toPandas()  # FIT_ROWS at most
-    slope = logistic(seen["x"].to_numpy(float), seen["toxic"].to_numpy(float))
-    return weights, *slope
+    weights = choose([(r["entry"], r["t"], r["c"]) for r in top.collect()], words["t"], words["c"], least)
+    table.unpersist()
+    seen = rows.mapInArrow(strengths(weights), "total double, density double, toxic boolean").toPandas()  # FIT_ROWS at most
+    return weights, logistic(seen[["total", "density"]].to_numpy(float), seen["toxic"].to_numpy(float))
 
 
-def score_rows(weights: dict[str, float], intercept: float, slope: float):
+def score_rows(weights: dict[str, float], curve: list[float]):
     """Adds the score as a last column; the first column is the text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lexicon = Lexicon(weights)
         for batch in batches:
-            score = [1 / (1 + math.exp(-max(-30.0, min(30.0, intercept + slope * _feature(lexicon.strength(t)))))) for t in batch.column(0).to_pylist()]
+            logits = (curve[0] + sum(b * x for b, x in zip(curve[1:], lexicon.features(t), strict=True)) for t in batch.column(0).to_pylist())
+            score = [1 / (1 + math.exp(-max(-30.0, min(30.0, z)))) for z in logits]
             yield pa.RecordBatch.from_arrays([*batch.columns[1:], pa.array(score, pa.float64())], names=[*batch.schema.names[1:], "toxicity"])
 
     return run
@@ -217,11 +239,11 @@ def score_rows(weights: dict[str, float], intercept: float, slope: float):
 def scored(docs: DataFrame, labels: DataFrame, columns: list[str] | None = None) -> DataFrame:
     """Input columns (all, or those named) and toxicity, a score from 0 to 1."""
     ship_code(docs.sparkSession)
-    weights, intercept, slope = fit(docs, labels)
+    weights, curve = fit(docs, labels)
     own = [c for c in (docs.columns if columns is None else columns) if c != "toxicity"]
     rows = docs.select(F.col("text").cast("string").alias("__text"), *(F.col(f"`{c}`") for c in own))
     schema = "".join(f"`{c}` {rows.schema[c].dataType.simpleString()}, " for c in own) + "toxicity double"
-    return rows.mapInArrow(score_rows(weights, intercept, slope), schema)
+    return rows.mapInArrow(score_rows(weights, curve), schema)
 
 
 def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -167,7 +167,9 @@ def test_op5(spark, edges, empty):
 def test_op5_folding():
     assert toxicity.fold("Ѕtup1d, cl0wn!") == " stupid clown "
     words = toxicity.Lexicon({" clown": 5.0})
-    assert words.strength("a cl​оwn") > 0 and words.strength("a clown fish") == 0 and words.strength(None) == 0
+    assert words.features("a cl​оwn")[0] > 0 and words.features("a clown fish") == words.features(None) == (0, 0)
+    short, long = words.features("a clown"), words.features("a clown " + "word " * 500)
+    assert short[0] == long[0] and short[1] > long[1]
 
 
 @pytest.mark.parametrize("table", ["docs", "edges", "empty"])
