@@ -202,6 +202,7 @@ def substring_dedup(docs: DataFrame, window: int = WINDOW) -> DataFrame:
 
     edges = rows.mapInArrow(edges_of(window), "doc long, seq long, edge long, next int, prev int")
     stats = edges.groupBy("edge").agg(F.min("doc").alias("source"), F.max("doc").alias("last"), F.min("next").alias("n0"), F.max("next").alias("n1"), F.min("prev").alias("p0"), F.max("prev").alias("p1")).where("source < last")
+    stats = staged(stats, "op1-stats")  # of repeated edges only; joined from an exchange of its own, so that a hot edge can be split
     repeated = edges.select("doc", "seq", "edge").join(copies, ["doc", "seq"], "left_anti").join(stats, "edge")
     found = repeated.groupBy("doc", "seq").agg(F.collect_set(F.struct("edge", "source", F.expr("n0 = n1").alias("ahead"), F.expr("p0 = p1").alias("back"))).alias("edges"))
     found = staged(found, "op1-edges")
