@@ -151,17 +151,29 @@ def _gather(flat: np.ndarray, at: np.ndarray, which: np.ndarray) -> tuple[np.nda
 
 
 class Table:
-    """Ids of words by key."""
+    """Ids of words by key, in order of the signed keys."""
 
-    def __init__(self, key: np.ndarray, ids: pa.Array) -> None:
+    def __init__(self, key: np.ndarray, at: np.ndarray, ids: np.ndarray) -> None:
+        self.key, self.at, self.ids = key, at, ids
+
+    @classmethod
+    def of(cls, key: np.ndarray, ids: pa.Array) -> Table:
         order = np.argsort(key)
         data, at = utf8(ids.cast(pa.large_binary()))
         flat, at = _gather(data.view("<u4"), at // 4, order)
-        self.key, self.ids, self.at = key[order], flat.astype(np.uint32), at
+        return cls(key[order], at, flat)
+
+    @classmethod
+    def unpacked(cls, packs: list[tuple[bytes, bytes, bytes]]) -> Table:
+        join = lambda i, kind: np.frombuffer(b"".join(p[i] for p in packs), kind)
+        at = np.zeros(sum(len(p[1]) for p in packs) // 4 + 1, np.int64)
+        np.cumsum(join(1, "<u4"), out=at[1:])
+        ids = join(2, "<u2" if sum(len(p[2]) for p in packs) == 2 * at[-1] else "<u4")
+        return cls(join(0, "<i8"), at, ids)
 
     def encode(self, texts) -> pa.Array:
         data, at, doc = pre_tokens(texts)
-        key = keys_of(data, at)
+        key = signed(keys_of(data, at))
         where = np.minimum(np.searchsorted(self.key, key), max(len(self.key) - 1, 0))
         if len(key) and not (self.key[where] == key).all():
             raise ValueError("a word is missing from the table")
@@ -169,6 +181,18 @@ class Table:
         return _binary(ids.astype("<u4").view(np.uint8), end[doc] * 4)
 
 
+def pack_table(kind: str):
+    """Rows of keys, numbers of ids, and ids, as bytes: a few large values in place of many rows."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in filter(len, batches):
+            data, at = utf8(batch.column(1))
+            one = lambda x: pa.array([x.tobytes()], pa.binary())
+            yield pa.RecordBatch.from_arrays([one(batch.column(0).to_numpy()), one((np.diff(at) // 4).astype("<u4")), one(data.view("<u4").astype(kind))], names=["key", "n", "ids"])
+
+    return run
+
+
 def _with_ids(batch: pa.RecordBatch, ids: pa.Array) -> pa.RecordBatch:
     n = np.diff(np.frombuffer(ids.buffers()[1], np.int32)[: len(ids) + 1]) // 4
     return pa.RecordBatch.from_arrays([*batch.columns[1:], pa.array(n.astype(np.int64)), ids], names=[*batch.schema.names[1:], "n_tokens", "ids"])
@@ -178,7 +202,7 @@ def encode_by(table):
     """Rows (text first) with the broadcast table."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = table.value
+        own = Table.unpacked(table.value)
         for batch in pieces(batches, "__text"):
             yield _with_ids(batch, own.encode(batch.column(0)))
 
@@ -188,7 +212,7 @@ def encode_by(table):
 
 def encode_chunk(texts: pa.Table, words: pa.Table) -> pa.Table:
     texts = texts.drop_columns(["__chunk"]).combine_chunks()
-    table = Table(words["key"].to_numpy().view(U64), words["ids"].combine_chunks() if words.num_rows else pa.array([], pa.binary()))
+    table = Table.of(words["key"].to_numpy(), words["ids"].combine_chunks() if words.num_rows else pa.array([], pa.binary()))
     return pa.Table.from_batches([_with_ids(b, table.encode(b.column(0))) for b in pieces(texts.to_batches(), "__text")])
 
 
@@ -223,9 +247,10 @@ def encode(docs: DataFrame, ranks_file: str, table_bytes: int = TABLE_BYTES) ->
     schema = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in rows.schema if f.name != "__text") + "n_tokens long, ids binary"
     size = table.agg(F.sum(F.octet_length("ids") + 16)).first()[0] or 0
     if size <= table_bytes:
-        held = table.toArrow().combine_chunks()
-        ids = held["ids"].combine_chunks() if held.num_rows else pa.array([], pa.binary())
-        return rows.mapInArrow(encode_by(spark.sparkContext.broadcast(Table(held["key"].to_numpy().view(U64), ids))), schema)
+        kind = "<u2" if len(read_ranks(ranks.value)) <= 1 << 16 else "<u4"
+        packs = table.repartitionByRange(8, "key").sortWithinPartitions("key").mapInArrow(pack_table(kind), "key binary, n binary, ids binary")
+        held = spark.sparkContext.broadcast([tuple(map(bytes, r)) for r in packs.toLocalIterator()])  # bounded by table_bytes
+        return rows.mapInArrow(encode_by(held), schema)
     text_bytes = rows.agg(F.sum(F.octet_length("__text"))).first()[0] or 0
     chunks = int(text_bytes // CHUNK_TEXT + 1)
     dealt = rows.withColumn("__chunk", F.pmod(F.xxhash64("__text"), F.lit(chunks)).cast("int")).select("__chunk", *rows.columns)
