@@ -33,12 +33,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .staging import read_table, ship_code
+from .staging import read_table, ship_code, staged
+from .wordhash import pieces
 
 FIT_ROWS = 20_000
 MAX_ENTRIES = 5_000
 LEAST_DOCS, LEAST_SHARE, LEAST_WEIGHT = 6, 0.02, 2.5
 THRESHOLD = 0.3
+#: Entries that a task counts before it hands them on.
+HELD_ENTRIES = 100_000
 STARTS = (3, 4, 5, 6, 7)
 #: Phrases in which an entry is harmless.
 EXCEPTIONS = ("trash can", "trash bin", "clown fish", "class clown")
@@ -91,14 +94,14 @@ def count_entries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
                 n.clear()
                 docs.clear()
 
-    for batch in batches:
+    for batch in pieces(batches):
         for text, toxic in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
             folded = fold(text)
             found = entries_of(folded)
             found[""] = len(folded.split())
             held[toxic][0].update(found)
             held[toxic][1].update(found.keys())
-            if sum(len(n) for n, _ in held.values()) > 400_000:
+            if sum(len(n) for n, _ in held.values()) > HELD_ENTRIES:
                 yield from flush()
     yield from flush()
 
@@ -138,7 +141,7 @@ class Lexicon:
 def strengths(weights: dict[str, float]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lexicon = Lexicon(weights)
-        for batch in filter(len, batches):
+        for batch in pieces(batches):
             yield pa.RecordBatch.from_arrays([*(pa.array(x, pa.float64()) for x in zip(*map(lexicon.features, batch.column(0).to_pylist()), strict=True)), batch.column(1)], names=["total", "density", "toxic"])
 
     return run
@@ -211,14 +214,14 @@ def fit(docs: DataFrame, labels: DataFrame) -> tuple[dict[str, float], list[floa
         return {}, [math.log((n_toxic + 0.5) / (n_other + n_toxic + 9.5)), 0.0, 0.0]
     counts = rows.mapInArrow(count_entries, "entry string, toxic boolean, n long, docs long")
     either = lambda toxic, what: F.sum(F.when(F.col("toxic") == toxic, F.col(what)).otherwise(0))
-    table = counts.groupBy("entry").agg(either(True, "n").alias("t"), either(False, "n").alias("c"), either(True, "docs").alias("docs")).persist()
+    table = counts.groupBy("entry").agg(either(True, "n").alias("t"), either(False, "n").alias("c"), either(True, "docs").alias("docs"))
+    least = max(LEAST_DOCS, LEAST_SHARE * n_toxic)
+    table = staged(table.where((F.col("docs") >= least) | (F.col("entry") == "")), "op5-entries")
     words = table.where("entry = ''").first()
     ratio = math.exp(LEAST_WEIGHT) * (words["t"] + 1) / (words["c"] + 1)
-    least = max(LEAST_DOCS, LEAST_SHARE * n_toxic)
-    strong = table.where((F.col("docs") >= least) & (F.col("t") + 0.5 >= (F.col("c") + 0.5) * ratio) & (F.col("entry") != ""))
+    strong = table.where((F.col("t") + 0.5 >= (F.col("c") + 0.5) * ratio) & (F.col("entry") != ""))
     top = strong.orderBy(F.desc("t"), "entry").limit(20 * MAX_ENTRIES)
     weights = choose([(r["entry"], r["t"], r["c"]) for r in top.collect()], words["t"], words["c"], least)
-    table.unpersist()
     seen = rows.mapInArrow(strengths(weights), "total double, density double, toxic boolean").toPandas()  # FIT_ROWS at most
     return weights, logistic(seen[["total", "density"]].to_numpy(float), seen["toxic"].to_numpy(float))
 
@@ -228,7 +231,7 @@ def score_rows(weights: dict[str, float], curve: list[float]):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lexicon = Lexicon(weights)
-        for batch in batches:
+        for batch in pieces(batches, "__text"):
             logits = (curve[0] + sum(b * x for b, x in zip(curve[1:], lexicon.features(t), strict=True)) for t in batch.column(0).to_pylist())
             score = [1 / (1 + math.exp(-max(-30.0, min(30.0, z)))) for z in logits]
             yield pa.RecordBatch.from_arrays([*batch.columns[1:], pa.array(score, pa.float64())], names=[*batch.schema.names[1:], "toxicity"])
