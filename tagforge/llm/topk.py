@@ -33,6 +33,8 @@ from .staging import read_table, ship_code, staged
 LEVELS = (1, 4, 16)
 BLOCK = 4096
 SCALE = 256
+#: Distinct vector lengths up to which their block counts are broadcast.
+MAX_LENGTHS = 10_000
 
 
 def integers(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -102,23 +104,34 @@ def search(k: int):
     return run
 
 
-def blocks(vectors: DataFrame, names: tuple[str, str, str]) -> DataFrame:
-    """Rows dealt into blocks of about BLOCK of one length: dim, block number, ids, values."""
+def block_counts(vectors: DataFrame) -> DataFrame:
+    """dim, n: the blocks into which the rows of one length go; broadcast only while few lengths occur."""
+    counts = staged(vectors.groupBy("dim").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("n")), "op3-counts")
+    return F.broadcast(counts) if counts.count() <= MAX_LENGTHS else counts
+
+
+def blocks(vectors: DataFrame, counts: DataFrame, names: tuple[str, str, str]) -> DataFrame:
+    """Rows dealt into blocks of about BLOCK of one length: dim, block number, ids, values; repeated rows are dealt apart."""
     block, ids, values = names
-    counts = vectors.groupBy("dim").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("n"))
-    dealt = vectors.join(F.broadcast(counts), "dim").withColumn(block, F.pmod(F.xxhash64("vec_id", "value"), "n").cast("int"))
+    dealt = vectors.join(counts, "dim").withColumn(block, F.pmod(F.xxhash64("vec_id", F.monotonically_increasing_id()), "n").cast("int"))
     return dealt.groupBy("dim", block).agg(F.collect_list(F.struct("vec_id", "value")).alias("rows")).select("dim", block, F.col("rows.vec_id").alias(ids), F.col("rows.value").alias(values))
 
 
+def block_pairs(vectors: DataFrame, is_query) -> DataFrame:
+    """Every query block with every block of its length, joined on both block numbers so that no length is one task."""
+    asked = vectors.where(is_query(F.col("vec_id")))
+    n_asked, n_all = block_counts(asked), block_counts(vectors)
+    each = lambda n: F.explode(F.expr(f"sequence(0, {n} - 1)"))
+    queries = blocks(asked, n_asked, ("q_block", "q_ids", "q_values")).join(n_all, "dim").withColumn("block", each("n")).drop("n")
+    rows = blocks(vectors, n_all, ("block", "ids", "values")).join(n_asked, "dim").withColumn("q_block", each("n")).drop("n")
+    return queries.join(rows, ["dim", "q_block", "block"]).select("dim", "q_ids", "q_values", "ids", "values")
+
+
 def top_k(table: DataFrame, is_query, k: int = 5) -> DataFrame:
     """query_id, rank, vec_id, score for the rows that is_query holds for, against all rows."""
     ship_code(table.sparkSession)
     vectors = staged(table.select(F.col("vec_id").cast("long").alias("vec_id"), "embedding").mapInArrow(integers, "vec_id long, dim int, value binary"), "op3-vectors")
-    queries = blocks(vectors.where(is_query(F.col("vec_id"))), ("q_block", "q_ids", "q_values"))
-    rows = blocks(vectors, ("block", "ids", "values"))
-    pairs = queries.join(rows, "dim").select("dim", "q_ids", "q_values", "ids", "values")
-    n = table.sparkSession.sparkContext.defaultParallelism
-    found = pairs.repartition(4 * n).mapInArrow(search(k), "query_id long, vec_id long, score long")
+    found = block_pairs(vectors, is_query).mapInArrow(search(k), "query_id long, vec_id long, score long")
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
