@@ -2,14 +2,17 @@
 
 One pass finds candidates in every whole text: the base kinds assign, access and hex, and wider
 ones (`token`: 24 or more characters of a key alphabet with both cases and digits and at least
-`MIN_BITS` bits of entropy a character, outside base spans; `pem`: a private key block's header).
+`MIN_BITS` bits of entropy a character, outside base spans; `pem`: a private key block's header,
+whose value is the key's body, so that keys of one type are told apart).
 Hashes of the candidates' values are then counted over the corpus by distinct documents
 (repositories) and distinct sources (owners).  A value that `WIDE_OWNERS` owners or more hold, or
-that looks like a placeholder, is a copied example; one of few owners is live-looking.  Base spans
-always stay; wider spans are reported only while live-looking.  Text is never shuffled, only
-spans with hashes; counting combines before the shuffle, and hot values meet in splittable joins.
+that looks like a placeholder (not asked of `pem`: encoded keys hold runs), is a copied example; one
+of few owners is live-looking.  Base spans always stay; wider spans are reported only while
+live-looking.  Text is never shuffled, only spans with hashes; counting combines before the
+shuffle, and hot values meet in splittable joins.
 
-Edge cases: a null or empty text has no spans; a null source is one owner of its own; equal spans of
+Edge cases: a header without a body is a value of its document alone (of its text if doc_id is
+null); a null or empty text has no spans; a null source is one owner of its own; equal spans of
 different kinds are all kept; rows that repeat a doc_id are scanned row by row and told apart by their
 spans; other columns of the input are ignored.
 """
@@ -36,6 +39,10 @@ ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"[0-9a-f]{16,}")
 TOKEN = re.compile(r"[A-Za-z0-9+/_=-]{24,}")
 PEM = re.compile(r"-----BEGIN (?:[A-Z]+ )*PRIVATE KEY-----")
+#: After a header: fields such as Proc-Type; then, where the footer is missing, the lines of base64. Line ends may be escaped.
+FIELDS = re.compile(r"(?:(?:\s|\\[nr])*+[A-Za-z][A-Za-z-]*+:\x20*+[^\s\\]*+)*+")
+LINES = re.compile(r"(?:(?:\s|\\[nr])*+[A-Za-z0-9+/]{16,}+={0,2}+)*+")
+NOT_KEY = re.compile(r"\\[nr]|[^A-Za-z0-9+/=]")
 EXAMPLE = re.compile(r"example|placeholder|changeme|your_|xxxx|(.)\1{7}", re.IGNORECASE)
 SPANS = "array<struct<kind:int,start:int,end:int,value:long,example:boolean>>"
 
@@ -53,7 +60,16 @@ def base_spans(text: str) -> list[tuple[int, int, int, str]]:
     return out + [(2, m.start(), m.end(), m[0]) for m in HEX.finditer(text)]
 
 
-def wider_spans(text: str, base: list[tuple[int, int, int, str]]) -> list[tuple[int, int, int, str]]:
+def key_body(text: str, at: int) -> str:
+    """The base64 characters of the private key whose header ends at `at`."""
+    at = FIELDS.match(text, at).end()
+    end = text.find("-----", at)
+    if end < 0 or not text.startswith("-----END ", end):
+        end = LINES.match(text, at).end()
+    return NOT_KEY.sub("", text[at:end])
+
+
+def wider_spans(text: str, base: list[tuple[int, int, int, str]], doc: int | None = None) -> list[tuple[int, int, int, str]]:
     out = []
     for m in TOKEN.finditer(text):
         x = m[0]
@@ -62,17 +78,17 @@ def wider_spans(text: str, base: list[tuple[int, int, int, str]]) -> list[tuple[
         if any(map(str.isdigit, x)) and x.lower() != x and x.upper() != x and entropy(x) >= MIN_BITS:
             out.append((3, m.start(), m.end(), x))
     if "-----BEGIN " in text:
-        out += [(4, m.start(), m.end(), m[0]) for m in PEM.finditer(text)]
+        out += [(4, m.start(), m.end(), key_body(text, m.end()) or f"{m[0]} {text if doc is None else doc}") for m in PEM.finditer(text)]
     return out
 
 
 def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         spans = []
-        for text in batch.column(2).to_pylist():
+        for doc, text in zip(batch.column(0).to_pylist(), batch.column(2).to_pylist(), strict=True):
             base = base_spans(text or "")
-            found = sorted(base + wider_spans(text or "", base), key=lambda x: (x[1], x[0]))
-            spans.append([{"kind": k, "start": a, "end": z, "value": int.from_bytes(hashlib.blake2b(v.encode(), digest_size=8).digest(), "little", signed=True), "example": bool(EXAMPLE.search(v))} for k, a, z, v in found])
+            found = sorted(base + wider_spans(text or "", base, doc), key=lambda x: (x[1], x[0]))
+            spans.append([{"kind": k, "start": a, "end": z, "value": int.from_bytes(hashlib.blake2b(v.encode(), digest_size=8).digest(), "little", signed=True), "example": k != 4 and bool(EXAMPLE.search(v))} for k, a, z, v in found])
         kind = pa.list_(pa.struct([("kind", pa.int32()), ("start", pa.int32()), ("end", pa.int32()), ("value", pa.int64()), ("example", pa.bool_())]))
         yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(spans, kind)], names=["doc_id", "source", "spans"])
 
