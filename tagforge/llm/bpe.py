@@ -5,9 +5,10 @@
 * Every task sends each distinct word once; the shuffle leaves each word of the corpus once, and
   it is encoded once by its merge ranks.
 * Ids are joined back by the word's key and reassembled by position.  A word table under
-  `TABLE_BYTES` is broadcast (its size is checked first); a larger one is joined by chunks: texts
-  are dealt into chunks, each chunk's distinct words are joined with the table, and texts meet
-  only their own words.
+  `TABLE_BYTES` is broadcast (its size is checked first); a larger one is joined by chunks: rows
+  that lie together are dealt into chunks of about `CHUNK_TEXT` bytes whatever they hold (so copies and
+  nulls fill many chunks), each chunk's distinct words are joined with the table, and texts meet
+  only their own words.  Dealt rows are written once, bucketed by chunk, and not shuffled.
 * Decoding joins ids with the token-byte table (bounded by the vocabulary).
 
 Keys of words are 64-bit hashes; the table is checked for two words with one key.
@@ -20,14 +21,17 @@ from __future__ import annotations
 
 import base64
 import unicodedata
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
-from .staging import read_table, ship_code, staged
+from .staging import read_table, shared_dir, ship_code, staged
 from .wordhash import U64, _by_place, mix, pieces, signed, utf8
 
 TABLE_BYTES = 96 << 20
@@ -211,19 +215,53 @@ def encode_by(table):
 
 
 def encode_chunk(texts: pa.Table, words: pa.Table) -> pa.Table:
-    texts = texts.drop_columns(["__chunk"]).combine_chunks()
+    texts = texts.drop_columns(["__chunk"])
     table = Table.of(words["key"].to_numpy(), words["ids"].combine_chunks() if words.num_rows else pa.array([], pa.binary()))
     return pa.Table.from_batches([_with_ids(b, table.encode(b.column(0))) for b in pieces(texts.to_batches(), "__text")])
 
 
+def deal(most: int):
+    """Rows with a chunk's number before them: about `most` bytes each, or one longer row."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        chunk, held = TaskContext.get().partitionId() << 32, 0
+        for batch in pieces(batches, "__text", most):
+            if held and held + batch.nbytes > most:
+                chunk, held = chunk + 1, 0
+            held += batch.nbytes
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(batch.num_rows, chunk)), *batch.columns], names=["__chunk", *batch.schema.names])
+
+    return run
+
+
+def in_chunks(rows: DataFrame) -> DataFrame:
+    """Rows with __chunk, written once, so that a row's chunk stays; bucketed, so that grouping by it moves no text."""
+    spark = rows.sparkSession
+    total = rows.agg(F.sum(F.coalesce(F.octet_length("__text"), F.lit(0)) + 16)).first()[0] or 0
+    buckets = min(max(int(total // CHUNK_TEXT + 1), spark.sparkContext.defaultParallelism), 100_000)
+    dealt = rows.mapInArrow(deal(CHUNK_TEXT), StructType([StructField("__chunk", LongType()), *rows.schema.fields]))
+    name = f"op6_chunks_{uuid.uuid4().hex}"
+    dealt.write.bucketBy(buckets, "__chunk").sortBy("__chunk").option("compression", "zstd").option("path", f"{shared_dir(spark)}/tagforge/{name}").format("parquet").saveAsTable(name)
+    return spark.table(name)
+
+
 def words_of_chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """chunk, key: each distinct word of a chunk once a task."""
+    last, seen = None, np.zeros(0, U64)
     for batch in batches:
         chunk = batch.column(0).to_numpy()
-        for c in np.unique(chunk).tolist():
-            for part in pieces(iter([batch.filter(pa.array(chunk == c))]), "__text"):
+        edges = [0, *(np.flatnonzero(np.diff(chunk)) + 1).tolist(), len(chunk)] if len(chunk) else []
+        for a, z in zip(edges, edges[1:], strict=False):
+            c = int(chunk[a])
+            if c != last:
+                last, seen = c, np.zeros(0, U64)
+            for part in pieces(iter([batch.slice(a, z - a)]), "__text"):
                 data, at, _ = pre_tokens(part.column(1))
                 key = np.unique(keys_of(data, at))
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(key), c, np.int32)), pa.array(signed(key))], names=["chunk", "key"])
+                if len(seen):
+                    key = key[seen[np.minimum(np.searchsorted(seen, key), len(seen) - 1)] != key]
+                seen = np.sort(np.concatenate([seen, key]))
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(key), c)), pa.array(signed(key))], names=["chunk", "key"])
 
 
 def word_table(docs: DataFrame, ranks) -> DataFrame:
@@ -251,10 +289,8 @@ def encode(docs: DataFrame, ranks_file: str, table_bytes: int = TABLE_BYTES) ->
         packs = table.repartitionByRange(8, "key").sortWithinPartitions("key").mapInArrow(pack_table(kind), "key binary, n binary, ids binary")
         held = spark.sparkContext.broadcast([tuple(map(bytes, r)) for r in packs.toLocalIterator()])  # bounded by table_bytes
         return rows.mapInArrow(encode_by(held), schema)
-    text_bytes = rows.agg(F.sum(F.octet_length("__text"))).first()[0] or 0
-    chunks = int(text_bytes // CHUNK_TEXT + 1)
-    dealt = rows.withColumn("__chunk", F.pmod(F.xxhash64("__text"), F.lit(chunks)).cast("int")).select("__chunk", *rows.columns)
-    need = dealt.select("__chunk", "__text").repartition("__chunk").mapInArrow(words_of_chunks, "chunk int, key long").distinct().join(table, "key").select(F.col("chunk").alias("__chunk"), "key", "ids")
+    dealt = in_chunks(rows)
+    need = dealt.select("__chunk", "__text").mapInArrow(words_of_chunks, "chunk long, key long").join(table, "key").select(F.col("chunk").alias("__chunk"), "key", "ids")
     return dealt.groupBy("__chunk").cogroup(need.groupBy("__chunk")).applyInArrow(encode_chunk, schema)
 
 

@@ -192,6 +192,26 @@ def test_op6(table, limit, request):
         assert {"in_ids", "in_n_tokens", "kept_text"} <= set(out.columns)
 
 
+def test_op6_copies(spark, monkeypatch):
+    """Copies of one text, repeated rows and nulls fill many chunks, each of a few rows."""
+    monkeypatch.setattr(bpe, "CHUNK_TEXT", 4000)
+    whole = bpe.encode_chunk
+
+    def bounded(texts, words):
+        if texts.num_rows > 200:
+            raise ValueError(f"{texts.num_rows} rows in a chunk")
+        return whole(texts, words)
+
+    monkeypatch.setattr(bpe, "encode_chunk", bounded)
+    text = "a text of some words, " * 5
+    rows = [(i, text) for i in range(500)] + [(7, text)] * 500 + [(i, None) for i in range(600)] + [(i, f"own words {i}") for i in range(100)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(8)
+    out = bpe.decode(bpe.encode(df, bpe.ranks_path(), -1), bpe.ranks_path())
+    same(out.select("doc_id", "decoded"), [(i, (t or "").encode()) for i, t in rows])
+    plan = bpe.encode(df, bpe.ranks_path(), -1)._jdf.queryExecution().executedPlan().toString()
+    assert "Bucketed: true" in plan
+
+
 @pytest.mark.parametrize("table", ["docs", "edges", "empty"])
 def test_op7(table, request):
     df = request.getfixturevalue(table)
