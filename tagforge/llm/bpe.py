@@ -2,16 +2,17 @@
 
 * Pre-tokens: the pattern of the tokenizer as boundaries between code point classes, found for a
   whole batch at once, so each is a byte span at a position of its document.
-* Every task sends each distinct word once; the shuffle leaves each word of the corpus once, and
-  it is encoded once by its merge ranks.
-* Ids are joined back by the word's key and reassembled by position.  A word table under
-  `TABLE_BYTES` is broadcast (its size is checked first); a larger one is joined by chunks: rows
-  that lie together are dealt into chunks of about `CHUNK_TEXT` bytes whatever they hold (so copies and
-  nulls fill many chunks), each chunk's distinct words are joined with the table, and texts meet
-  only their own words.  Dealt rows are written once, bucketed by chunk, and not shuffled.
+* The words that a bounded sample of the texts (`SAMPLE_BYTES`) holds most often, `FREQUENT` at
+  most, are encoded once and broadcast.  The sample decides only which words need no shuffle.
+* Rows that lie together are dealt into chunks of about `CHUNK_BYTES` of text, whatever they hold
+  (so copies and nulls fill many chunks), and written once, compressed and bucketed by chunk, with
+  the chunk's other distinct words.  Those words are shuffled by word with their chunk and number;
+  each is encoded once, where its rows lie together, and its ids go back by chunk and number.
+* Chunks meet their ids without a shuffle of texts, and every document is reassembled by position.
+  A word is in at most one row of a chunk, so a hot word is as many short rows as there are chunks.
 * Decoding joins ids with the token-byte table (bounded by the vocabulary).
 
-Keys of words are 64-bit hashes; the table is checked for two words with one key.
+Frequent words are looked up by a 64-bit hash and compared byte by byte; the others by their bytes.
 
 Edge cases: a null or empty text has no ids; no special tokens; repeated rows and ids are encoded
 row by row; other columns pass through.
@@ -29,21 +30,25 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import LongType, StructField, StructType
-
-from .staging import read_table, shared_dir, ship_code, staged
-from .wordhash import U64, _by_place, mix, pieces, signed, utf8
-
-TABLE_BYTES = 96 << 20
-CHUNK_TEXT = 64 << 20
-#: Distinct words a task remembers before it starts anew.
-REMEMBER = 2_000_000
+from pyspark.sql.types import ArrayType, BinaryType, LongType, StructField, StructType
+
+from .staging import read_table, ship_code, staging_path
+from .wordhash import CHUNK_BYTES as PIECE_BYTES
+from .wordhash import U64, _by_place, mix, pieces, utf8
+
+#: Most words that are broadcast, and the bytes of text they are chosen from.
+FREQUENT = 1 << 18
+SAMPLE_BYTES = 64 << 20
+#: Bytes of text (or one longer row) that are handled with the words of their own, and of a bucket of chunks.
+CHUNK_BYTES = 8 << 20
+BUCKET_BYTES = 64 << 20
 OTHER, LETTER, NUMBER, SPACE = 0, 1, 2, 3
 # Code points of Unicode's White_Space.
 WHITE_SPACE = [0x9, 0xA, 0xB, 0xC, 0xD, 0x20, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]
 
 _CLASSES: list[np.ndarray] = []
 _ENCODERS: dict = {}
+_BYTES: dict = {}
 
 
 def classes() -> np.ndarray:
@@ -107,20 +112,6 @@ def keys_of(data: np.ndarray, at: np.ndarray) -> np.ndarray:
     return mix(np.add.reduceat(value, at[:-1]) + long.astype(U64) * U64(0x9E3779B97F4A7C15))
 
 
-def distinct_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """key, word: each distinct word of the task once (again after REMEMBER words)."""
-    seen = np.zeros(0, U64)
-    for batch in pieces(batches):
-        data, at, _ = pre_tokens(batch.column(0))
-        key, where = np.unique(keys_of(data, at), return_index=True)
-        place = np.minimum(np.searchsorted(seen, key), max(len(seen) - 1, 0))
-        new = seen[place] != key if len(seen) else np.ones(len(key), bool)
-        key, where = key[new], where[new]
-        seen = key if len(seen) > REMEMBER else np.sort(np.concatenate([seen, key]))
-        raw = data.tobytes()
-        yield pa.RecordBatch.from_arrays([pa.array(signed(key)), pa.array([raw[a:z] for a, z in zip(at[where].tolist(), at[where + 1].tolist(), strict=True)], pa.binary())], names=["key", "word"])
-
-
 def read_ranks(raw: bytes) -> dict[bytes, int]:
     return {base64.b64decode(a): int(b) for a, b in (line.split() for line in raw.splitlines() if line)}
 
@@ -133,16 +124,6 @@ def encoder(raw: bytes):
     return _ENCODERS[raw]
 
 
-def encode_words(ranks):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        by_ranks = encoder(ranks.value)
-        for batch in batches:
-            ids = [np.array(by_ranks._encode_single_piece(w), "<u4").tobytes() for w in batch.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(ids, pa.binary())], names=["key", "ids"])
-
-    return run
-
-
 def _binary(data: np.ndarray, at: np.ndarray) -> pa.Array:
     return pa.Array.from_buffers(pa.binary(), len(at) - 1, [None, pa.py_buffer(at.astype(np.int32)), pa.py_buffer(np.ascontiguousarray(data))])
 
@@ -154,156 +135,192 @@ def _gather(flat: np.ndarray, at: np.ndarray, which: np.ndarray) -> tuple[np.nda
     return flat[np.arange(end[-1]) - np.repeat(end[:-1] - at[which], long)], end
 
 
-class Table:
-    """Ids of words by key, in order of the signed keys."""
+def _spans(data: np.ndarray, at: np.ndarray, which: np.ndarray) -> list[bytes]:
+    raw = data.tobytes()
+    return [raw[a:z] for a, z in zip(at[which].tolist(), at[which + 1].tolist(), strict=True)]
 
-    def __init__(self, key: np.ndarray, at: np.ndarray, ids: np.ndarray) -> None:
-        self.key, self.at, self.ids = key, at, ids
 
-    @classmethod
-    def of(cls, key: np.ndarray, ids: pa.Array) -> Table:
-        order = np.argsort(key)
-        data, at = utf8(ids.cast(pa.large_binary()))
-        flat, at = _gather(data.view("<u4"), at // 4, order)
-        return cls(key[order], at, flat)
+def _packed(values: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """All values one after the other, and their offsets."""
+    at = np.zeros(len(values) + 1, np.int64)
+    np.cumsum([len(x) for x in values], out=at[1:])
+    return np.frombuffer(b"".join(values), np.uint8), at
 
-    @classmethod
-    def unpacked(cls, packs: list[tuple[bytes, bytes, bytes]]) -> Table:
-        join = lambda i, kind: np.frombuffer(b"".join(p[i] for p in packs), kind)
-        at = np.zeros(sum(len(p[1]) for p in packs) // 4 + 1, np.int64)
-        np.cumsum(join(1, "<u4"), out=at[1:])
-        ids = join(2, "<u2" if sum(len(p[2]) for p in packs) == 2 * at[-1] else "<u4")
-        return cls(join(0, "<i8"), at, ids)
 
-    def encode(self, texts) -> pa.Array:
-        data, at, doc = pre_tokens(texts)
-        key = signed(keys_of(data, at))
-        where = np.minimum(np.searchsorted(self.key, key), max(len(self.key) - 1, 0))
-        if len(key) and not (self.key[where] == key).all():
-            raise ValueError("a word is missing from the table")
-        ids, end = _gather(self.ids, self.at, where)
-        return _binary(ids.astype("<u4").view(np.uint8), end[doc] * 4)
+class Frequent:
+    """Words, their bytes and their ids in order of the words' keys."""
 
+    def __init__(self, words: list[bytes], ids: list[list[int]]) -> None:
+        data, at = _packed(words)
+        key, order = np.unique(keys_of(data, at), return_index=True)  # of two words with one key one is left out
+        self.key = key
+        self.data, self.at = _gather(data, at, order)
+        self.ids, self.ids_at = _packed([np.array(x, "<u4").tobytes() for x in ids])
+        self.ids, self.ids_at = _gather(self.ids.view("<u4"), self.ids_at // 4, order)
 
-def pack_table(kind: str):
-    """Rows of keys, numbers of ids, and ids, as bytes: a few large values in place of many rows."""
+    def find(self, data: np.ndarray, at: np.ndarray) -> np.ndarray:
+        """The place of every span's word, or -1."""
+        key = keys_of(data, at)
+        if not len(self.key) or not len(key):
+            return np.full(len(key), -1)
+        where = np.minimum(np.searchsorted(self.key, key), len(self.key) - 1)
+        hit = np.flatnonzero((self.key[where] == key) & (np.diff(self.at)[where] == np.diff(at)))
+        ours, cut = _gather(self.data, self.at, where[hit])
+        theirs, _ = _gather(data, at, hit)
+        wrong = np.unique(np.searchsorted(cut, np.flatnonzero(ours != theirs), "right") - 1)
+        place = np.full(len(key), -1)
+        place[hit] = where[hit]
+        place[hit[wrong]] = -1
+        return place
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in filter(len, batches):
-            data, at = utf8(batch.column(1))
-            one = lambda x: pa.array([x.tobytes()], pa.binary())
-            yield pa.RecordBatch.from_arrays([one(batch.column(0).to_numpy()), one((np.diff(at) // 4).astype("<u4")), one(data.view("<u4").astype(kind))], names=["key", "n", "ids"])
 
-    return run
+def count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """word, n of every piece."""
+    for batch in pieces(batches):
+        data, at, _ = pre_tokens(batch.column(0))
+        _, where, n = np.unique(keys_of(data, at), return_index=True, return_counts=True)
+        yield pa.RecordBatch.from_arrays([pa.array(_spans(data, at, where), pa.binary()), pa.array(n)], names=["word", "n"])
 
 
-def _with_ids(batch: pa.RecordBatch, ids: pa.Array) -> pa.RecordBatch:
-    n = np.diff(np.frombuffer(ids.buffers()[1], np.int32)[: len(ids) + 1]) // 4
-    return pa.RecordBatch.from_arrays([*batch.columns[1:], pa.array(n.astype(np.int64)), ids], names=[*batch.schema.names[1:], "n_tokens", "ids"])
+def frequent_words(texts: DataFrame, total: int, by_ranks) -> Frequent:
+    """The words that occur most often, twice at least, in a sample of the column `text`."""
+    share = min(1.0, SAMPLE_BYTES / max(total, 1))
+    sample = texts if share == 1 else texts.sample(False, share, 7)
+    counts = sample.mapInArrow(count_words, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n")).where("n > 1")
+    words = counts.orderBy(F.desc("n"), "word").limit(FREQUENT).select("word").toArrow()["word"].to_pylist()
+    return Frequent(words, [by_ranks._encode_single_piece(w) for w in words])
 
 
-def encode_by(table):
-    """Rows (text first) with the broadcast table."""
+def deal(held, most: int):
+    """Rows with __chunk, __words, __text first: a chunk's last row lists the words that aren't frequent."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = Table.unpacked(table.value)
-        for batch in pieces(batches, "__text"):
-            yield _with_ids(batch, own.encode(batch.column(0)))
+        frequent, chunk = held.value, TaskContext.get().partitionId() << 32
+        rows: list[pa.RecordBatch] = []
+        words: dict[bytes, None] = {}
+        size = 0
+
+        def whole() -> Iterator[pa.RecordBatch]:
+            for i, b in enumerate(rows):
+                listed = [None] * b.num_rows
+                if i == len(rows) - 1:
+                    listed[-1] = list(words)
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(b.num_rows, chunk)), pa.array(listed, pa.list_(pa.binary())), *b.columns], names=["__chunk", "__words", *b.schema.names])
+
+        for batch in pieces(batches, "__text", min(most, PIECE_BYTES)):
+            data, at, _ = pre_tokens(batch.column(0))
+            if rows and size + len(data) > most:
+                yield from whole()
+                rows, words, size, chunk = [], {}, 0, chunk + 1
+            rows.append(batch)
+            size += len(data) + 16 * batch.num_rows
+            words.update(dict.fromkeys(_spans(data, at, np.flatnonzero(frequent.find(data, at) < 0))))
+        yield from whole()
 
     return run
 
 
-
-def encode_chunk(texts: pa.Table, words: pa.Table) -> pa.Table:
-    texts = texts.drop_columns(["__chunk"])
-    table = Table.of(words["key"].to_numpy(), words["ids"].combine_chunks() if words.num_rows else pa.array([], pa.binary()))
-    return pa.Table.from_batches([_with_ids(b, table.encode(b.column(0))) for b in pieces(texts.to_batches(), "__text")])
+def in_chunks(rows: DataFrame, held, total: int) -> DataFrame:
+    """Rows dealt into chunks, written once so that a row's chunk stays, and bucketed so that grouping by it moves no text."""
+    spark = rows.sparkSession
+    buckets = min(max(total // BUCKET_BYTES + 1, spark.sparkContext.defaultParallelism), 100_000)
+    made = [StructField("__chunk", LongType()), StructField("__words", ArrayType(BinaryType()))]
+    dealt = rows.mapInArrow(deal(held, CHUNK_BYTES), StructType([*made, *rows.schema.fields]))
+    name = f"op6_chunks_{uuid.uuid4().hex}"
+    dealt.write.bucketBy(buckets, "__chunk").option("compression", "zstd").option("path", staging_path(spark, name)).format("parquet").saveAsTable(name)
+    out = spark.table(name)
+    spark.sql(f"DROP TABLE {name}")  # the name only: its files stay until the application ends
+    return out
 
 
-def deal(most: int):
-    """Rows with a chunk's number before them: about `most` bytes each, or one longer row."""
+def encode_words(ranks):
+    """Rows chunk, no, word in order of the words: each word is encoded where it first comes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        chunk, held = TaskContext.get().partitionId() << 32, 0
-        for batch in pieces(batches, "__text", most):
-            if held and held + batch.nbytes > most:
-                chunk, held = chunk + 1, 0
-            held += batch.nbytes
-            yield pa.RecordBatch.from_arrays([pa.array(np.full(batch.num_rows, chunk)), *batch.columns], names=["__chunk", *batch.schema.names])
+        by_ranks, last, own = encoder(ranks.value), None, b""
+        for batch in batches:
+            ids = []
+            for w in batch.column(2).to_pylist():
+                if w != last:
+                    last, own = w, np.array(by_ranks._encode_single_piece(w), "<u4").tobytes()
+                ids.append(own)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(ids, pa.binary())], names=["__chunk", "no", "ids"])
 
     return run
 
 
-def in_chunks(rows: DataFrame) -> DataFrame:
-    """Rows with __chunk, written once, so that a row's chunk stays; bucketed, so that grouping by it moves no text."""
-    spark = rows.sparkSession
-    total = rows.agg(F.sum(F.coalesce(F.octet_length("__text"), F.lit(0)) + 16)).first()[0] or 0
-    buckets = min(max(int(total // CHUNK_TEXT + 1), spark.sparkContext.defaultParallelism), 100_000)
-    dealt = rows.mapInArrow(deal(CHUNK_TEXT), StructType([StructField("__chunk", LongType()), *rows.schema.fields]))
-    name = f"op6_chunks_{uuid.uuid4().hex}"
-    dealt.write.bucketBy(buckets, "__chunk").sortBy("__chunk").option("compression", "zstd").option("path", f"{shared_dir(spark)}/tagforge/{name}").format("parquet").saveAsTable(name)
-    return spark.table(name)
-
-
-def words_of_chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """chunk, key: each distinct word of a chunk once a task."""
-    last, seen = None, np.zeros(0, U64)
-    for batch in batches:
-        chunk = batch.column(0).to_numpy()
-        edges = [0, *(np.flatnonzero(np.diff(chunk)) + 1).tolist(), len(chunk)] if len(chunk) else []
-        for a, z in zip(edges, edges[1:], strict=False):
-            c = int(chunk[a])
-            if c != last:
-                last, seen = c, np.zeros(0, U64)
-            for part in pieces(iter([batch.slice(a, z - a)]), "__text"):
-                data, at, _ = pre_tokens(part.column(1))
-                key = np.unique(keys_of(data, at))
-                if len(seen):
-                    key = key[seen[np.minimum(np.searchsorted(seen, key), len(seen) - 1)] != key]
-                seen = np.sort(np.concatenate([seen, key]))
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(key), c)), pa.array(signed(key))], names=["chunk", "key"])
-
-
-def word_table(docs: DataFrame, ranks) -> DataFrame:
-    """key, ids of every distinct word of the column `text`, encoded once."""
-    words = docs.select(F.col("text").cast("string").alias("text")).mapInArrow(distinct_words, "key long, word binary").distinct()
-    table = staged(words.mapInArrow(encode_words(ranks), "key long, ids binary"), "op6-words")
-    if table.groupBy("key").count().where("count > 1").limit(1).count():
-        raise ValueError("two words share a key")
-    return table
-
-
-def encode(docs: DataFrame, ranks_file: str, table_bytes: int = TABLE_BYTES) -> DataFrame:
-    """Input columns but text, n_tokens and ids (little-endian unsigned 32-bit); clashing names become in_<name>."""
+def encode_piece(texts, frequent: Frequent, words: dict[bytes, int], ids: np.ndarray, ids_at: np.ndarray) -> pa.Array:
+    """Ids of each text, from the frequent words' and the chunk's own."""
+    data, at, doc = pre_tokens(texts)
+    place = frequent.find(data, at)
+    other = np.flatnonzero(place < 0)
+    place[other] = [len(frequent.key) + words[w] for w in _spans(data, at, other)]
+    flat = np.concatenate([frequent.ids, ids])
+    out, end = _gather(flat, np.concatenate([frequent.ids_at, ids_at[1:] + frequent.ids_at[-1]]), place)
+    return _binary(out.view(np.uint8), end[doc] * 4)
+
+
+def encode_chunk(held, then=None):
+    """One chunk's rows with the ids of its own words; `then` goes on with the encoded batches in the same worker."""
+
+    def run(texts: pa.Table, words: pa.Table) -> pa.Table:
+        listed = texts["__words"].combine_chunks()
+        own = {w: i for i, w in enumerate(listed.flatten().to_pylist())}
+        words = words.sort_by("no")
+        if len(own) != words.num_rows:
+            raise ValueError("a word of the chunk is missing")
+        ids, ids_at = utf8(words["ids"].cast(pa.large_binary()))
+        ids, ids_at = ids.view("<u4"), ids_at // 4
+        rows = texts.drop_columns(["__chunk", "__words"]).to_batches()
+        out = (_with_ids(b, encode_piece(b.column(0), held.value, own, ids, ids_at)) for b in pieces(rows, "__text"))
+        return pa.Table.from_batches(list(then(out) if then else out))
+
+    return run
+
+
+def _with_ids(batch: pa.RecordBatch, ids: pa.Array) -> pa.RecordBatch:
+    n = np.diff(np.frombuffer(ids.buffers()[1], np.int32)[: len(ids) + 1]) // 4
+    return pa.RecordBatch.from_arrays([*batch.columns[1:], pa.array(n.astype(np.int64)), ids], names=[*batch.schema.names[1:], "n_tokens", "ids"])
+
+
+def encode(docs: DataFrame, ranks_file: str, decoded: bool = False) -> DataFrame:
+    """Input columns but text, n_tokens and ids (little-endian unsigned 32-bit); clashing names become in_<name>.
+
+    With `decoded`, the ids are decoded again in the same pass into the column of that name.
+    """
     spark = docs.sparkSession
     ship_code(spark)
     with open(ranks_file, "rb") as f:
         ranks = spark.sparkContext.broadcast(f.read())
-    table = word_table(docs, ranks)
+    made = ("n_tokens", "ids", "decoded") if decoded else ("n_tokens", "ids")
+    text = F.col("text").cast("string")
     own = [c for c in docs.columns if c != "text"]
-    rows = docs.select(F.col("text").cast("string").alias("__text"), *(F.col(f"`{c}`").alias(f"in_{c}" if c in ("n_tokens", "ids") else c) for c in own))
-    schema = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in rows.schema if f.name != "__text") + "n_tokens long, ids binary"
-    size = table.agg(F.sum(F.octet_length("ids") + 16)).first()[0] or 0
-    if size <= table_bytes:
-        kind = "<u2" if len(read_ranks(ranks.value)) <= 1 << 16 else "<u4"
-        packs = table.repartitionByRange(8, "key").sortWithinPartitions("key").mapInArrow(pack_table(kind), "key binary, n binary, ids binary")
-        held = spark.sparkContext.broadcast([tuple(map(bytes, r)) for r in packs.toLocalIterator()])  # bounded by table_bytes
-        return rows.mapInArrow(encode_by(held), schema)
-    dealt = in_chunks(rows)
-    need = dealt.select("__chunk", "__text").mapInArrow(words_of_chunks, "chunk long, key long").join(table, "key").select(F.col("chunk").alias("__chunk"), "key", "ids")
-    return dealt.groupBy("__chunk").cogroup(need.groupBy("__chunk")).applyInArrow(encode_chunk, schema)
+    rows = docs.select(text.alias("__text"), *(F.col(f"`{c}`").alias(f"in_{c}" if c in made else c) for c in own))
+    total = docs.agg(F.sum(F.coalesce(F.octet_length(text), F.lit(0)) + 16)).first()[0] or 0
+    held = spark.sparkContext.broadcast(frequent_words(docs.select(text.alias("text")), total, encoder(ranks.value)))
+    dealt = in_chunks(rows, held, total)
+    words = dealt.where("__words is not null").select("__chunk", F.posexplode("__words").alias("no", "word"))
+    ids = words.repartition("word").sortWithinPartitions("word").mapInArrow(encode_words(ranks), "__chunk long, no int, ids binary")
+    fields = [f for f in rows.schema.fields if f.name != "__text"] + [StructField("n_tokens", LongType()), StructField("ids", BinaryType())]
+    if decoded:
+        fields.append(StructField("decoded", BinaryType()))
+    step = encode_chunk(held, decode_rows(ranks) if decoded else None)
+    return dealt.groupBy("__chunk").cogroup(ids.groupBy("__chunk")).applyInArrow(step, StructType(fields))
+
+
+def token_bytes(raw: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """The bytes of all tokens one after the other, and the offsets by id."""
+    if raw not in _BYTES:
+        of = {i: b for b, i in read_ranks(raw).items()}
+        _BYTES[raw] = _packed([of.get(i, b"") for i in range(max(of) + 1)])
+    return _BYTES[raw]
 
 
 def decode_rows(ranks):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        parts = sorted((i, b) for b, i in read_ranks(ranks.value).items())
-        at = np.zeros(parts[-1][0] + 2, np.int64)
-        for i, b in parts:
-            at[i + 1] = len(b)
-        np.cumsum(at, out=at)
-        flat = np.frombuffer(b"".join(b for _, b in parts), np.uint8)
+        flat, at = token_bytes(ranks.value)
         for batch in pieces(batches, "ids"):
-            raw, cut = utf8(batch.column(0).cast(pa.large_binary()).fill_null(b""))
+            raw, cut = utf8(batch.column(batch.schema.get_field_index("ids")))
             out, end = _gather(flat, at, raw.view("<u4").astype(np.int64))
             yield pa.RecordBatch.from_arrays([*batch.columns, _binary(out, end[cut // 4])], names=[*batch.schema.names, "decoded"])
 
@@ -327,8 +344,8 @@ def ranks_path() -> str:
     return public_tokenizers.path("byte_bpe_50k.tiktoken")
 
 
-def op6_bpe(spark: SparkSession, sf_dir: str, table_bytes: int = TABLE_BYTES) -> DataFrame:
+def op6_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The whole documents table, encoded and decoded again."""
     docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
-    out = decode(encode(docs, ranks_path(), table_bytes), ranks_path())
+    out = encode(docs, ranks_path(), decoded=True)
     return out.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))

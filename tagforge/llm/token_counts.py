@@ -14,7 +14,6 @@ empty batch commits with no rows; other columns are ignored.
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -23,7 +22,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .bpe import encoder, pre_tokens, ranks_path
-from .staging import read_table, shared_dir, ship_code
+from .staging import read_table, ship_code, staging_path
 from .wordhash import pieces
 
 KEYS = ["source", "lang", "tokenizer"]
@@ -116,7 +115,7 @@ class Rollup:
 def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The whole documents table: estimates first, then every count revised by the tokenizer, the revision sent twice."""
     docs = read_table(spark, sf_dir, "documents")
-    rollup = Rollup(spark, f"{shared_dir(spark)}/tagforge/op8-{uuid.uuid4().hex}")
+    rollup = Rollup(spark, staging_path(spark, "op8"))
     rollup.commit("0001-estimates", inserts(estimated(docs)))
     revised = deletes(estimated(docs)).unionByName(inserts(counted(docs, ranks_path())))
     for _ in range(2):

@@ -173,43 +173,61 @@ def test_op5_folding():
 
 
 @pytest.mark.parametrize("table", ["docs", "edges", "empty"])
-@pytest.mark.parametrize("limit", [bpe.TABLE_BYTES, -1])
-def test_op6(table, limit, request):
+@pytest.mark.parametrize("small", [False, True])
+def test_op6(table, small, request, monkeypatch):
     import public_tokenizers
     import tiktoken
 
+    if small:
+        monkeypatch.setattr(bpe, "FREQUENT", 20)
+        monkeypatch.setattr(bpe, "CHUNK_BYTES", 3000)
     df = request.getfixturevalue(table)
     with open(bpe.ranks_path(), "rb") as f:
         ranks = bpe.read_ranks(f.read())
     plain = tiktoken.Encoding("plain", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
-    out = bpe.decode(bpe.encode(df, bpe.ranks_path(), limit), bpe.ranks_path())
     want = []
     for doc, text in pairs(df):
         ids = plain.encode_ordinary(text or "")
         want.append((doc, len(ids), struct.pack(f"<{len(ids)}I", *ids), (text or "").encode()))
-    same(out.select("doc_id", "n_tokens", "ids", "decoded"), want)
+    both = bpe.encode(df, bpe.ranks_path(), decoded=True)
+    same(both.select("doc_id", "n_tokens", "ids", "decoded"), want)
     if table == "edges":
-        assert {"in_ids", "in_n_tokens", "kept_text"} <= set(out.columns)
+        assert {"in_ids", "in_n_tokens", "kept_text"} <= set(both.columns)
+        same(bpe.decode(bpe.encode(df, bpe.ranks_path()), bpe.ranks_path()).select("doc_id", "n_tokens", "ids", "decoded"), want)
 
 
 def test_op6_copies(spark, monkeypatch):
-    """Copies of one text, repeated rows and nulls fill many chunks, each of a few rows."""
-    monkeypatch.setattr(bpe, "CHUNK_TEXT", 4000)
+    """Copies of one text, repeated rows and nulls fill many chunks, each of a few rows; texts are not shuffled."""
+    monkeypatch.setattr(bpe, "CHUNK_BYTES", 4000)
     whole = bpe.encode_chunk
 
-    def bounded(texts, words):
-        if texts.num_rows > 200:
-            raise ValueError(f"{texts.num_rows} rows in a chunk")
-        return whole(texts, words)
+    def bounded(held, then=None):
+        run = whole(held, then)
+
+        def one(texts, words):
+            if texts.num_rows > 300:
+                raise ValueError(f"{texts.num_rows} rows in a chunk")
+            return run(texts, words)
+
+        return one
 
     monkeypatch.setattr(bpe, "encode_chunk", bounded)
     text = "a text of some words, " * 5
     rows = [(i, text) for i in range(500)] + [(7, text)] * 500 + [(i, None) for i in range(600)] + [(i, f"own words {i}") for i in range(100)]
     df = spark.createDataFrame(rows, "doc_id long, text string").repartition(8)
-    out = bpe.decode(bpe.encode(df, bpe.ranks_path(), -1), bpe.ranks_path())
+    out = bpe.encode(df, bpe.ranks_path(), decoded=True)
     same(out.select("doc_id", "decoded"), [(i, (t or "").encode()) for i, t in rows])
-    plan = bpe.encode(df, bpe.ranks_path(), -1)._jdf.queryExecution().executedPlan().toString()
-    assert "Bucketed: true" in plan
+    assert "Bucketed: true" in out._jdf.queryExecution().executedPlan().toString()
+
+
+def test_op6_equal_keys():
+    """A word with a frequent word's key, and two frequent words with one key, are told apart by their bytes."""
+    held = bpe.Frequent([b"ab", b"cd"], [[1], [2, 3]])
+    data, at = bpe._packed([b"ab", b"zz", b"cd", b"abc"])
+    order = {bytes(held.data[a:z]): i for i, (a, z) in enumerate(zip(held.at, held.at[1:], strict=False))}
+    assert held.find(data, at).tolist() == [order[b"ab"], -1, order[b"cd"], -1]
+    held.key = np.sort(bpe.keys_of(*bpe._packed([b"ab", b"zz"])))
+    assert held.find(data, at)[1] == -1 and len(bpe.Frequent([b"x", b"x"], [[1], [1]]).key) == 1
 
 
 @pytest.mark.parametrize("table", ["docs", "edges", "empty"])
