@@ -41,9 +41,8 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def to_tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    encoded = bpe.encode(docs.select("doc_id", "lang", "source", "text"), bpe.ranks_path())
-    decoded = bpe.decode(encoded, bpe.ranks_path())
-    return decoded.select("doc_id", "lang", "source", "n_tokens", "ids", F.decode("decoded", "UTF-8").alias("text"))
+    out = bpe.encode(docs.select("doc_id", "lang", "source", "text"), bpe.ranks_path(), decoded=True)
+    return out.select("doc_id", "lang", "source", "n_tokens", "ids", F.decode("decoded", "UTF-8").alias("text"))
 
 
 STAGES = [("toxicity", drop_toxic), ("line_dedup", drop_lines), ("near_dedup", drop_near_copies), ("mix_sources", mix_sources), ("bpe", to_tokens)]
