@@ -22,14 +22,29 @@ from tagforge.llm import bpe, line_dedup, minhash_dedup, mixing, toxicity
 from tagforge.llm.staging import read_table, staged
 
 
+def plain_names(docs: DataFrame) -> tuple[DataFrame, list[str]]:
+    """doc_id, text and the other columns under names that no operator makes, and those names."""
+    own = [c for c in docs.columns if c not in ("doc_id", "text")]
+    return docs.select("doc_id", "text", *(F.col(f"`{c}`").alias(f"__own{i}") for i, c in enumerate(own))), own
+
+
+def named_again(rows: DataFrame, own: list[str], columns: list[str], **made) -> DataFrame:
+    """The columns of the documents in their order; those in `made` are new."""
+    back = {c: F.col(f"__own{i}") for i, c in enumerate(own)} | {c: F.col(c) for c in ("doc_id", "text")} | made
+    return rows.select(*(back[c].alias(c) for c in columns))
+
+
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    scored = toxicity.scored(docs, read_table(spark, sf_dir, "labels"))
-    return scored.where(F.col("toxicity") < toxicity.THRESHOLD).select(*docs.columns)
+    plain, own = plain_names(docs)
+    scored = toxicity.scored(plain, read_table(spark, sf_dir, "labels"))
+    return named_again(scored.where(F.col("toxicity") < toxicity.THRESHOLD), own, docs.columns)
 
 
 def drop_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    out = line_dedup.line_dedup(docs).drop("text").withColumnRenamed("kept_text", "text")
-    return out.withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)
+    plain, own = plain_names(docs)
+    text = F.col("kept_text")
+    made = {"text": text} | ({"n_chars": F.length(text).cast("long")} if "n_chars" in docs.columns else {})
+    return named_again(line_dedup.line_dedup(plain), own, docs.columns, **made)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
