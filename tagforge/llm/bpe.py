@@ -7,7 +7,7 @@
 * Rows that lie together are dealt into chunks of about `CHUNK_BYTES` of text, whatever they hold
   (so copies and nulls fill many chunks), and written once, compressed and bucketed by chunk, with
   the chunk's other distinct words.  Those words are shuffled by word with their chunk and number;
-  each is encoded once, where its rows lie together, and its ids go back by chunk and number.
+  each is encoded once, where its rows lie together, and its ids go back packed, by chunk and number.
 * Chunks meet their ids without a shuffle of texts, and every document is reassembled by position.
   A word is in at most one row of a chunk, so a hot word is as many short rows as there are chunks.
 * Decoding joins ids with the token-byte table (bounded by the vocabulary).
@@ -22,7 +22,6 @@ from __future__ import annotations
 
 import base64
 import unicodedata
-import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -32,16 +31,17 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, BinaryType, LongType, StructField, StructType
 
-from .staging import read_table, ship_code, staging_path
+from .staging import chunks_written, read_table, ship_code
 from .wordhash import CHUNK_BYTES as PIECE_BYTES
 from .wordhash import U64, _by_place, mix, pieces, utf8
 
 #: Most words that are broadcast, and the bytes of text they are chosen from.
 FREQUENT = 1 << 18
 SAMPLE_BYTES = 64 << 20
-#: Bytes of text (or one longer row) that are handled with the words of their own, and of a bucket of chunks.
-CHUNK_BYTES = 8 << 20
-BUCKET_BYTES = 64 << 20
+#: Bytes of text (or one longer row) that are handled with the words of their own.
+CHUNK_BYTES = 16 << 20
+#: Words whose ids a task holds to pack them by chunk.
+PACKED_WORDS = 500_000
 OTHER, LETTER, NUMBER, SPACE = 0, 1, 2, 3
 # Code points of Unicode's White_Space.
 WHITE_SPACE = [0x9, 0xA, 0xB, 0xC, 0xD, 0x20, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]
@@ -221,30 +221,39 @@ def deal(held, most: int):
 
 
 def in_chunks(rows: DataFrame, held, total: int) -> DataFrame:
-    """Rows dealt into chunks, written once so that a row's chunk stays, and bucketed so that grouping by it moves no text."""
-    spark = rows.sparkSession
-    buckets = min(max(total // BUCKET_BYTES + 1, spark.sparkContext.defaultParallelism), 100_000)
+    """Rows dealt into chunks and written."""
     made = [StructField("__chunk", LongType()), StructField("__words", ArrayType(BinaryType()))]
     dealt = rows.mapInArrow(deal(held, CHUNK_BYTES), StructType([*made, *rows.schema.fields]))
-    name = f"op6_chunks_{uuid.uuid4().hex}"
-    dealt.write.bucketBy(buckets, "__chunk").option("compression", "zstd").option("path", staging_path(spark, name)).format("parquet").saveAsTable(name)
-    out = spark.table(name)
-    spark.sql(f"DROP TABLE {name}")  # the name only: its files stay until the application ends
-    return out
+    return chunks_written(dealt, "__chunk", total, "op6_chunks")
 
 
-def encode_words(ranks):
-    """Rows chunk, no, word in order of the words: each word is encoded where it first comes."""
+def encode_words(ranks, kind: str):
+    """Rows chunk, no, word in order of the words: each word is encoded where it first comes; packed by chunk."""
+
+    def packs(chunk: np.ndarray, no: np.ndarray, ids: list[bytes]) -> Iterator[pa.RecordBatch]:
+        order = np.lexsort((no, chunk))
+        flat, at = _packed(ids)
+        edge = np.flatnonzero(np.diff(chunk[order], prepend=-1)).tolist()
+        rows = [order[a:z] for a, z in zip(edge, [*edge[1:], len(order)], strict=True)]
+        packed = lambda values: pa.array([v.tobytes() for v in values], pa.binary())
+        n = (np.diff(at) // np.dtype(kind).itemsize).astype("<u4")
+        yield pa.RecordBatch.from_arrays([pa.array(chunk[order[edge]]), packed(no[r].astype("<u4") for r in rows), packed(n[r] for r in rows), packed(_gather(flat, at, r)[0] for r in rows)], names=["__chunk", "no", "n", "ids"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         by_ranks, last, own = encoder(ranks.value), None, b""
-        for batch in batches:
-            ids = []
+        chunk, no, ids = [], [], []
+        for batch in filter(len, batches):
             for w in batch.column(2).to_pylist():
                 if w != last:
-                    last, own = w, np.array(by_ranks._encode_single_piece(w), "<u4").tobytes()
+                    last, own = w, np.array(by_ranks._encode_single_piece(w), kind).tobytes()
                 ids.append(own)
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(ids, pa.binary())], names=["__chunk", "no", "ids"])
+            chunk.append(batch.column(0).to_numpy())
+            no.append(batch.column(1).to_numpy())
+            if len(ids) >= PACKED_WORDS:
+                yield from packs(np.concatenate(chunk), np.concatenate(no), ids)
+                chunk, no, ids = [], [], []
+        if ids:
+            yield from packs(np.concatenate(chunk), np.concatenate(no), ids)
 
     return run
 
@@ -260,17 +269,17 @@ def encode_piece(texts, frequent: Frequent, words: dict[bytes, int], ids: np.nda
     return _binary(out.view(np.uint8), end[doc] * 4)
 
 
-def encode_chunk(held, then=None):
+def encode_chunk(held, kind: str, then=None):
     """One chunk's rows with the ids of its own words; `then` goes on with the encoded batches in the same worker."""
 
     def run(texts: pa.Table, words: pa.Table) -> pa.Table:
         listed = texts["__words"].combine_chunks()
         own = {w: i for i, w in enumerate(listed.flatten().to_pylist())}
-        words = words.sort_by("no")
-        if len(own) != words.num_rows:
+        no, n, ids = (np.frombuffer(b"".join(words[c].to_pylist()), k) for c, k in (("no", "<u4"), ("n", "<u4"), ("ids", kind)))
+        order = np.argsort(no)
+        if not np.array_equal(no[order], np.arange(len(own))):
             raise ValueError("a word of the chunk is missing")
-        ids, ids_at = utf8(words["ids"].cast(pa.large_binary()))
-        ids, ids_at = ids.view("<u4"), ids_at // 4
+        ids, ids_at = _gather(ids.astype("<u4"), np.concatenate([[0], np.cumsum(n.astype(np.int64))]), order)
         rows = texts.drop_columns(["__chunk", "__words"]).to_batches()
         out = (_with_ids(b, encode_piece(b.column(0), held.value, own, ids, ids_at)) for b in pieces(rows, "__text"))
         return pa.Table.from_batches(list(then(out) if then else out))
@@ -300,11 +309,12 @@ def encode(docs: DataFrame, ranks_file: str, decoded: bool = False) -> DataFrame
     held = spark.sparkContext.broadcast(frequent_words(docs.select(text.alias("text")), total, encoder(ranks.value)))
     dealt = in_chunks(rows, held, total)
     words = dealt.where("__words is not null").select("__chunk", F.posexplode("__words").alias("no", "word"))
-    ids = words.repartition("word").sortWithinPartitions("word").mapInArrow(encode_words(ranks), "__chunk long, no int, ids binary")
+    kind = "<u2" if max(read_ranks(ranks.value).values(), default=0) < 1 << 16 else "<u4"
+    ids = words.repartition("word").sortWithinPartitions("word").mapInArrow(encode_words(ranks, kind), "__chunk long, no binary, n binary, ids binary")
     fields = [f for f in rows.schema.fields if f.name != "__text"] + [StructField("n_tokens", LongType()), StructField("ids", BinaryType())]
     if decoded:
         fields.append(StructField("decoded", BinaryType()))
-    step = encode_chunk(held, decode_rows(ranks) if decoded else None)
+    step = encode_chunk(held, kind, decode_rows(ranks) if decoded else None)
     return dealt.groupBy("__chunk").cogroup(ids.groupBy("__chunk")).applyInArrow(step, StructType(fields))
 
 
