@@ -1,30 +1,34 @@
 """Line dedup with two Bloom filters.
 
-A line's key is the line stripped of `[\\x20\\x09-\\x0D]` at both ends with A-Z lower-cased.  Each
-task sets the bits of its documents' keys in a once-seen filter and, for keys met again, in a
-twice-seen filter.  Filters are merged segment by segment (bits that two tasks both have are twice
-seen), so the merged twice-seen filter holds every repeated key and a few that only look so.  Only
-keys it holds are shuffled, for exact confirmation by a 128-bit digest and for the smallest doc_id.
+A line's key is the line stripped of `[\\x20\\x09-\\x0D]` at both ends with A-Z lower-cased, and is
+known by a 128-bit digest.  Each task sets the bits of its documents' keys in a once-seen filter
+and, for keys met again, in a twice-seen filter.  Filters are merged segment by segment, first in
+groups of tasks and then over the groups (bits that two tasks both have are twice seen), so the
+merged twice-seen filter holds every repeated key and a few that only look so.  Only keys it holds
+are shuffled, for exact confirmation and for the smallest doc_id.
 
 The filters have a bounded size: about `BITS_PER_LINE` bits a line, `MAX_BITS` at most (64 MB to
-broadcast).  Past that bound more keys are suspected and shuffled; results stay exact.
+broadcast).  Beyond 33 million lines they fill up, so more keys are suspected and shuffled (a fifth
+of the single ones at 150 million lines, nearly all at a billion, 24 bytes each); results stay exact.
 
 Edge cases: a null or empty text is one empty line; keys under `MIN_CHARS` code points stay;
 repeats inside the first document holding a key stay; a null doc_id counts as the largest id;
-rows that repeat a doc_id are one document holding all their lines; other columns pass through.
+rows that repeat a doc_id are one document holding all their lines; other columns pass through,
+renamed to in_<name> (once more if that is taken) where they clash with a column made here.
 """
 
 from __future__ import annotations
 
-import hashlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .staging import read_table, ship_code, staged
+from .staging import read_table, ship_code, staged, unstage
 from .wordhash import pieces
 
 MIN_CHARS = 10
@@ -32,138 +36,213 @@ BITS_PER_LINE = 16
 MAX_BITS = 1 << 29
 #: Bits of one segment of the filters: what one merging row holds.
 SEGMENT_BITS = 1 << 16
-SPACE = " \t\n\x0b\x0c\r"
+#: Tasks whose filters are merged first.
+TASKS_MERGED = 256
+#: Share of rows in which lines are counted, for the size of the filters only.
+COUNTED = 0.02
+SPACE = b" \t\n\x0b\x0c\r"
 NO_ID = 2**63 - 1
-_FOLD = {i: i + 32 for i in range(65, 91)}
+MARKS = "segment int, part int, twice boolean, bits binary"
+MADE = ("doc_id", "n_lines", "n_dropped", "kept_text")
 
 
-def line_key(line: str) -> str:
-    key = line.strip(SPACE)
-    return key.lower() if key.isascii() else key.translate(_FOLD)
+def digests(lines: list[bytes], least: int) -> list[bytes | None]:
+    """The digest of each lower-cased line's key; None if the key is shorter than `least` code points."""
+    out: list[bytes | None] = []
+    for line in lines:
+        key = line.strip(SPACE) if len(line) >= least else b""
+        n = len(key)
+        if n < least or (n < 4 * least and not key.isascii() and len(key.decode("utf-8", "replace")) < least):
+            out.append(None)
+        else:
+            out.append(xxhash.xxh3_128_digest(key))
+    return out
 
 
-def digest(key: str) -> bytes:
-    return hashlib.blake2b(key.encode("utf-8", "surrogatepass"), digest_size=16).digest()
+def _keys(text: bytes | None, least: int) -> set[bytes]:
+    """Distinct digests of a text (bytes.lower folds A-Z only)."""
+    found = set(digests(text.lower().split(b"\n"), least)) if text else set()
+    found.discard(None)
+    return found
 
 
-def _keys(text: str | None, least: int) -> set[bytes]:
-    return {digest(k) for x in (text or "").split("\n") if len(x) >= least and len(k := line_key(x)) >= least}
+def _texts(column: pa.Array) -> list[bytes | None]:
+    return column.cast(pa.large_binary()).to_pylist()
 
 
-def _bits(digests: list[bytes], bits: int) -> tuple[np.ndarray, np.ndarray]:
+def _places(keys: list[bytes], bits: int) -> tuple[np.ndarray, np.ndarray]:
     """Two bit numbers of each digest."""
-    both = np.frombuffer(b"".join(digests), np.uint64).reshape(-1, 2) & np.uint64(bits - 1)
+    both = np.frombuffer(b"".join(keys), np.uint64).reshape(-1, 2) & np.uint64(bits - 1)
     return both[:, 0].astype(np.int64), both[:, 1].astype(np.int64)
 
 
+def _held(bitmap: np.ndarray, at: np.ndarray) -> np.ndarray:
+    return ((bitmap[at >> 3] >> (at & 7).astype(np.uint8)) & 1).astype(bool)
+
+
+def _set(bitmap: np.ndarray, at: np.ndarray) -> None:
+    np.bitwise_or.at(bitmap, at >> 3, np.left_shift(np.uint8(1), (at & 7).astype(np.uint8)))
+
+
+def _add(once: np.ndarray, twice: np.ndarray, keys: list[bytes], bits: int) -> None:
+    """Keys of several documents, each document's once."""
+    a, b = _places(keys, bits)
+    _, first, count = np.unique(np.frombuffer(b"".join(keys), np.uint64)[::2], return_index=True, return_counts=True)
+    again = _held(once, a) & _held(once, b)
+    again[first[count > 1]] = True
+    for bitmap, at in ((twice, a[again]), (twice, b[again]), (once, a), (once, b)):
+        _set(bitmap, at)
+
+
+def packed(bitmap: np.ndarray) -> bytes:
+    """One segment as offsets of its bits or, if that is shorter, as it is."""
+    at = np.flatnonzero(np.unpackbits(bitmap, bitorder="little")).astype("<u2").tobytes()
+    return at if len(at) < len(bitmap) else bitmap.tobytes()
+
+
+def unpacked(raw: bytes) -> np.ndarray:
+    if len(raw) == SEGMENT_BITS // 8:
+        return np.frombuffer(raw, np.uint8)
+    out = np.zeros(SEGMENT_BITS // 8, np.uint8)
+    _set(out, np.frombuffer(raw, "<u2").astype(np.int64))
+    return out
+
+
 def local_filters(bits: int, least: int):
-    """Per task: bits of the once-seen and the twice-seen filter, as offsets by segment."""
+    """Per task and segment: the bits of both filters."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         once, twice = np.zeros(bits // 8, np.uint8), np.zeros(bits // 8, np.uint8)
         for batch in pieces(batches):
-            keys = [k for t in batch.column(0).to_pylist() for k in _keys(t, least)]
-            for begin in range(0, len(keys), 4096):
-                _add(once, twice, keys[begin : begin + 4096], bits)
-        step = 32 * SEGMENT_BITS // 8
-        for kind, held in (("twice", twice), ("once", once)):
-            for begin in range(0, len(held), step):
-                part = held[begin : begin + step]
-                if not part.any():
-                    continue
-                at = np.flatnonzero(np.unpackbits(part, bitorder="little")) + begin * 8
-                segment, where = np.unique(at // SEGMENT_BITS, return_index=True)
-                low = np.split((at % SEGMENT_BITS).astype(np.uint16), where[1:])
-                yield pa.RecordBatch.from_arrays([pa.array(segment.astype(np.int32)), pa.array([kind == "twice"] * len(segment)), pa.array([x.tobytes() for x in low], pa.binary())], names=["segment", "twice", "bits"])
+            keys = [k for t in _texts(batch.column(0)) for k in _keys(t, least)]
+            if keys:
+                _add(once, twice, keys, bits)
+        part, size = TaskContext.get().partitionId() // TASKS_MERGED, SEGMENT_BITS // 8
+        for again, held in ((True, twice), (False, once)):
+            full = np.flatnonzero(held.reshape(-1, size).any(axis=1))
+            for begin in range(0, len(full), 64):
+                found = full[begin : begin + 64]
+                raw = [packed(held[i * size : (i + 1) * size]) for i in found.tolist()]
+                yield pa.RecordBatch.from_arrays([pa.array(found.astype(np.int32)), pa.array(np.full(len(found), part, np.int32)), pa.array([again] * len(found)), pa.array(raw, pa.binary())], names=["segment", "part", "twice", "bits"])
 
     return run
 
 
-def _add(once: np.ndarray, twice: np.ndarray, keys: list[bytes], bits: int) -> None:
-    a, b = _bits(keys, bits)
-    both = np.frombuffer(b"".join(keys), np.uint64).reshape(-1, 2)
-    _, first, count = np.unique(both[:, 0], return_index=True, return_counts=True)
-    held = lambda f, x: (f[x >> 3] >> (x & 7).astype(np.uint8)) & 1
-    again = (held(once, a) & held(once, b)).astype(bool)
-    again[first[count > 1]] = True
-    for f, x in ((twice, a[again]), (twice, b[again]), (once, a), (once, b)):
-        np.bitwise_or.at(f, x >> 3, np.left_shift(np.uint8(1), (x & 7).astype(np.uint8)))
-
-
 def merge_segment(table: pa.Table) -> pa.Table:
-    """Bits that any task has seen twice, or two tasks have seen."""
-    counts = np.zeros(SEGMENT_BITS, np.int32)
-    for twice, raw in zip(table["twice"].to_pylist(), table["bits"].to_pylist(), strict=True):
-        counts[np.frombuffer(raw, np.uint16)] += 2 if twice else 1
-    found = np.packbits(counts > 1, bitorder="little").tobytes()
-    return pa.table({"segment": table["segment"][:1], "held": pa.array([found], pa.binary())})
+    """One segment of several tasks or groups: bits that any has seen twice or two have seen, and bits seen."""
+    size = SEGMENT_BITS // 8
+    once, twice = np.zeros(size, np.uint8), np.zeros(size, np.uint8)
+    for again, raw in zip(table["twice"].to_pylist(), table["bits"].to_pylist(), strict=True):
+        own = unpacked(raw)
+        if again:
+            twice |= own
+        else:
+            twice |= once & own
+            once |= own
+    first = lambda c: pa.chunked_array([table[c].combine_chunks().take(pa.array([0, 0]))])
+    return pa.table({"segment": first("segment"), "part": first("part"), "twice": [True, False], "bits": pa.array([packed(twice), packed(once)], pa.binary())})
 
 
 def suspected(held, bits: int, least: int):
-    """Digests of each document's distinct keys that the twice-seen filter holds."""
+    """doc, row, key: digests of each row's distinct keys that the twice-seen filter holds."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         twice = np.frombuffer(held.value, np.uint8)
         for batch in pieces(batches):
-            docs, out = [], []
-            for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                keys = list(_keys(text, least))
-                if keys:
-                    a, b = _bits(keys, bits)
-                    ok = (twice[a >> 3] >> (a & 7).astype(np.uint8)) & (twice[b >> 3] >> (b & 7).astype(np.uint8)) & 1
-                    for i in np.flatnonzero(ok).tolist():
-                        docs.append(doc)
-                        out.append(keys[i])
-            yield pa.RecordBatch.from_arrays([pa.array(docs, pa.int64()), pa.array(out, pa.binary())], names=["doc", "key"])
+            own = [list(_keys(t, least)) for t in _texts(batch.column(2))]
+            keys = [k for ks in own for k in ks]
+            if not keys:
+                continue
+            a, b = _places(keys, bits)
+            ok = np.flatnonzero(_held(twice, a) & _held(twice, b))
+            of = pa.array(np.repeat(np.arange(len(own)), [len(ks) for ks in own])[ok])
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(of), batch.column(1).take(of), pa.array([keys[i] for i in ok.tolist()], pa.binary())], names=["doc", "row", "key"])
 
     return run
 
 
 def drop_lines(least: int):
+    """Rows text, keys, doc_id and others, without the lines whose digests are among keys."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in pieces(batches):
+        for batch in pieces(batches, "__text"):
             n_lines, n_dropped, kept = [], [], []
-            for text, keys in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
-                own = (text or "").split("\n")
-                n_lines.append(len(own))
-                if keys:
-                    gone = set(keys)
-                    own = [x for x in own if len(x) < least or len(k := line_key(x)) < least or digest(k) not in gone]
-                n_dropped.append(n_lines[-1] - len(own))
-                kept.append("\n".join(own) if n_dropped[-1] or text is None else text)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n_lines, pa.int64()), pa.array(n_dropped, pa.int64()), pa.array(kept, pa.string()), *batch.columns[3:]], names=["doc_id", "n_lines", "n_dropped", "kept_text", *batch.schema.names[3:]])
+            for text, gone in zip(_texts(batch.column(0)), batch.column(1).to_pylist(), strict=True):
+                text = text or b""
+                n, left = text.count(b"\n") + 1, text
+                if gone:
+                    gone, own = set(gone), text.split(b"\n")
+                    own = [x for x, k in zip(own, digests(text.lower().split(b"\n"), least), strict=True) if k not in gone]
+                    left = b"\n".join(own)
+                    n_dropped.append(n - len(own))
+                else:
+                    n_dropped.append(0)
+                n_lines.append(n)
+                kept.append(left)
+            made = [pa.array(n_lines, pa.int64()), pa.array(n_dropped, pa.int64()), pa.array(kept, pa.binary()).view(pa.string())]
+            yield pa.RecordBatch.from_arrays([batch.column(2), *made, *batch.columns[3:]], names=[*MADE, *batch.schema.names[3:]])
 
     return run
 
 
+def _keyed(docs: DataFrame, *more) -> DataFrame:
+    """__doc, __row (a hash of the text), __text and more columns: rows of one id, or of none, are told apart."""
+    text = F.col("text").cast("string")
+    return docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("__doc"), F.xxhash64(text).alias("__row"), text.alias("__text"), *more)
+
+
+def filter_bits(texts: DataFrame) -> int:
+    """A power of two: the size of the filters for the column `text`."""
+    n_bytes, lines = F.octet_length("text") + 1, F.length("text") - F.length(F.translate("text", "\n", "")) + 1
+    counted = texts.withColumn("counted", F.rand(7) < COUNTED)
+    total, seen, some = counted.agg(F.sum(n_bytes), F.sum(F.when(F.col("counted"), lines)), F.sum(F.when(F.col("counted"), n_bytes))).first()
+    lines = (total or 0) * ((seen or 0) + 1) / ((some or 0) + 64)
+    return 1 << max(SEGMENT_BITS.bit_length() - 1, min(MAX_BITS.bit_length() - 1, int(lines * BITS_PER_LINE).bit_length()))
+
+
+def twice_seen(texts: DataFrame, bits: int, least: int) -> bytes:
+    """The merged twice-seen filter of the column `text`."""
+    marks = texts.mapInArrow(local_filters(bits, least), MARKS)
+    merged = marks.groupBy("segment", "part").applyInArrow(merge_segment, MARKS).groupBy("segment").applyInArrow(merge_segment, MARKS)
+    twice = bytearray(bits // 8)
+    for row in merged.where("twice").select("segment", "bits").toLocalIterator():  # bounded by MAX_BITS
+        twice[row.segment * SEGMENT_BITS // 8 : (row.segment + 1) * SEGMENT_BITS // 8] = unpacked(row.bits).tobytes()
+    return bytes(twice)
+
+
 def repeated_lines(docs: DataFrame, least: int = MIN_CHARS) -> DataFrame:
-    """doc, keys: the digests of the lines that each document loses."""
+    """__doc, __row, __keys: the digests of the lines that each row loses."""
     spark = docs.sparkSession
     ship_code(spark)
-    rows = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("doc"), F.col("text").cast("string").alias("text"))
-    lines = rows.agg(F.sum(F.length("text") - F.length(F.translate("text", "\n", "")) + 1)).first()[0] or 0
-    bits = 1 << max(SEGMENT_BITS.bit_length() - 1, min(MAX_BITS.bit_length() - 1, (int(lines) * BITS_PER_LINE).bit_length()))
-    marks = rows.select("text").mapInArrow(local_filters(bits, least), "segment int, twice boolean, bits binary")
-    merged = marks.groupBy("segment").applyInArrow(merge_segment, "segment int, held binary")
-    twice = bytearray(bits // 8)
-    for row in merged.toLocalIterator():  # bounded by MAX_BITS
-        twice[row.segment * SEGMENT_BITS // 8 : (row.segment + 1) * SEGMENT_BITS // 8] = row.held
-    held = spark.sparkContext.broadcast(bytes(twice))
-    keys = staged(rows.mapInArrow(suspected(held, bits, least), "doc long, key binary"), "op7-keys")
+    rows = _keyed(docs)
+    texts = rows.select(F.col("__text").alias("text"))
+    bits = filter_bits(texts)
+    held = spark.sparkContext.broadcast(twice_seen(texts, bits, least))
+    found = rows.select(F.col("__doc").alias("doc"), F.col("__row").alias("row"), F.col("__text").alias("text")).mapInArrow(suspected(held, bits, least), "doc long, row long, key binary")
+    keys = staged(found, "op7-keys")
     first = keys.groupBy("key").agg(F.min("doc").alias("first"), F.max("doc").alias("last")).where("first < last").select("key", "first")
-    return keys.join(first, "key").where("doc > first").groupBy("doc").agg(F.collect_set("key").alias("keys"))
+    first = staged(first, "op7-first")  # joined from an exchange of its own, so that a hot line can be split
+    gone = keys.join(first, "key").where("doc > first").groupBy("doc", "row").agg(F.collect_set("key").alias("keys"))
+    gone = staged(gone.toDF("__doc", "__row", "__keys"), "op7-gone")  # the same for a hot text
+    unstage(keys)
+    unstage(first)
+    return gone
 
 
 def line_dedup(docs: DataFrame, least: int = MIN_CHARS) -> DataFrame:
-    """doc_id, n_lines, n_dropped, kept_text and the other input columns, renamed to in_<name> if they clash."""
+    """doc_id, n_lines, n_dropped, kept_text and the other input columns."""
     gone = repeated_lines(docs, least)
-    names = [c for c in docs.columns if c not in ("doc_id", "text")]
-    taken = {"n_lines", "n_dropped", "kept_text"}
-    rest = [F.col(f"`{c}`").alias(f"in_{c}" if c in taken else c) for c in names]
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("__doc"), *rest)
-    joined = rows.join(gone.withColumnRenamed("doc", "__doc").withColumnRenamed("keys", "__keys"), "__doc", "left")
-    own = [c for c in rows.columns if c not in ("doc_id", "text", "__doc")]
-    joined = joined.select("doc_id", "text", "__keys", *(F.col(f"`{c}`") for c in own))
+    taken, rest = {*MADE, *docs.columns}, []
+    for c in docs.columns:
+        if c not in ("doc_id", "text"):
+            name = c
+            while c in MADE and name in taken:
+                name = f"in_{name}"
+            taken.add(name)
+            rest.append(F.col(f"`{c}`").alias(name))
+    joined = _keyed(docs, F.col("doc_id").cast("long").alias("doc_id"), *rest).join(gone, ["__doc", "__row"], "left")
+    own = [c for c in joined.columns if c not in ("__doc", "__row", "__text", "__keys", "doc_id")]
+    joined = joined.select("__text", "__keys", "doc_id", *(F.col(f"`{c}`") for c in own))
     schema = "doc_id long, n_lines long, n_dropped long, kept_text string" + "".join(f", `{c}` {joined.schema[c].dataType.simpleString()}" for c in own)
     return joined.mapInArrow(drop_lines(least), schema)
 
