@@ -166,12 +166,68 @@ def test_op5(spark, edges, empty):
 
 def test_op5_folding():
     assert toxicity.fold("Ѕtup1d, cl0wn!") == " stupid clown "
+    assert toxicity.fold("E\u0301T\u00c9 a_b") == " ete a b " and toxicity.fold("A_b, c4t!") == " a b cat "
     words = toxicity.Lexicon({" clown": 5.0})
-    assert words.features("a cl​оwn")[0] > 0 and words.features("a clown fish") == words.features(None) == (0, 0)
-    short, long = words.features("a clown"), words.features("a clown " + "word " * 500)
+    score = lambda t: words.features(toxicity.fold(t))
+    assert score("a cl\u200bоwn")[0] > 0 and score("a clown fish") == score(None) == score("") == (0, 0)
+    short, long = score("a clown"), score("a clown " + "word " * 500)
     assert short[0] == long[0] and short[1] > long[1]
 
 
+def plain_toxicity(docs, labels):
+    """Counts, lexicon and scores with one plain pass over all texts; docs: {id: text}, labels: [(id, toxic)]."""
+    import zlib
+    from collections import Counter
+
+    of = {}
+    for d, t in labels:
+        if d is not None and t is not None and zlib.crc32(str(d).encode()) % 4 != 2:
+            of[d] = max(of.get(d, 0), t)
+    texts = {}
+    for d, t in of.items():
+        if d in docs:
+            texts[docs[d]] = max(texts.get(docs[d], 0), t)
+    rows = {}
+    for text, toxic in texts.items():
+        folded = toxicity.fold(text)
+        own = toxicity.entries_of(folded)
+        own[""] = len(folded.split())
+        for e, n in own.items():
+            x = rows.setdefault(e, Counter())
+            x["t" if toxic else "c"] += n
+            x["dt" if toxic else "dc"] += 1
+    total = rows.pop("")
+    counts = [(e, x["t"], x["c"], x["dt"], x["dc"]) for e, x in rows.items()]
+    return [toxicity.choose(counts, total["t"], total["c"], z, least) for z, least in toxicity.CHOICES]
+
+
+def test_op5_against_plain(spark):
+    """Entry weights and every score equal those of plain Python over sf0.01."""
+    docs, labels = (spark.read.parquet(f"/root/testdata/sf0.01/{t}.parquet") for t in ("documents", "labels"))
+    texts = {r.doc_id: r.text for r in docs.collect()}
+    weights, phrases, curve = toxicity.fit(docs, labels)
+    assert any(w.keys() == weights.keys() and all(math.isclose(w[e], weights[e]) for e in w) for w in plain_toxicity(texts, [(r.doc_id, r.toxic) for r in labels.collect()]))
+    entries = sorted(weights, key=len)
+    excused = [toxicity.fold(p) for p in [*toxicity.EXCEPTIONS, *phrases]]
+
+    def score(text):
+        folded = toxicity.fold(text)
+        skip = {i for p in excused for i in range(len(folded)) if folded.startswith(p, i)}
+        ranges = [(i, i + len(p) - 1) for p in excused for i in skip if folded.startswith(p, i)]
+        total = 0.0
+        for at in (i for i, c in enumerate(folded) if c == " "):
+            held = [weights[e] for e in entries if folded.startswith(e, at)]
+            total += held[-1] if held and not any(a <= at < z for a, z in ranges) else 0
+        z = curve[0] + curve[1] * math.log1p(total) + curve[2] * math.log1p(100 * total / max(folded.count(" ") - 1, 1))
+        return 1 / (1 + math.exp(-max(-30, min(30, z))))
+
+    got = {r.doc_id: r.toxicity for r in toxicity.scored(docs, labels, ["doc_id"]).collect()}
+    some = sorted(texts)[::9]
+    assert len(got) == len(texts) and all(math.isclose(got[d], score(texts[d]), rel_tol=1e-9) for d in some)
+    clash = docs.limit(20).withColumn("toxicity", F.lit(0.5))
+    assert {r.in_toxicity for r in toxicity.scored(clash, labels).collect()} == {0.5}
+
+
 @pytest.mark.parametrize("table", ["docs", "edges", "empty"])
 @pytest.mark.parametrize("small", [False, True])
 def test_op6(table, small, request, monkeypatch):
@@ -201,8 +257,8 @@ def test_op6_copies(spark, monkeypatch):
     monkeypatch.setattr(bpe, "CHUNK_BYTES", 4000)
     whole = bpe.encode_chunk
 
-    def bounded(held, then=None):
-        run = whole(held, then)
+    def bounded(held, kind, then=None):
+        run = whole(held, kind, then)
 
         def one(texts, words):
             if texts.num_rows > 300:
@@ -343,5 +399,17 @@ def test_pipeline(spark, docs, edges):
             assert {r.doc_id for r in after} == {d for d, _, _, kept in brute.near([(r.doc_id, r.text) for r in rows.values()], 5) if kept}
         if name == "bpe":
             assert sorted((r.doc_id, r.text) for r in after) == sorted((r.doc_id, r.text) for r in before.collect())
-    for _, stage in corpus_pipeline.STAGES:
-        assert stage(spark, edges, SF).count() > 0
+
+
+@pytest.mark.parametrize("name", [name for name, _ in corpus_pipeline.STAGES])
+def test_pipeline_edges(spark, edges, empty, name):
+    """Columns with names that a stage makes keep their values; an empty table gives no rows."""
+    stage = dict(corpus_pipeline.STAGES)[name]
+    names = ["toxicity", "in_toxicity", "n_lines", "n_dropped", "in_kept_text", "n_words", "component_id", "copies", "decoded", "__text"]
+    wide = edges.select("*", *(F.concat(F.lit(f"{c} of "), F.coalesce(F.col("doc_id").cast("string"), F.lit("-"))).alias(c) for c in names))
+    out = stage(spark, wide, SF)
+    rows = out.collect()
+    assert rows and stage(spark, empty, SF).count() == 0
+    if name != "bpe":
+        assert out.columns == wide.columns and stage(spark, empty, SF).columns == empty.columns
+        assert all(r[c] == f"{c} of {'-' if r.doc_id is None else r.doc_id}" for r in rows for c in names) and {r.kept_text for r in rows} <= {"k", None}
