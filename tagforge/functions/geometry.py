@@ -7,7 +7,8 @@ from functools import reduce
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# The least side of a usable tag image, and the share of its height above the colored part.
+# The frame rate of a video that tells none; the least side of a usable tag image, and the share of its height above the colored part.
+DEFAULT_RATE = 30.0
 LEAST_SIDE = 10
 TOP_SHARE = 0.55
 
@@ -81,3 +82,8 @@ def upright_points(points: Column, height: Column, width: Column) -> Column:
 def frame_ms(frame: Column, fps: Column) -> Column:
     """Milliseconds of a frame, in double and cut; without a frame rate, 40 ms a frame."""
     return F.when(fps > 0, frame / fps * 1000).otherwise(frame * F.lit(40.0)).cast("long")
+
+
+def frame_rate(fps: Column) -> Column:
+    """A video's frame rate; one that is missing or 0 is DEFAULT_RATE."""
+    return F.coalesce(F.nullif(fps.cast("double"), F.lit(0.0)), F.lit(DEFAULT_RATE))

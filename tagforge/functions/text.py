@@ -1,11 +1,14 @@
 """String expressions of price tags: trimming, prices, key-value codes, data URIs.
 
 All are built-in Spark expressions.  Patterns are Unicode-aware (`(?U)`), so a no-break space
-separates like any other.  A null is an empty text; a missing value is the empty string.
+separates like any other, and so do the four separators \\x1c to \\x1f.  A null is an empty text; a
+missing value is the empty string.
 """
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -25,10 +28,15 @@ CODE_KEYS = {
 }
 
 # A price with two decimals, a stand-alone number, a signed number, one before a percent sign.
-DECIMAL_PRICE = r"(?U)(\d{1,6})[.,\s](\d{2})\b"
+DECIMAL_PRICE = r"(?U)(\d{1,6})[.,\s\x1c-\x1f](\d{2})\b"
 WHOLE_PRICE = r"(?U)\b(\d{2,6})\b"
 SIGNED = r"(?U)(-?\d+)"
-PERCENT = r"(?U)(-?\d+)\s*%"
+PERCENT = r"(?U)(-?\d+)[\s\x1c-\x1f]*%"
+
+
+def let(value: Column, body) -> Column:
+    """body(value), with value computed once."""
+    return F.get(F.transform(F.array(value), body), 0)
 
 
 def text_of(value: Column) -> Column:
@@ -37,7 +45,7 @@ def text_of(value: Column) -> Column:
 
 def strip(value: Column) -> Column:
     """Without white space of any script at both ends (`trim` removes spaces only)."""
-    return F.regexp_replace(text_of(value), r"(?U)^\s+|\s+$", "")
+    return F.regexp_replace(text_of(value), r"(?U)^[\s\x1c-\x1f]+|[\s\x1c-\x1f]+$", "")
 
 
 def found(value: Column, pattern: str) -> Column:
@@ -62,10 +70,38 @@ def assume_kopecks(price: Column) -> Column:
 
 def parse_code(payload: Column, separator: str = ";") -> Column:
     """Struct of the columns of CODE_KEYS: parts `key=value`, the last of each column's keys wins."""
-    parts = F.filter(F.split(text_of(payload), separator, -1), lambda x: x.contains("="))
-    pairs = F.transform(parts, lambda x: F.struct(F.lower(strip(F.substring_index(x, "=", 1))).alias("k"), strip(F.regexp_replace(x, r"(?s)^[^=]*=", "")).alias("v")))
-    last = lambda keys: F.coalesce(F.try_element_at(F.filter(pairs, lambda p: p["k"].isin(keys)), F.lit(-1))["v"], F.lit(""))
-    return F.struct(*(last(keys).alias(name) for name, keys in CODE_KEYS.items()))
+    parts = F.filter(F.split(text_of(payload), re.escape(separator), -1), lambda x: x.contains("="))
+    key = lambda x: F.lower(strip(F.substring_index(x, "=", 1)))
+    value = lambda x: strip(F.substring(x, F.instr(x, "=") + 1, F.length(x)))
+    pairs = F.transform(parts, lambda x: F.struct(key(x).alias("k"), value(x).alias("v")))
+    last = lambda found, keys: F.coalesce(F.try_element_at(F.filter(found, lambda p: p["k"].isin(keys)), F.lit(-1))["v"], F.lit(""))
+    return let(pairs, lambda found: F.struct(*(last(found, keys).alias(name) for name, keys in CODE_KEYS.items())))
+
+
+def decoded(raw: Column) -> Column:
+    """Bytes as UTF-8 text without those that are no valid UTF-8; '' for null."""
+    # what replaces an invalid byte goes; the same character in valid bytes is put aside meanwhile
+    mark, kept = F.lit("\ufffd"), F.lit("\ue000\ufdd0\ue001")
+    valid = F.make_valid_utf8(F.replace(raw.cast("string"), mark, kept))
+    return text_of(F.replace(F.replace(valid, mark, F.lit("")), kept, mark))
+
+
+def overlay(payload: Column) -> Column:
+    """The start of a code's text that is drawn over its crop."""
+    return F.substring(text_of(payload), 1, 20)
+
+
+def frame_name(ms: Column, sharpness: Column | None = None) -> Column:
+    """File name of a frame; a best frame's tells its sharpness, halves rounded to even."""
+    if sharpness is None:
+        return F.format_string("frame_%06d.png", ms)
+    return F.format_string("frame_%06d_quality=%d.png", ms, F.rint(sharpness).cast("long"))
+
+
+def crop_path(folder: str, ms: Column, place: Column, has_image: Column) -> Column:
+    """Path of a tag's crop by its frame's milliseconds and its place in the frame; '' without an image."""
+    name = F.format_string(f"{folder.rstrip('/').replace('%', '%%')}/warped_%d_%d.png", ms, place)
+    return F.when(has_image, name).otherwise("")
 
 
 def base_name(path: Column) -> Column:

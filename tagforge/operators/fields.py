@@ -10,11 +10,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from tagforge.functions import geometry, text
-
-
-def let(value: Column, body) -> Column:
-    """body(value), with value computed once."""
-    return F.get(F.transform(F.array(value), body), 0)
+from tagforge.functions.text import let
 
 
 def joined(lines: Column) -> Column:

@@ -42,10 +42,20 @@ def best_turn(points: DataFrame, image: str = "image_id") -> DataFrame:
     return seen.withColumn("best", F.array_max(turns)).select(image, (-F.col("best.k")).alias("quarters"), F.col("best.score").alias("score"))
 
 
-def consecutive_similarity(images: DataFrame, order: str, grid: str) -> DataFrame:
-    """Structural similarity of each image with the one whose `order` number is one less."""
-    own = images.select(F.col(order).alias("i"), F.col(grid).alias("g")).withColumn("m", pixels.mean(F.col("g"))).withColumn("v", pixels.variance(F.col("g")))
-    before = own.select((F.col("i") + 1).alias("i"), F.col("g").alias("g0"), F.col("m").alias("m0"), F.col("v").alias("v0"))
-    both = own.join(before, "i").where(F.size("g") == F.size("g0"))
+def consecutive_similarity(images: DataFrame, order: str, grid: str, rows: int | None = None) -> DataFrame:
+    """Structural similarity (one window) of each image with the one whose `order` number is one less.
+
+    Given the number of rows of all images, one of another width is resized first; without it, and
+    where a grid has no whole number of columns, pairs of different sizes are left out.
+    """
+    own = images.select(F.col(order).alias("i"), F.col(grid).cast("array<double>").alias("g"))
+    before = own.select((F.col("i") + 1).alias("i"), F.col("g").alias("g0"))
+    both = own.join(before, "i")
+    if rows is not None:
+        cols = lambda c: F.floor(F.size(c) / rows).cast("int")
+        whole = (F.size("g") > 0) & (F.size("g0") > 0) & (F.size("g") % rows == 0) & (F.size("g0") % rows == 0)
+        both = both.withColumn("g0", F.when(whole & (F.size("g") != F.size("g0")), pixels.resized_grid(F.col("g0"), F.lit(rows), cols("g0"), F.lit(rows), cols("g"))).otherwise(F.col("g0")))
+    moments = {"m": pixels.mean(F.col("g")), "v": pixels.variance(F.col("g")), "m0": pixels.mean(F.col("g0")), "v0": pixels.variance(F.col("g0"))}
+    both = both.where(F.size("g") == F.size("g0")).withColumns(moments)
     cov = pixels.mean(F.zip_with("g", "g0", lambda a, b: a * b)) - F.col("m") * F.col("m0")
     return both.select(F.col("i").alias(order), pixels.similarity(F.col("m"), F.col("v"), F.col("m0"), F.col("v0"), cov).alias("similarity"))

@@ -21,6 +21,17 @@ SHOWN = [
     "color", "special_symbols", "frame_timestamp", "raw_text", *text.CODE_KEYS, "x_min", "y_min", "x_max", "y_max",
 ]
 
+# What the shown columns are called, the thumbnail first, and the names of colors.
+LABELS = {
+    "thumbnail": "Фото", "product_name": "Название", "price_default": "Цена", "price_card": "Цена по карте", "price_discount": "Цена со скидкой", "discount_amount": "Скидка",
+    "barcode": "QR-сырые данные", "id_sku": "SKU", "print_datetime": "Дата печати", "code": "Код", "additional_info": "Доп. информация", "color": "Цвет", "special_symbols": "Символы",
+    "frame_timestamp": "Кадр", "raw_text": "Исходный текст OCR", "qr_code_barcode": "Штрихкод из QR", "price1_qr": "Цена 1 (QR)", "price2_qr": "Цена 2 (QR)", "price3_qr": "Цена 3 (QR)",
+    "price4_qr": "Цена 4 (QR)", "wholesale_level_1_count": "Опт 1, кол-во", "wholesale_level_1_price": "Опт 1, цена", "wholesale_level_2_count": "Опт 2, кол-во",
+    "wholesale_level_2_price": "Опт 2, цена", "action_price_qr": "Акц. цена (QR)", "action_code_qr": "Код акции (QR)", "x_min": "X min", "y_min": "Y min", "x_max": "X max", "y_max": "Y max",
+}
+COLOR_NAMES = {"red": "красный", "yellow": "жёлтый"}
+OTHER_COLOR = "неизвестно"
+
 
 def explode_tags(frames: DataFrame) -> DataFrame:
     """frames: video, timestamp_ms, price_tags -> one row a tag; a frame without tags gives none."""
@@ -36,9 +47,9 @@ def with_formatted_prices(rows: DataFrame) -> DataFrame:
     return rows.withColumns({c: F.when(F.col(c) != "", text.format_price(F.col(c))).otherwise(F.col(c)) for c in PRICES if c in rows.columns})
 
 
-def records(tags: DataFrame, assume_99: bool = True) -> DataFrame:
+def records(tags: DataFrame, assume_99: bool = True, keep: tuple[str, ...] = ()) -> DataFrame:
     """tags: video, timestamp_ms, corners, color, qr_data, qr_bbox, ocr_text, warp_w, warp_h and perhaps
-    warped_image -> the 31 columns.  A null color is unknown; null lines are none."""
+    warped_image -> the 31 columns and those to keep.  A null color is unknown; null lines are none."""
     lines = F.coalesce("ocr_text", F.array().cast(tags.schema["ocr_text"].dataType))
     color = F.coalesce("color", F.lit("unknown"))
     width, height = F.coalesce("warp_w", F.lit(0)), F.coalesce("warp_h", F.lit(0))
@@ -52,14 +63,29 @@ def records(tags: DataFrame, assume_99: bool = True) -> DataFrame:
         "frame_timestamp": F.col("timestamp_ms"),
         "color": color,
     })
-    kept = [c for c in rows.columns if c in COLUMNS]
-    return with_formatted_prices(complete(rows.select(*kept, "fields.*", "codes.*", "box.*")))
+    kept = [c for c in rows.columns if c in COLUMNS or c in keep]
+    return with_formatted_prices(complete(rows.select(*kept, "fields.*", "codes.*", "box.*"), [*COLUMNS, *keep]))
 
 
-def display(rows: DataFrame) -> DataFrame:
-    """Shown columns as text with `-` for what is missing; prices with a decimal comma."""
+def display(rows: DataFrame, *more: str) -> DataFrame:
+    """Shown columns as text with `-` for what is missing; prices with a decimal comma; more columns as they are."""
     shown = lambda c: text.format_price(F.col(c)) if c in PRICES else F.col(c)
-    return rows.select(*(text.placeholder(shown(c)).alias(c) for c in SHOWN))
+    return rows.select(*more, *(text.placeholder(shown(c)).alias(c) for c in SHOWN))
+
+
+def color_name(color: F.Column) -> F.Column:
+    out = F.lit(OTHER_COLOR)
+    for key, name in COLOR_NAMES.items():
+        out = F.when(color == key, name).otherwise(out)
+    return out
+
+
+def labelled(rows: DataFrame) -> DataFrame:
+    """Shown columns under their labels, colors by name, the thumbnail (`-` without one) first."""
+    shown = display(rows, *(["thumbnail"] if "thumbnail" in rows.columns else []))
+    picture = text.placeholder(F.col("thumbnail")) if "thumbnail" in rows.columns else F.lit("-")
+    columns = {c: F.col(c) for c in SHOWN} | {"thumbnail": picture, "color": color_name(F.col("color"))}
+    return shown.select(*(columns[c].alias(name) for c, name in LABELS.items()))
 
 
 def with_thumbnails(rows: DataFrame, images: DataFrame) -> DataFrame:

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from tagforge.functions.text import CODE_KEYS
-from tagforge.operators.records import PRICES, SHOWN
+from tagforge.operators.records import LABELS, PRICES, SHOWN
 
 _BOXES = """b AS (SELECT user_id AS track_id, event_id // 50 AS frame_idx, event_id AS box_idx, (event_id % 100) / 100.0::DOUBLE AS conf, value AS sharpness FROM events),
 s AS (SELECT *, sharpness + 100 * conf AS score FROM b WHERE conf >= 0.3 AND track_id IS NOT NULL),
@@ -57,6 +57,25 @@ rec AS (
     'img/' || o_orderkey AS warped_image, ' Item ' || o_orderpriority || ' ' || (o_orderkey % 900 + 100) || ' -' || cut || ' ' || (o_custkey % 700 + 100) || ' 49' AS raw_text,
     {", ".join(f"replace({c}, '.', ',') AS {c}" if c in PRICES else c for c in CODE_KEYS)}
   FROM parsed)"""
+_FIELDS = f"""
+base AS (
+  SELECT o_orderkey, o_orderkey AS k, o_custkey AS c, ' Item ' || o_orderpriority AS t1, 15 + o_orderkey % 3 * 12 AS y2,
+    CASE WHEN o_orderkey % 5 = 0 THEN 'no price' ELSE (o_orderkey % 900 + 100)::VARCHAR END AS t2, (o_custkey % 800 + 100) || '.' || lpad((o_orderkey % 100)::VARCHAR, 2, '0') AS t3,
+    CASE WHEN o_orderkey % 7 = 0 THEN 'abc' ELSE '-' || o_custkey % 130 || CASE WHEN o_orderkey % 2 = 0 THEN '%' ELSE '' END END AS t4,
+    CASE WHEN o_orderkey % 11 = 0 THEN 'x' ELSE (o_custkey % 700 + 100) || ' 49' END AS t5, CASE WHEN o_orderkey % 6 = 0 THEN 'x' ELSE (o_custkey % 600 + 100) || ',00' END AS t6,
+    8 + o_orderkey % 4 * 4 AS h5, 12 AS h6, CASE WHEN o_orderkey % 4 = 0 THEN 10 + o_orderkey % 3 * 20 END AS bottom, CASE o_orderkey % 3 WHEN 0 THEN 'red' WHEN 1 THEN 'yellow' ELSE 'unknown' END AS color
+  FROM orders),
+priced AS (SELECT *, {_price("t2")} AS p2, {_price("t3")} AS p3, {_price("t5")} AS p5, {_price("t6")} AS p6, {_price("(t1 || ' ' || t2 || ' ' || t3 || ' ' || t4 || ' ' || t5 || ' ' || t6)")} AS whole,
+    coalesce(CASE WHEN contains(t4, '%') THEN nullif(regexp_extract(t4, '(-?\\d+)\\s*%', 1), '') END, nullif(regexp_extract(t4, '(-?\\d+)', 1), '')) AS n FROM base),
+-- right-top lines below the code, or all of them if there are none
+offered AS (SELECT *, CASE WHEN bottom IS NULL OR (y2 <= bottom AND 45 <= bottom) THEN [p2, p3] WHEN y2 > bottom AND 45 > bottom THEN [p2, p3] WHEN 45 > bottom THEN [p3] ELSE [p2] END AS near FROM priced),
+chosen AS (
+  SELECT *, coalesce(list_filter(near, lambda p: p <> '')[1], CASE WHEN color <> 'red' THEN whole END, '') AS d0,
+    CASE WHEN color = 'red' AND abs(n::BIGINT) > 100 THEN '-' || ltrim(n, '-') ELSE '' END AS moved, CASE WHEN color = 'red' AND abs(n::BIGINT) <= 100 THEN '-' || ltrim(n, '-') || '%' ELSE '' END AS amount,
+    CASE WHEN p5 <> '' AND (p6 = '' OR h5 >= h6) THEN p5 ELSE p6 END AS tall FROM offered),
+ended AS (SELECT *, {_KOPECKS.format("d0")} AS d1, CASE WHEN color = 'red' THEN {_KOPECKS.format("coalesce(nullif(tall, ''), moved)")} ELSE '' END AS r1 FROM chosen)"""
+_NAMES = {k: f'"{v}"' for k, v in LABELS.items()}
+_COLOR_SQL = "CASE color WHEN 'red' THEN 'красный' WHEN 'yellow' THEN 'жёлтый' ELSE 'неизвестно' END"
 _SHOWN = ", ".join(f"coalesce(nullif({c}::VARCHAR, ''), '-') AS {c}" for c in SHOWN)
 
 SQL = {
@@ -82,7 +101,10 @@ WITH t AS (
 d AS (SELECT *, CASE o_orderkey % 3 WHEN 0 THEN w || '.00' WHEN 1 THEN w || '.' || c ELSE {_price("('N ' || w || ' ' || c)")} END AS b FROM t),
 k AS (SELECT *, {_KOPECKS.format("b")} AS p FROM d)
 SELECT o_orderkey, CASE WHEN p::DOUBLE < a::DOUBLE THEN '' ELSE replace(p, '.', ',') END AS price_default, replace(a, '.', ',') AS price_discount FROM k""",
-    "q09_code_fields": f"WITH p AS (SELECT o_orderkey, {_PAYLOAD} AS payload FROM orders), k AS (SELECT o_orderkey, {_PAIRS} AS kv FROM p) SELECT o_orderkey, {_CODES} FROM k",
+    "q09_code_fields": f"""
+WITH p AS (SELECT 'order ' || o_orderkey AS key, {_PAYLOAD} AS payload, ';' AS sep FROM orders
+  UNION ALL SELECT 'page ' || page_id, replace(CASE WHEN contains(url, '?') THEN substr(url, instr(url, '?') + 1) ELSE '' END || '&p3=' || page_id, 'page=', 'P2='), '&' FROM pages),
+k AS (SELECT key, {_PAIRS.replace("';'", "sep")} AS kv FROM p) SELECT key, {_CODES} FROM k""",
     "q10_code_fallback": """
 SELECT event_id, coalesce(nullif(CASE WHEN event_id % 3 = 0 THEN CASE WHEN event_id % 2 = 0 THEN event_type ELSE '' END WHEN event_id % 5 = 0 THEN 'second' END, ''),
   CASE WHEN event_id % 7 <> 0 THEN user_id::VARCHAR END, '') AS qr_data FROM events""",
@@ -120,4 +142,24 @@ QUALIFY value >= greatest(0, coalesce(max(value) OVER (PARTITION BY user_id ORDE
     "q18_display": f"WITH {_RECORD} SELECT {_SHOWN} FROM rec",
     "q19_thumbnails": f"""WITH {_RECORD}
 SELECT warped_image, md5(coalesce('data:image/png;base64,' || to_base64(encode(text)), '')) AS thumbnail_md5 FROM rec LEFT JOIN documents ON warped_image = 'img/' || doc_id""",
+    "q20_keyframes": """
+WITH b AS (SELECT 'v' || user_id % 3 AS video, user_id AS track_id, event_id // 50 AS frame_idx, event_id AS box_idx, (event_id % 100) / 100.0::DOUBLE AS conf, value AS sharpness FROM events),
+s AS (SELECT *, sharpness + 100 * conf AS score FROM b WHERE conf >= 0.3 AND track_id IS NOT NULL),
+best AS (
+  SELECT *, first_value(frame_idx) OVER f AS first_frame, first_value(box_idx) OVER f AS first_box, row_number() OVER (PARTITION BY video, track_id ORDER BY score DESC NULLS LAST, frame_idx, box_idx) AS place
+  FROM s WINDOW f AS (PARTITION BY video, track_id ORDER BY frame_idx, box_idx ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING)),
+wanted AS (SELECT video, frame_idx, max(sharpness) AS sharpness, string_agg(track_id::VARCHAR, ',' ORDER BY first_frame, first_box) AS tracks, string_agg((box_idx % 70 + 60)::VARCHAR, ',' ORDER BY first_frame, first_box) AS right_edges FROM best WHERE place = 1 GROUP BY video, frame_idx),
+videos AS (SELECT * FROM (VALUES ('v0', 30.0::DOUBLE), ('v1', 25.0::DOUBLE), ('v2', 29.97::DOUBLE)) AS v(video, fps))
+SELECT w.video, w.frame_idx, trunc(w.frame_idx / fps * 1000)::BIGINT AS timestamp_ms, round(sharpness, 6) AS sharpness, tracks, right_edges, p_name
+FROM wanted w JOIN videos v ON v.video = w.video JOIN part ON w.video = 'v' || p_partkey % 3 AND w.frame_idx = p_partkey // 3""",
+    "q21_fields": f"""WITH {_FIELDS}
+SELECT o_orderkey, trim(t1) AS product_name, CASE WHEN try_cast(d1 AS DOUBLE) < try_cast(r1 AS DOUBLE) THEN '' ELSE d1 END AS price_default, '' AS price_card, r1 AS price_discount, amount AS discount_amount FROM ended""",
+    "q22_labelled": f"""WITH {_RECORD}
+SELECT {", ".join(f"{_COLOR_SQL if c == 'color' else f"coalesce(nullif({c}::VARCHAR, ''), '-')"} AS {_NAMES[c]}" for c in SHOWN)},
+  coalesce(md5('data:image/png;base64,' || to_base64(encode(text))), '-') AS {_NAMES["thumbnail"]} FROM rec LEFT JOIN documents ON warped_image = 'img/' || doc_id""",
+    "q23_names": f"""
+SELECT o_orderkey, 'frame_' || CASE WHEN o_orderkey * 40 > 999999 THEN (o_orderkey * 40)::VARCHAR ELSE lpad((o_orderkey * 40)::VARCHAR, 6, '0') END || '.png' AS frame,
+  'frame_' || CASE WHEN o_orderkey * 40 > 999999 THEN (o_orderkey * 40)::VARCHAR ELSE lpad((o_orderkey * 40)::VARCHAR, 6, '0') END || '_quality=' || CASE WHEN o_custkey % 4 = 3 THEN o_custkey // 2 + 1 ELSE o_custkey // 2 END || '.png' AS best_frame,
+  CASE WHEN o_orderkey % 4 <> 0 THEN 'out/warped_tags/warped_' || o_orderkey * 40 || '_' || o_orderkey % 3 || '.png' ELSE '' END AS crop, substr({_PAYLOAD}, 1, 20) AS overlay,
+  round(0.55::DOUBLE + 0.35::DOUBLE * (o_orderkey % 3 + 1) / 3, 9) AS progress FROM orders""",
 }

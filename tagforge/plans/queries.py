@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tagforge.functions import geometry, pixels, text
-from tagforge.operators import fields, images, records, tracks
+from tagforge.operators import fields, images, pipeline, records, tracks
 from tagforge.sources.tables import read_parquet
 
 FPS = 29.97
@@ -84,7 +84,11 @@ def payload() -> F.Column:
 
 
 def q09(spark: SparkSession, d: str) -> DataFrame:
-    return read_parquet(spark, d, "orders").select("o_orderkey", text.parse_code(payload()).alias("c")).select("o_orderkey", "c.*")
+    """Payloads made from orders, and the queries of the URLs of pages, whose parts are separated by `&`."""
+    made = read_parquet(spark, d, "orders").select(F.concat(F.lit("order "), F.col("o_orderkey").cast("string")).alias("key"), text.parse_code(payload()).alias("c"))
+    query = F.concat(F.coalesce(F.get(F.split("url", "\\?", 2), 1), F.lit("")), F.lit("&p3="), F.col("page_id").cast("string"))
+    urls = read_parquet(spark, d, "pages").select(F.concat(F.lit("page "), F.col("page_id").cast("string")).alias("key"), text.parse_code(F.replace(query, F.lit("page="), F.lit("P2=")), "&").alias("c"))
+    return made.unionByName(urls).select("key", "c.*")
 
 
 def q10(spark: SparkSession, d: str) -> DataFrame:
@@ -156,3 +160,55 @@ def q18(spark: SparkSession, d: str) -> DataFrame:
 def q19(spark: SparkSession, d: str) -> DataFrame:
     blobs = read_parquet(spark, d, "documents").select(F.concat(F.lit("img/"), F.col("doc_id").cast("string")).alias("path"), F.encode("text", "UTF-8").alias("content"))
     return records.with_thumbnails(q17(spark, d), blobs).select("warped_image", F.md5("thumbnail").alias("thumbnail_md5"))
+
+
+def q20(spark: SparkSession, d: str) -> DataFrame:
+    """Best frames of three videos (one without a frame rate) joined with a table of frames that lacks some."""
+    e, p, key = read_parquet(spark, d, "events"), read_parquet(spark, d, "part"), F.col("p_partkey")
+    video = lambda c: F.concat(F.lit("v"), (c % 3).cast("string")).alias("video")
+    found = e.select(video(F.col("user_id")), F.col("user_id").alias("track_id"), F.expr("event_id div 50").alias("frame_idx"), F.col("event_id").alias("box_idx"), ((F.col("event_id") % 100) / 100).alias("conf"), F.col("value").alias("sharpness"), *((F.col("event_id") % n).cast("double").alias(c) for c, n in (("x1", 50), ("y1", 40))), *((F.col("event_id") % n + 60).cast("double").alias(c) for c, n in (("x2", 70), ("y2", 90))))
+    frames = p.select(video(key), F.expr("p_partkey div 3").alias("frame_idx"), "p_name")
+    videos = spark.createDataFrame([("v0", 0.0), ("v1", 25.0), ("v2", FPS)], "video string, fps double")
+    out = pipeline.keyframes(found, frames, videos)
+    tracks_of = F.array_join(F.transform("price_tags", lambda t: t["track_id"].cast("string")), ",")
+    x = F.transform("price_tags", lambda t: t["corners"][2][0].cast("int").cast("string"))
+    return out.select("video", "frame_idx", "timestamp_ms", F.round("sharpness", 6).alias("sharpness"), tracks_of.alias("tracks"), F.array_join(x, ",").alias("right_edges"), "p_name")
+
+
+def varied_tags(spark: SparkSession, d: str) -> DataFrame:
+    """Tags of 200 x 100 for all orders whose lines, heights and codes vary: two prices above, two below, a discount."""
+    k, c = F.col("o_orderkey"), F.col("o_custkey")
+    number = lambda x: x.cast("string")
+    line = lambda t, x, y, h=10: F.struct(geometry.corners(F.lit(x - 5), y - h / 2, F.lit(x + 5), y + h / 2).alias("bbox"), t.alias("text"))
+    lines = F.array(
+        line(F.concat(F.lit(" Item "), F.col("o_orderpriority")), 50, F.lit(20)),
+        line(F.when(k % 5 == 0, "no price").otherwise(number(k % 900 + 100)), 150, 15 + k % 3 * 12),
+        line(F.concat(number(c % 800 + 100), F.lit("."), F.lpad(number(k % 100), 2, "0")), 150, F.lit(45)),
+        line(F.when(k % 7 == 0, "abc").otherwise(F.concat(F.lit("-"), number(c % 130), F.when(k % 2 == 0, "%").otherwise(""))), 50, F.lit(80)),
+        line(F.when(k % 11 == 0, "x").otherwise(F.concat(number(c % 700 + 100), F.lit(" 49"))), 150, F.lit(70), 8 + k % 4 * 4),
+        line(F.when(k % 6 == 0, "x").otherwise(F.concat(number(c % 600 + 100), F.lit(",00"))), 150, F.lit(90), F.lit(12)),
+    )
+    bottom = (10 + k % 3 * 20).cast("double")
+    box = F.when(k % 4 == 0, F.array(F.array(F.lit(110.0), F.lit(2.0)), F.array(F.lit(140.0), bottom)))
+    color = F.when(k % 3 == 0, "red").when(k % 3 == 1, "yellow").otherwise("unknown")
+    return read_parquet(spark, d, "orders").select("o_orderkey", lines.alias("lines"), box.alias("box"), color.alias("color"))
+
+
+def q21(spark: SparkSession, d: str) -> DataFrame:
+    found = fields.parse_fields(F.col("lines"), F.col("box"), F.col("color"), F.lit(200), F.lit(100))
+    return varied_tags(spark, d).select("o_orderkey", found.alias("f")).select("o_orderkey", "f.*")
+
+
+def q22(spark: SparkSession, d: str) -> DataFrame:
+    blobs = read_parquet(spark, d, "documents").select(F.concat(F.lit("img/"), F.col("doc_id").cast("string")).alias("path"), F.encode("text", "UTF-8").alias("content"))
+    return records.labelled(records.with_thumbnails(q17(spark, d), blobs).withColumn("thumbnail", F.when(F.col("thumbnail") != "", F.md5("thumbnail")).otherwise("")))
+
+
+def q23(spark: SparkSession, d: str) -> DataFrame:
+    """File names of frames and crops, the start of a code's text, and the progress while tags are read."""
+    ms, place = F.col("o_orderkey") * 40, F.col("o_orderkey") % 3
+    return read_parquet(spark, d, "orders").select(
+        "o_orderkey", text.frame_name(ms).alias("frame"), text.frame_name(ms, F.col("o_custkey") / 2).alias("best_frame"),
+        text.crop_path("out/warped_tags/", ms, place, F.col("o_orderkey") % 4 != 0).alias("crop"), text.overlay(payload()).alias("overlay"),
+        F.round(pipeline.read_progress(place + 1, F.lit(3)), 9).alias("progress"),
+    )

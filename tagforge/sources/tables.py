@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tagforge.functions import text
-from tagforge.operators.records import COLUMNS, SHOWN, display
+from tagforge.operators.records import COLUMNS, LABELS, SHOWN, display
 
 DETECTIONS = "video string, frame_idx long, box_idx int, track_id long, conf double, x1 float, y1 float, x2 float, y2 float, sharpness double"
 NUMBERS = {"frame_timestamp": T.LongType(), "x_min": T.IntegerType(), "y_min": T.IntegerType(), "x_max": T.IntegerType(), "y_max": T.IntegerType()}
@@ -30,9 +30,10 @@ def read_results(spark: SparkSession, path: str) -> DataFrame:
     return rows.select(*(F.col(c) if c in NUMBERS else text.text_of(F.col(c)).alias(c) for c in COLUMNS))
 
 
-def write_results(rows: DataFrame, path: str) -> None:
-    """CSV with a header; quotes are doubled and missing values empty.  Files are as many as partitions."""
-    rows.select(COLUMNS).write.mode("overwrite").csv(path, header=True, escape='"', emptyValue="", nullValue="", ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False)
+def write_results(rows: DataFrame, path: str, one_file: bool = False) -> None:
+    """CSV with a header; quotes are doubled and missing values empty.  Files are as many as partitions, or one."""
+    rows = rows.select(COLUMNS)
+    (rows.coalesce(1) if one_file else rows).write.mode("overwrite").csv(path, header=True, escape='"', emptyValue="", nullValue="", ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False)
 
 
 def read_labels(spark: SparkSession, path: str) -> DataFrame:
@@ -53,16 +54,30 @@ def read_images(spark: SparkSession, path: str, pattern: str = "*.png") -> DataF
 
 def html_rows(rows: DataFrame) -> DataFrame:
     """One HTML table row for each record; values are escaped, a thumbnail column becomes an image."""
-    shown = display(rows.drop("thumbnail"))
+    pictured = "thumbnail" in rows.columns
+    shown = display(rows, *(["thumbnail"] if pictured else []))
     cells = F.concat(*(F.concat(F.lit("<td>"), text.escape_html(F.col(c)), F.lit("</td>")) for c in SHOWN))
-    if "thumbnail" in rows.columns:
-        image = F.when(F.col("thumbnail") != "", F.concat(F.lit('<td><img src="'), F.col("thumbnail"), F.lit('"></td>'))).otherwise("<td></td>")
-        labelled = rows.select("thumbnail", *(F.col(c) for c in rows.columns if c != "thumbnail"))
-        shown = labelled.select("thumbnail", *(text.placeholder(F.col(c)).alias(c) for c in SHOWN))
+    if pictured:
+        image = F.when(text.text_of(F.col("thumbnail")) != "", F.concat(F.lit('<td><img src="'), text.escape_html(F.col("thumbnail")), F.lit('"></td>'))).otherwise("<td></td>")
         cells = F.concat(image, cells)
     return shown.select(F.concat(F.lit("<tr>"), cells, F.lit("</tr>")).alias("value"))
 
 
+def html_page(rows: DataFrame) -> DataFrame:
+    """The whole report as numbered lines: head, header row, one line a record in the order of rows, foot."""
+    names = [*(["thumbnail"] if "thumbnail" in rows.columns else []), *SHOWN]
+    header = "".join(f"<th>{LABELS[c]}</th>" for c in names)
+    head = f'<html><head><meta charset="utf-8"></head><body><table><thead><tr>{header}</tr></thead><tbody>'
+    line = lambda n, value: rows.sparkSession.range(1).select(F.lit(n).alias("part"), F.lit(0).cast("long").alias("place"), F.lit(value).alias("value"))
+    body = html_rows(rows).select(F.lit(1).alias("part"), F.monotonically_increasing_id().alias("place"), "value")
+    return line(0, head).unionByName(body).unionByName(line(2, "</tbody></table></body></html>")).orderBy("part", "place")
+
+
+def write_html_page(rows: DataFrame, path: str) -> None:
+    """One text file that is the page; for a report that a person reads, so of few rows."""
+    html_page(rows).select("value").coalesce(1).write.mode("overwrite").text(path)
+
+
 def write_html_rows(rows: DataFrame, path: str) -> None:
     """Table rows as text files; a page includes them between its own head and foot."""
     html_rows(rows).write.mode("overwrite").text(path)

@@ -8,8 +8,8 @@ import duckdb
 import pytest
 from pyspark.sql import functions as F
 
-from tagforge.functions import geometry, pixels, text
-from tagforge.operators import fields, images, records, tracks
+from tagforge.functions import geometry, pixels, similarity, text
+from tagforge.operators import fields, images, ocr, pipeline, records, tracks
 from tagforge.plans import registry
 from tagforge.sources import tables
 from tagforge.streaming import detections
@@ -129,6 +129,145 @@ def test_labels(spark, tmp_path):
     assert (row.filename, str(row.price_card), str(row.price1_qr), row.discount_amount, row.wholesale_level_1_count, row.x_min, row.code) == ("v", "415.79", "415.79", -23, None, 3194.5, None)
 
 
+def test_strip_and_separators(spark):
+    assert one(spark, text.strip(F.lit("\x1c \x1f\u00a0a b\x85\x1d"))) == "\x1c \x1f\u00a0a b\x85\x1d".strip() == "a b"
+    assert one(spark, text.extract_price(F.lit("319\x1f99"))) == "319.99"
+    codes = one(spark, text.parse_code(F.lit("p1=2&p1=&P2 = 7&ap=a;b"), "&"))
+    assert (codes.price1_qr, codes.price2_qr, codes.action_price_qr) == ("", "7", "a;b")
+    assert one(spark, text.parse_code(F.lit("p1=2|p2=3"), "|")).price2_qr == "3"
+
+
+@pytest.mark.parametrize("raw", [b"abc", b"a\xffb", b"\xd0\x96\xd0", b"\xef\xbf\xbd!\xf0\x9f\x98", b"", b"\xe2\x28\xa1", "жёлтый".encode("cp1251"), b"\xed\xa0\x80x"])
+def test_decoded(spark, raw):
+    assert one(spark, text.decoded(F.lit(raw))) == raw.decode("utf-8", "ignore")
+
+
+def test_names(spark):
+    assert one(spark, text.frame_name(F.lit(40))) == "frame_000040.png" and one(spark, text.frame_name(F.lit(1234567))) == "frame_1234567.png"
+    assert [one(spark, text.frame_name(F.lit(7), F.lit(x))) for x in (2.5, 3.5, 100.4)] == [f"frame_{7:06d}_quality={x:.0f}.png" for x in (2.5, 3.5, 100.4)]
+    assert one(spark, text.crop_path("a/100%/", F.lit(40), F.lit(2), F.lit(True))) == "a/100%/warped_40_2.png" and one(spark, text.crop_path("a", F.lit(1), F.lit(0), F.lit(False))) == ""
+    assert one(spark, text.overlay(F.lit("x" * 30))) == "x" * 20
+    assert one(spark, geometry.frame_rate(F.lit(0.0))) == one(spark, geometry.frame_rate(F.lit(None))) == 30 and one(spark, geometry.frame_rate(F.lit(25.0))) == 25
+
+
+def test_ocr_forms(spark):
+    box = "array(array(1D, 2D), array(3D, 2D), array(3D, 4D), array(1D, 4D))"
+    found = one(spark, ocr.lines_of_lists(F.expr("array('a', 'b', 'c')"), F.expr("array(0.5D, 0.25D)"), F.expr(f"array({box})")))
+    assert [(x.text, x.conf, x.bbox[2]) for x in found] == [("a", 0.5, [3, 4]), ("b", 0.25, [0, 0]), ("c", 0.0, [0, 0])]
+    assert one(spark, ocr.lines_of_lists(F.lit(None).cast("array<string>"), F.lit(None).cast("array<double>"), F.lit(None).cast("array<array<array<double>>>"))) == []
+    pairs = F.expr(f"array(named_struct('bbox', {box}, 'line', named_struct('text', 'a', 'conf', 0.5D)), named_struct('bbox', {box}, 'line', null), null)")
+    assert [(x.text, x.conf) for x in one(spark, ocr.lines_of_pairs(pairs))] == [("a", 0.5)]
+    assert one(spark, ocr.lines_of_images(F.lit(False), ocr.lines_of_pairs(pairs))) == []
+
+
+def test_turned_and_resized_grids(spark):
+    import numpy as np
+
+    rng = np.random.default_rng(3)
+    for shape in ((3, 5), (4, 4), (1, 6)):
+        g = rng.integers(0, 255, shape).astype(float)
+        grid = F.array(*map(F.lit, g.ravel().tolist()))
+        for k in range(4):
+            assert one(spark, pixels.turned_grid(grid, F.lit(shape[0]), F.lit(shape[1]), F.lit(k))) == np.rot90(g, -k).ravel().tolist()
+        for to in ((2, 3), (6, 10), (5, 2), shape):
+            want = similarity.resized(g, *to)
+            assert one(spark, pixels.resized_grid(grid, F.lit(shape[0]), F.lit(shape[1]), F.lit(to[0]), F.lit(to[1]))) == want.ravel().tolist()
+        assert (similarity.resized(g, *shape) == g).all()
+
+
+def test_windowed_similarity():
+    import numpy as np
+
+    rng = np.random.default_rng(5)
+    a = rng.integers(0, 255, (12, 9)).astype(float)
+    b = np.clip(a + rng.normal(0, 20, a.shape), 0, 255)
+    scores = []
+    for y in range(12 - 6):
+        for x in range(9 - 6):
+            p, q = a[y : y + 7, x : x + 7].ravel(), b[y : y + 7, x : x + 7].ravel()
+            c = np.cov(p, q)
+            scores.append((2 * p.mean() * q.mean() + 6.5025) * (2 * c[0, 1] + 58.5225) / ((p.mean() ** 2 + q.mean() ** 2 + 6.5025) * (c[0, 0] + c[1, 1] + 58.5225)))
+    assert math.isclose(similarity.windowed_similarity(a, b), np.mean(scores), rel_tol=1e-9)
+    assert math.isclose(similarity.windowed_similarity(a, a), 1) and math.isclose(similarity.windowed_similarity(a[:2], a[:2]), 1)
+
+
+def test_sample_images(spark):
+    import numpy as np
+
+    rng = np.random.default_rng(8)
+    base = rng.integers(0, 255, (10, 10)).astype(float)
+    other = rng.integers(0, 255, (12, 8)).astype(float)
+    frames = [base, base + 1, rng.integers(0, 255, (10, 10)).astype(float), base, other, similarity.resized(other, 10, 10), base]
+    rows = [("v", i, 50.0 if i == 6 else 200.0, *g.shape, g.ravel().tolist()) for i, g in enumerate(frames)] + [("w", 3, 200.0, 10, 10, base.ravel().tolist()), ("w", 4, 200.0, 10, 10, None), ("w", 5, 200.0, 3, 10, base.ravel().tolist())]
+    df = spark.createDataFrame(rows, "video string, frame_idx long, sharpness double, rows int, cols int, grid array<double>")
+    last, want = None, []
+    for i, g in enumerate(frames[:6]):
+        if last is None or similarity.windowed_similarity(g, last if last.shape == g.shape else similarity.resized(last, *g.shape)) <= 0.95:
+            last = g
+            want.append(i)
+    assert {r.video: r.kept for r in tracks.sample_images(df.repartition(3)).collect()} == {"v": want, "w": [3]} and 1 not in want and {2, 3, 4} <= set(want)
+    assert {r.video: r.kept for r in tracks.sample_images(df, most=2).collect()} == {"v": want[:2], "w": [3]}
+    assert tracks.sample_images(df.limit(0)).count() == 0
+
+
+def test_progress_blocks(spark):
+    import random
+
+    rng = random.Random(2)
+    rows = [(rng.choice(["a", "b", None]), i, rng.choice([None, rng.random()])) for i in range(300)]
+    most, want = {}, []
+    for task, seq, value in rows:
+        if value is not None and value >= most.get(task, 0):
+            most[task] = value
+            want.append((task, seq, value))
+    log = spark.createDataFrame(rows, "task_id string, seq long, fraction double")
+    for block in (7, 1000):
+        assert sorted(map(tuple, tracks.monotone_progress(log, block).collect()), key=lambda r: r[1]) == want
+
+
+def test_pipeline_of_tags(spark, tmp_path):
+    """Two tracks whose best frame is one, one in another frame, one whose frame is missing; both orientations."""
+    box = lambda track, frame, n, conf, sharp, w=60, h=30: ("in/v.mp4", frame, n, track, conf, 10.0 * (track or 0), 5.0, 10.0 * (track or 0) + w, 5.0 + h, sharp)
+    boxes = spark.createDataFrame([box(2, 1, 0, 0.9, 50.0), box(1, 3, 1, 0.9, 80.0), box(2, 3, 2, 0.9, 80.0), box(3, 5, 3, 0.9, 10.0), box(4, 6, 4, 0.5, 10.0, 30, 60), box(5, 6, 5, 0.4, 10.0, 8, 8), box(None, 6, 6, 0.9, 1.0)], tables.DETECTIONS)
+    frames = spark.createDataFrame([("in/v.mp4", i, f"p{i}") for i in (1, 3, 6)], "video string, frame_idx long, pixels string")
+    videos = spark.createDataFrame([("in/v.mp4", 0.0)], "video string, fps double")
+    found = {r.frame_idx: r for r in pipeline.keyframes(boxes, frames, videos).collect()}
+    assert {i: [t.track_id for t in r.price_tags] for i, r in found.items()} == {3: [2, 1], 6: [4, 5]} and found[3].timestamp_ms == 100 and found[6].pixels == "p6"
+    assert tuple(pipeline.counts(pipeline.keyframes(boxes, frames, videos)).first()) == (2, 4, 4)
+    line = "array(named_struct('bbox', array(array(2D, 2D), array(8D, 2D), array(8D, 6D), array(2D, 6D)), 'text', 'Tea'), named_struct('bbox', array(array(40D, 2D), array(44D, 2D), array(44D, 6D), array(40D, 6D)), 'text', '99.50'))"
+    read = spark.range(1).select(F.lit("in/v.mp4").alias("video"), F.explode(F.array(F.lit(2), F.lit(4), F.lit(5))).alias("track_id"), F.lit("yellow").alias("color"), F.lit("p1=3;barcode=7").alias("qr_data"), F.expr("array(array(3D, 2D), array(5D, 4D))").alias("qr_bbox"), F.expr(line).alias("ocr_text"))
+    heard = []
+    out = pipeline.in_order(pipeline.price_tags(boxes, frames, videos, read.withColumn("track_id", F.col("track_id").cast(boxes.schema["track_id"].dataType)), "aspect", progress=lambda *x: heard.append(x)))
+    rows = out.collect()
+    assert [(r.frame_timestamp, r.x_min, r.product_name, r.price_default, r.color, r.warped_image) for r in rows] == [
+        (100, 20, "Tea", "99,50", "yellow", "warped_tags/warped_100_0.png"), (100, 10, "", "", "unknown", "warped_tags/warped_100_1.png"),
+        (200, 40, "Tea", "99,50", "yellow", "warped_tags/warped_200_0.png"), (200, 50, "", "", "unknown", ""),
+    ]
+    assert rows[0].price1_qr == "3" and [x for _, x in heard] == sorted(pipeline.STAGES.values())
+    tables.write_results(out, f"{tmp_path}/one", one_file=True)
+    assert len(list((tmp_path / "one").glob("part-*"))) == 1
+    assert [r.frame_timestamp for r in tables.read_results(spark, f"{tmp_path}/one").collect()] == [100, 100, 200, 200]
+    tags = spark.createDataFrame([("a", 20, 10, [[3.0, 2.0]]), ("b", 20, 10, None), ("c", None, None, None)], "warped_image string, warp_w int, warp_h int, qr_bbox array<array<double>>")
+    turns = spark.createDataFrame([("a", 1), ("b", 3)], "warped_image string, quarters long")
+    got = {r.warped_image: (r.quarters, r.warp_w, r.warp_h, r.qr_bbox) for r in pipeline.oriented(tags, "color", turns).collect()}
+    assert got == {"a": (1, 10, 20, [[7, 3]]), "b": (3, 10, 20, None), "c": (0, None, None, None)}
+    for mode, given in (("upside down", turns), ("color", None)):
+        with pytest.raises(ValueError):
+            pipeline.oriented(tags, mode, given)
+
+
+def test_labelled_and_page(spark):
+    out = registry.QUERIES["q17_record"](spark, SF).limit(2).withColumn("thumbnail", F.lit("data:image/png;base64,AA=="))
+    shown = records.labelled(out.withColumn("color", F.lit("red")))
+    assert shown.columns == list(records.LABELS.values()) and len(shown.columns) == 30 and shown.first()["Цвет"] == "красный"
+    assert {r["Цвет"] for r in records.labelled(out.drop("thumbnail").withColumn("color", F.lit("-"))).collect()} == {"неизвестно"}
+    page = [r.value for r in tables.html_page(out.withColumn("price_default", F.lit("7.50"))).collect()]
+    assert page[0].startswith("<html>") and page[0].count("<th>") == 30 and page[-1].endswith("</html>") and len(page) == 4
+    assert all('<img src="data:image/png;base64,AA==">' in x and "<td>7,50</td>" in x for x in page[1:3])
+    evil = [r.value for r in tables.html_rows(out.withColumn("thumbnail", F.lit('"><script>'))).collect()]
+    assert all("<script>" not in x for x in evil)
+
+
 def test_stream_equals_batch(spark, tmp_path):
     rows = [("v", i, 0, i % 7 if i % 11 else None, (i % 10) / 10, 0.0, 0.0, 1.0, 1.0, float(i * 37 % 50)) for i in range(300)]
     boxes = spark.createDataFrame(rows, tables.DETECTIONS)
@@ -141,7 +280,7 @@ def test_stream_equals_batch(spark, tmp_path):
 @pytest.mark.parametrize("name", sorted(registry.QUERIES))
 def test_query_equals_oracle(spark, name):
     con = duckdb.connect()
-    for t in ("part", "orders", "lineitem", "events", "documents", "embeddings", "conversations"):
+    for t in ("part", "orders", "lineitem", "events", "documents", "embeddings", "conversations", "pages"):
         con.sql(f"CREATE VIEW {t} AS SELECT * FROM '{SF}/{t}.parquet'")
     got = registry.QUERIES[name](spark, SF)
     want = con.sql(registry.ORACLE_SQL[name])
