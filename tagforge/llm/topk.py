@@ -17,8 +17,8 @@ holds no more than two blocks and gives k rows a query, which a last ranking mer
 Edge cases: vectors that are null, empty, hold null or non-finite components or one of which
 floor(256 x) is no long take no part, as do rows with a null vec_id; a query only meets vectors of
 its own length and never its own row; rows that repeat a vec_id are queries and candidates each for
-itself; ties go to the smaller vec_id; scores are exact, and one beyond a long is given as the nearest
-long; fewer candidates give fewer rows.
+itself; scores are exact, one beyond a long counts as the nearest long; ties go to the smaller
+vec_id; fewer candidates give fewer rows.
 """
 
 from __future__ import annotations
@@ -85,11 +85,11 @@ def matrix(values, dim: int) -> np.ndarray:
 
 
 def exact(q: np.ndarray, x: np.ndarray) -> np.ndarray:
-    """Sums of the products of two equally long sets of vectors, row by row: 64-bit numbers, or Python's if those don't do."""
+    """Sums of the products of two equally long sets of vectors, row by row; Python's numbers where 64 bits don't do."""
     most = int(np.abs(q).max(initial=0)) * int(np.abs(x).max(initial=0)) * q.shape[1]
     if q.min(initial=0) != -LONG and x.min(initial=0) != -LONG and most < LONG:
         return (q * x).sum(axis=1)
-    return (q.astype(object) * x.astype(object)).sum(axis=1)
+    return np.array([min(max(v, -LONG), LONG - 1) for v in (q.astype(object) * x.astype(object)).sum(axis=1)], np.int64)
 
 
 class Turned:
@@ -131,7 +131,7 @@ def survivors(q: Turned, x: Turned, a: slice, b: slice, least: np.ndarray, alive
 def best_of(query: np.ndarray, ids: np.ndarray, score: np.ndarray, k: int) -> np.ndarray:
     """Places of the k best of each query: greatest score, then least id."""
     order = np.argsort(ids, kind="stable")
-    order = order[np.argsort(-score[order], kind="stable")]
+    order = order[np.argsort(~score[order], kind="stable")]  # ~s is -s - 1, which fits
     order = order[np.argsort(query[order], kind="stable")]
     rank = np.arange(len(order)) - np.searchsorted(query[order], query[order])
     return order[rank < k]
@@ -143,7 +143,7 @@ def search_block(q_rows, q, least, rows, ids, x, k: int, rotation=None) -> tuple
     found, scored = [], 0
     for a in range(0, len(q), STEP_QUERIES):
         own = slice(a, min(a + STEP_QUERIES, len(q)))
-        limit = np.array([-np.inf if v is None else float(v) for v in least[own]])
+        limit = np.array([-np.inf if v is None or v == -LONG else float(v) for v in least[own]])
         query, cand, score = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64)
         for b in range(0, len(x), STEP_ROWS):
             part = slice(b, min(b + STEP_ROWS, len(x)))
@@ -155,15 +155,11 @@ def search_block(q_rows, q, least, rows, ids, x, k: int, rotation=None) -> tuple
             query, cand, score = query[best], cand[best], score[best]
             full = np.flatnonzero(np.bincount(query - a, minlength=own.stop - a) == k)
             last = np.searchsorted(query, full + a, "right") - 1
-            limit[full] = np.maximum(limit[full], score[last].astype(float))
+            limit[full] = np.maximum(limit[full], np.where(score[last] == -LONG, -np.inf, score[last].astype(float)))
         found.append((query, cand, score))
     return *(np.concatenate([f[n] for f in found]) for n in range(3)), scored
 
 
-def as_long(score: np.ndarray) -> np.ndarray:
-    return score if score.dtype == np.int64 else np.array([min(max(v, -LONG), LONG - 1) for v in score], np.int64)
-
-
 def search(held, k: int):
     def run(asked: pa.Table, vectors: pa.Table) -> pa.Table:
         names = ["query_row", "query_id", "vec_id", "score"]
@@ -173,7 +169,7 @@ def search(held, k: int):
         number = lambda t, c: t[c].to_numpy().astype(np.int64)
         q_rows, q_ids, ids = number(asked, "row"), number(asked, "vec_id"), number(vectors, "vec_id")
         query, cand, score, _ = search_block(q_rows, matrix(asked["value"], dim), asked["least"].to_pylist(), number(vectors, "row"), ids, matrix(vectors["value"], dim), k, held.value.rotation(dim))
-        return pa.table(dict(zip(names, (q_rows[query], q_ids[query], ids[cand], as_long(score)), strict=True)))
+        return pa.table(dict(zip(names, (q_rows[query], q_ids[query], ids[cand], score), strict=True)))
 
     return run
 
@@ -201,7 +197,7 @@ class Sample:
         x = x[rows != row]
         if len(x) < k:
             return None
-        return int(as_long(np.sort(exact(np.broadcast_to(q, x.shape), x))[-k:][:1])[0])
+        return int(np.sort(exact(np.broadcast_to(q, x.shape), x))[-k])
 
 
 def with_threshold(held, k: int):
