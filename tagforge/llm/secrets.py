@@ -5,16 +5,17 @@ ones (`token`: 24 or more characters of a key alphabet with both cases and digit
 `MIN_BITS` bits of entropy a character, outside base spans; `pem`: a private key block's header,
 whose value is the key's body, so that keys of one type are told apart).
 Hashes of the candidates' values are then counted over the corpus by distinct documents
-(repositories) and distinct sources (owners).  A value that `WIDE_OWNERS` owners or more hold, or
-that looks like a placeholder (not asked of `pem`: encoded keys hold runs), is a copied example; one
-of few owners is live-looking.  Base spans always stay; wider spans are reported only while
-live-looking.  Text is never shuffled, only spans with hashes; counting combines before the
-shuffle, and hot values meet in splittable joins.
+(repositories) and distinct sources (owners).  A value that `WIDE_OWNERS` owners or more hold, that
+`WIDE_REPOSITORIES` documents or more hold whoever owns them, or that looks like a placeholder (not
+asked of `pem`: encoded keys hold runs), is a copied example; one of few owners and few documents is
+live-looking.  Base spans always stay; wider spans are reported only while live-looking.  Text is
+never shuffled, only spans with hashes; distinct documents are counted first, combined before the
+shuffle, and hot values meet in joins of written tables, which AQE can split.
 
 Edge cases: a header without a body is a value of its document alone (of its text if doc_id is
 null); a null or empty text has no spans; a null source is one owner of its own; equal spans of
-different kinds are all kept; rows that repeat a doc_id are scanned row by row and told apart by their
-spans; other columns of the input are ignored.
+different kinds are all kept; rows that repeat a doc_id are scanned row by row and count as one
+document, rows without a doc_id as one each; other columns of the input are ignored.
 """
 
 from __future__ import annotations
@@ -22,17 +23,22 @@ from __future__ import annotations
 import hashlib
 import math
 import re
+from bisect import bisect_left
 from collections import Counter
 from collections.abc import Iterator
+from itertools import accumulate
 
+import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .staging import read_table, ship_code, staged
+from .wordhash import pieces
 
 KINDS = ("assign", "access", "hex", "token", "pem")
-WIDE_OWNERS = 3
+WIDE_OWNERS, WIDE_REPOSITORIES = 3, 25
 MIN_BITS = 3.5
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.ASCII | re.IGNORECASE)
 ACCESS = re.compile(r"AKIA[A-Z0-9]+")
@@ -71,9 +77,13 @@ def key_body(text: str, at: int) -> str:
 
 def wider_spans(text: str, base: list[tuple[int, int, int, str]], doc: int | None = None) -> list[tuple[int, int, int, str]]:
     out = []
+    # starts of the base spans, and how far they and all before them reach
+    starts = sorted(a for _, a, _, _ in base)
+    ends = list(accumulate((z for _, _, z, _ in sorted(base, key=lambda x: x[1])), max))
     for m in TOKEN.finditer(text):
         x = m[0]
-        if any(a < m.end() and m.start() < z for _, a, z, _ in base):
+        before = bisect_left(starts, m.end())
+        if before and ends[before - 1] > m.start():
             continue
         if any(map(str.isdigit, x)) and x.lower() != x and x.upper() != x and entropy(x) >= MIN_BITS:
             out.append((3, m.start(), m.end(), x))
@@ -83,36 +93,44 @@ def wider_spans(text: str, base: list[tuple[int, int, int, str]], doc: int | Non
 
 
 def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
+    """row (its number), doc_id, source, spans."""
+    kind = pa.list_(pa.struct([("kind", pa.int32()), ("start", pa.int32()), ("end", pa.int32()), ("value", pa.int64()), ("example", pa.bool_())]))
+    row = TaskContext.get().partitionId() << 40
+    for batch in pieces(batches):
         spans = []
         for doc, text in zip(batch.column(0).to_pylist(), batch.column(2).to_pylist(), strict=True):
             base = base_spans(text or "")
             found = sorted(base + wider_spans(text or "", base, doc), key=lambda x: (x[1], x[0]))
             spans.append([{"kind": k, "start": a, "end": z, "value": int.from_bytes(hashlib.blake2b(v.encode(), digest_size=8).digest(), "little", signed=True), "example": k != 4 and bool(EXAMPLE.search(v))} for k, a, z, v in found])
-        kind = pa.list_(pa.struct([("kind", pa.int32()), ("start", pa.int32()), ("end", pa.int32()), ("value", pa.int64()), ("example", pa.bool_())]))
-        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(spans, kind)], names=["doc_id", "source", "spans"])
+        yield pa.RecordBatch.from_arrays([pa.array(row + np.arange(batch.num_rows)), batch.column(0), batch.column(1), pa.array(spans, kind)], names=["row", "doc_id", "source", "spans"])
+        row += batch.num_rows
 
 
 def candidates(docs: DataFrame) -> DataFrame:
-    """doc_id, source, spans of every row."""
+    """row, doc_id, source, spans of every row."""
     ship_code(docs.sparkSession)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), F.col("text").cast("string").alias("text"))
-    return rows.mapInArrow(scan, f"doc_id long, source string, spans {SPANS}")
+    return rows.mapInArrow(scan, f"row long, doc_id long, source string, spans {SPANS}")
 
 
-def secrets(docs: DataFrame, wide_owners: int = WIDE_OWNERS) -> DataFrame:
+def ownership(found: DataFrame) -> DataFrame:
+    """value, owners, repositories: distinct sources and documents that hold each value."""
+    values = found.where(F.size("spans") > 0).select(F.struct("doc_id", F.when(F.col("doc_id").isNull(), F.col("row"))).alias("repository"), F.coalesce("source", F.lit("\0")).alias("owner"), F.explode("spans.value").alias("value"))
+    owners = values.select("value", "owner").distinct().groupBy("value").agg(F.count("*").alias("owners"))
+    repositories = values.select("value", "repository").distinct().groupBy("value").agg(F.count("*").alias("repositories"))
+    return owners.join(repositories, "value")
+
+
+def secrets(docs: DataFrame, wide_owners: int = WIDE_OWNERS, wide_repositories: int = WIDE_REPOSITORIES) -> DataFrame:
     """doc_id, spans: kind, start, end, repositories, owners, live; one row for every input row."""
     found = staged(candidates(docs), "op9-spans")
-    values = found.where(F.size("spans") > 0).select("doc_id", F.coalesce("source", F.lit("\0")).alias("owner"), F.explode(F.expr("array_distinct(transform(spans, s -> s.value))")).alias("value"))
-    by_owner = values.groupBy("value", "owner").agg(F.count("*").alias("rows"))
-    owned = by_owner.groupBy("value").agg(F.count("*").alias("owners"), F.sum("rows").alias("repositories"))
-    # a row is its doc_id and spans; the same spans of a repeated id give the same verdicts
-    keyed = found.withColumn("row", F.xxhash64("doc_id", "spans"))
-    spans = keyed.where(F.size("spans") > 0).dropDuplicates(["row"]).select("row", F.explode("spans").alias("s"))
-    spans = spans.join(owned, F.col("s.value") == F.col("value")).withColumn("live", (F.col("owners") < wide_owners) & ~F.col("s.example"))
+    owned = staged(ownership(found), "op9-owners")
+    spans = found.where(F.size("spans") > 0).select("row", F.explode("spans").alias("s"))
+    few = (F.col("owners") < wide_owners) & (F.col("repositories") < wide_repositories)
+    spans = spans.join(owned, F.col("s.value") == F.col("value")).withColumn("live", few & ~F.col("s.example"))
     told = spans.groupBy("row").agg(F.array_sort(F.collect_list(F.struct(F.col("s.start").alias("start"), F.col("s.kind").alias("kind"), F.col("s.end").alias("end"), "repositories", "owners", "live"))).alias("told"))
     none = F.expr("cast(array() as array<struct<start:int,kind:int,end:int,repositories:bigint,owners:bigint,live:boolean>>)")
-    return keyed.select("doc_id", "row").join(told, "row", "left").select("doc_id", F.coalesce("told", none).alias("spans"))
+    return found.select("row", "doc_id").join(told, "row", "left").select("doc_id", F.coalesce("told", none).alias("spans"))
 
 
 def op9_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
