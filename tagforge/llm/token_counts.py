@@ -1,28 +1,34 @@
 """Token counts as delta-maintained rollups.
 
 A batch of changes is signed: an insert adds a document's tokens to its group (source, language,
-tokenizer version), a delete takes them away, a revised count is a delete of the old and an insert of the new.
-Each batch is summed to one row a group (combined before the shuffle) and written to a folder of its own
-under the batch's id; the totals are the sum over committed batches.  A batch that is already
-committed is skipped, and one that broke off left no `_SUCCESS` mark, isn't read, and is written
-anew, so replays and retries count once. 
-
-Edge cases: null and empty texts count 0 tokens and 1 document; null sources and languages are
-groups of their own; groups whose documents and tokens sum to nothing are left out of `totals`; an
-empty batch commits with no rows; other columns are ignored.
+tokenizer version), a delete takes them away, a revised count is a delete of the old and an insert of
+the new.  Each batch is summed to one row a group (combined before the shuffle) and added to the totals,
+which are kept as a table of one row a group: reading them costs no more after many batches.
+
+A commit writes the new totals and the ids of all batches in them to a folder of their own, then
+renames a file that names the folder to the next version number.  Renaming fails if that number is taken,
+so of two writers one starts again from the other's totals; a batch whose id is among those counted
+is skipped, and one that broke off left no number and is not seen.  So replays, retries and
+concurrent writers count once.  Folders two versions back are deleted.
+
+Edge cases: null and empty texts count 0 tokens and 1 document; repeated rows count each; null
+sources and languages are groups of their own; groups whose documents and tokens sum to nothing are
+left out; an empty batch commits with no rows; other columns are ignored.
 """
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .bpe import encoder, pre_tokens, ranks_path
-from .staging import read_table, ship_code, staging_path
+from .staging import read_table, ship_code, staged, staging_path, unstage
 from .wordhash import pieces
 
 KEYS = ["source", "lang", "tokenizer"]
@@ -82,34 +88,77 @@ class Rollup:
 
     def __init__(self, spark: SparkSession, path: str) -> None:
         self.spark, self.path = spark, path.rstrip("/")
+        self._fs = spark._jvm.org.apache.hadoop.fs
+        self._log = self._fs.Path(f"{self.path}/log")
+
+    def _files(self):
+        return self._log.getFileSystem(self.spark._jsc.hadoopConfiguration())
+
+    def _version(self) -> tuple[int, str | None]:
+        """The last version's number and folder; 0 and None before the first."""
+        fs = self._files()
+        names = [s.getPath().getName() for s in fs.listStatus(self._log)] if fs.exists(self._log) else []
+        last = max((int(n) for n in names if n.isdigit()), default=0)
+        return last, self._folder(last) if last else None
+
+    def _folder(self, version: int) -> str:
+        stream = self._files().open(self._fs.Path(f"{self.path}/log/{version:012d}"))
+        try:
+            return self.spark._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")
+        finally:
+            stream.close()
+
+    def _publish(self, version: int, folder: str) -> bool:
+        """Gives the folder that version's number; False if another writer has it."""
+        fs = self._files()
+        fs.mkdirs(self._log)
+        new, final = self._fs.Path(f"{self.path}/log/new-{uuid.uuid4().hex}"), self._fs.Path(f"{self.path}/log/{version:012d}")
+        out = fs.create(new, True)
+        out.write(folder.encode())
+        out.close()
+        none = self.spark.sparkContext._gateway.new_array(getattr(self._fs, "Options$Rename"), 0)
+        try:
+            self._fs.FileContext.getFileContext(final.toUri(), self.spark._jsc.hadoopConfiguration()).rename(new, final, none)
+        except Py4JJavaError as error:
+            if "FileAlreadyExistsException" not in str(error.java_exception):
+                raise
+            fs.delete(new, False)
+            return False
+        return True
 
-    def _exists(self, path: str) -> bool:
-        p = self.spark._jvm.org.apache.hadoop.fs.Path(path)
-        return p.getFileSystem(self.spark._jsc.hadoopConfiguration()).exists(p)
+    def _read(self, folder: str | None) -> tuple[DataFrame, DataFrame]:
+        if folder is None:
+            return self.spark.createDataFrame([], SCHEMA), self.spark.createDataFrame([], "batch string")
+        return self.spark.read.schema(SCHEMA).parquet(f"{folder}/totals"), self.spark.read.schema("batch string").parquet(f"{folder}/batches")
 
     def committed(self) -> list[str]:
-        """Ids of the batches that ended."""
-        p = self.spark._jvm.org.apache.hadoop.fs.Path(self.path)
-        fs = p.getFileSystem(self.spark._jsc.hadoopConfiguration())
-        if not fs.exists(p):
-            return []
-        names = [s.getPath().getName() for s in fs.listStatus(p)]
-        return sorted(n for n in names if self._exists(f"{self.path}/{n}/_SUCCESS"))
+        """Ids of the batches that are counted."""
+        return sorted(r.batch for r in self._read(self._version()[1])[1].collect())
 
     def commit(self, batch: str, changes: DataFrame) -> bool:
         """changes: KEYS, n_tokens, sign.  False if the batch had been committed before."""
-        if self._exists(f"{self.path}/{batch}/_SUCCESS"):
-            return False
-        delta = changes.groupBy(*KEYS).agg(F.sum("sign").cast("long").alias("n_docs"), F.sum(F.col("sign") * F.col("n_tokens")).cast("long").alias("n_tokens"))
-        delta.write.mode("overwrite").parquet(f"{self.path}/{batch}")
-        return True
+        delta = None
+        while True:
+            last, folder = self._version()
+            totals, batches = self._read(folder)
+            if batches.where(F.col("batch") == batch).limit(1).count():
+                return False
+            if delta is None:
+                delta = staged(changes.groupBy(*KEYS).agg(F.sum("sign").cast("long").alias("n_docs"), F.sum(F.col("sign") * F.col("n_tokens")).cast("long").alias("n_tokens")), "op8-delta")
+            new = f"{self.path}/v-{uuid.uuid4().hex}"
+            summed = totals.unionByName(delta).groupBy(*KEYS).agg(F.sum("n_docs").alias("n_docs"), F.sum("n_tokens").alias("n_tokens")).where("n_docs <> 0 or n_tokens <> 0")
+            summed.write.parquet(f"{new}/totals")
+            batches.unionByName(self.spark.createDataFrame([(batch,)], "batch string")).coalesce(1).write.parquet(f"{new}/batches")
+            if self._publish(last + 1, new):
+                unstage(delta)
+                if last > 1:
+                    self._files().delete(self._fs.Path(self._folder(last - 1)), True)
+                return True
+            self._files().delete(self._fs.Path(new), True)
 
     def totals(self) -> DataFrame:
-        held = self.committed()
-        if not held:
-            return self.spark.createDataFrame([], SCHEMA)
-        rows = self.spark.read.schema(SCHEMA).parquet(*(f"{self.path}/{b}" for b in held))
-        return rows.groupBy(*KEYS).agg(F.sum("n_docs").alias("n_docs"), F.sum("n_tokens").alias("n_tokens")).where("n_docs <> 0 or n_tokens <> 0")
+        """KEYS, n_docs, n_tokens: one row a group."""
+        return self._read(self._version()[1])[0]
 
 
 def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
