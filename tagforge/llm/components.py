@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .staging import staged
+from .staging import staged, unstage
 
 
 def _star(edges: DataFrame, larger_only: bool) -> DataFrame:
@@ -34,7 +34,8 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     links = staged(links.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "cc")
     sign = _sign(links)
     while sign[0]:
-        links = staged(_star(_star(links, True), False), "cc")
+        before, links = links, staged(_star(_star(links, True), False), "cc")
+        unstage(before)
         sign, last = _sign(links), sign
         if sign == last:
             break

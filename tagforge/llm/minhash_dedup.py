@@ -40,7 +40,7 @@ N = ROWS * BANDS
 #: Standard deviations of the estimate by which a pair may fall short and still be confirmed.
 SLACK = 4.5
 #: Shingles of one side of a block of full sets.
-BLOCK_SHINGLES = 1_000_000
+BLOCK_SHINGLES = 250_000
 
 
 def shingles(texts, k: int) -> tuple[np.ndarray, np.ndarray]:
@@ -183,6 +183,7 @@ def near_groups(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     signs = staged(rows.mapInArrow(signatures(k), "doc_id long, n_shingles long, set1 long, set2 long, bands array<long>, packed binary"), "op2-signs")
     one = signs.where("doc_id is not null and n_shingles > 0").groupBy("set1", "set2").agg(F.min("doc_id").alias("doc"))
+    one = staged(one, "op2-sets")  # joined from an exchange of its own, so that a hot set can be split
     classes = staged(signs.select("doc_id", "n_shingles", "set1", "set2").join(one, ["set1", "set2"], "left").select("doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("doc")).alias("doc")), "op2-classes")
     reps = signs.join(classes.where("doc_id = doc").select("doc_id").distinct(), "doc_id", "left_semi")
 
@@ -203,20 +204,21 @@ def near_groups(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
 
     found = components(links)
     labelled = staged(member_hub.select("key", "doc").join(found.withColumnRenamed("node", "doc"), "doc", "left").select("key", "doc", F.coalesce("component", "doc").alias("part")), "op2-parts")
-    more = _links_between_parts(labelled, candidates, k, percent)
+    sizes = classes.where("doc_id = doc").groupBy("doc").agg(F.max("n_shingles").alias("size"))
+    more = _links_between_parts(labelled, candidates, sizes, k, percent)
     found = components(links.unionByName(more))
     out = classes.join(found.withColumnRenamed("node", "doc"), "doc", "left")
     component = F.coalesce("component", "doc", "doc_id")
     return out.select("doc_id", "n_shingles", component.alias("component_id"), component.eqNullSafe(F.col("doc_id")).alias("kept"))
 
 
-def _links_between_parts(labelled: DataFrame, candidates: DataFrame, k: int, percent: int) -> DataFrame:
+def _links_between_parts(labelled: DataFrame, candidates: DataFrame, sizes: DataFrame, k: int, percent: int) -> DataFrame:
     """Links between components that share a bucket, from blocks of full sets."""
     split = labelled.groupBy("key").agg(F.min("part").alias("p0"), F.max("part").alias("p1")).where("p0 < p1")
     touching = labelled.join(split.select("key", "p0"), "key").where("part <> p0").select(F.col("part").alias("a"), F.col("p0").alias("b")).distinct()
     cluster = components(touching).select(F.col("node").alias("part"), F.col("component").alias("cluster"))
     docs = labelled.select("doc", "part").distinct().join(cluster, "part")
-    docs = docs.join(candidates.select(F.col("doc_id").alias("doc"), (F.length("text") / 5 + 1).alias("size")), "doc")
+    docs = docs.join(sizes, "doc")
     by_part = docs.groupBy("cluster", "part").agg(F.sum("size").alias("size"))
     by_cluster = by_part.groupBy("cluster").agg(F.max(F.struct("size", "part")).alias("most"), F.sum("size").alias("all"))
     plan = by_cluster.select("cluster", F.col("most.part").alias("main"), F.ceil(F.col("all") / BLOCK_SHINGLES).cast("int").alias("n_all"), F.ceil((F.col("all") - F.col("most.size")) / BLOCK_SHINGLES).cast("int").alias("n_few"))
