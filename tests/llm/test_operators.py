@@ -96,6 +96,16 @@ def test_op2_blocks_and_estimate(spark, monkeypatch):
     assert np.abs(est - true).mean() < 0.05
 
 
+def test_op2_recall_at_the_threshold(spark):
+    """Bands and estimate find every pair of a similarity of exactly 0.8: 400 pairs, 80 common words of 100."""
+    rows = []
+    for i in range(400):
+        words = [f"p{i}w{j}" for j in range(100)]
+        rows += [(2 * i, " ".join(words[:90])), (2 * i + 1, " ".join(words[:80] + words[90:]))]
+    found = minhash_dedup.near_groups(spark.createDataFrame(rows, "doc_id long, text string"), 1, 80)
+    assert {(r.doc_id, r.component_id) for r in found.collect()} == {(d, d - d % 2) for d, _ in rows}
+
+
 def test_op2_null_ids_and_repeats(edges, empty):
     out = minhash_dedup.near_groups(edges).collect()
     assert len(out) == edges.count() and all(r.component_id == 10 and not r.kept for r in out if r.doc_id is None)
@@ -135,6 +145,46 @@ def test_op3_brute_force(spark):
     same(topk.top_k(df.limit(0), lambda v: v % 50 == 0), [])
 
 
+def plain_topk(rows, least=5):
+    want = []
+    for n, (q, v) in enumerate(rows):
+        if q % 50 == 0:
+            score = lambda x, v=v: max(min(sum(a * b for a, b in zip(v, x, strict=True)), 2**63 - 1), -(2**63))
+            best = sorted((-score(x), i) for m, (i, x) in enumerate(rows) if m != n and len(x) == len(v))[:least]
+            want += [(q, r + 1, i, -s) for r, (s, i) in enumerate(best)]
+    return want
+
+
+def test_op3_large_and_repeated(spark, monkeypatch):
+    """Components of 1e7, 1e12 and near the end of a long, rows that repeat a query's id, many blocks and lengths."""
+    monkeypatch.setattr(topk, "BLOCK", 64)
+    monkeypatch.setattr(topk, "QUERY_BLOCK", 4)
+    monkeypatch.setattr(topk, "STEP_ROWS", 16)
+    rng = np.random.default_rng(6)
+    rows = [(0, [1.0] * 64), (0, [1.0] * 63 + [2.0]), (0, [1.0] * 63 + [2.0])] + [(i, [i * 1e7] + [0.0] * 63) for i in (1, 2, 3)]
+    rows += [(50 * i, (rng.standard_normal(12) * 10.0 ** rng.integers(0, 13)).tolist()) for i in range(6)]
+    rows += [(i, (rng.standard_normal(12) * 10.0 ** rng.integers(-2, 13)).tolist()) for i in range(1, 300)]
+    rows += [(50, [1e16, 1e16]), (51, [1e16, 3e16]), (52, [-1e16, 1e15]), (53, [1e300, 0.0]), (54, [1.0, 0.0])]
+    whole = [(i, [math.floor(256 * x) for x in v]) for i, v in rows if all(abs(math.floor(256 * x)) < 2**63 for x in v)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    same(topk.top_k(df, lambda v: v % 50 == 0), plain_topk(whole))
+
+
+def test_op3_prunes(spark):
+    """Under 30 % of the pairs of sf0.1, random vectors of one length without any structure, are scored exactly."""
+    t = spark.read.parquet("/root/testdata/sf0.1/embeddings.parquet").toPandas()
+    x = np.floor(256 * np.array(t.embedding.tolist(), np.float64)).astype(np.int64)
+    rows, ids = np.arange(len(x)), t.vec_id.to_numpy()
+    asked = np.flatnonzero(ids % 50 == 0)
+    least = [int(np.sort(np.delete(x, a, 0)[:1000] @ x[a])[-5]) for a in asked]
+    query, cand, score, scored = topk.search_block(rows[asked], x[asked], least, rows, ids, x, 5)
+    assert scored < 0.3 * len(asked) * len(x)
+    for n, a in enumerate(asked):
+        exact = x @ x[a]
+        best = sorted((-exact[i], ids[i]) for i in rows if i != a)[:5]
+        assert [(-s, i) for s, i in best] == [(score[j], ids[cand[j]]) for j in np.flatnonzero(query == n)]
+
+
 def test_op4(edges, empty, docs):
     for df in (docs, edges):
         rows = mixing.sampled(df).collect()
@@ -311,12 +361,28 @@ def test_op8(spark, docs, edges, tmp_path):
     assert rollup.totals().count() == 0
     added = token_counts.inserts(token_counts.estimated(edges))
     assert rollup.commit("a", added) and not rollup.commit("a", added)
-    (tmp_path / "r" / "broken").mkdir()
+    (tmp_path / "r" / "v-broken").mkdir()
     before = sorted(map(tuple, rollup.totals().collect()), key=str)
     assert rollup.commit("b", token_counts.deletes(token_counts.estimated(edges))) and rollup.totals().count() == 0
     assert sum(x[3] for x in before) == edges.count()
 
 
+def test_op8_edges(spark, docs, edges, empty, tmp_path):
+    """Null and empty texts, repeated rows, empty tables; a writer that comes second starts again."""
+    counts = token_counts.counted(edges, bpe.ranks_path()).groupBy("source").agg(F.count("*").alias("n")).collect()
+    assert sum(r.n for r in counts) == edges.count() and {r.source for r in counts} >= {None, "s1"}
+    assert token_counts.counted(spark.createDataFrame([(None, "s", "l"), ("", "s", "l")], "text string, source string, lang string"), bpe.ranks_path()).agg(F.sum("n_tokens")).first()[0] == 0
+    first, second = (token_counts.Rollup(spark, f"file://{tmp_path}/two") for _ in range(2))
+    assert first.commit("nothing", token_counts.inserts(token_counts.estimated(empty))) and first.totals().count() == 0
+    stale, real = [second._version()], second._version
+    assert first.commit("a", token_counts.inserts(token_counts.estimated(edges)))
+    second._version = lambda: stale.pop() if stale else real()
+    assert second.commit("b", token_counts.inserts(token_counts.estimated(edges))) and not stale
+    assert first.committed() == ["a", "b", "nothing"] and first.totals().agg(F.sum("n_docs")).first()[0] == 2 * edges.count()
+    assert not second.commit("a", token_counts.inserts(token_counts.estimated(edges)))
+    assert len(list((tmp_path / "two").glob("v-*"))) <= 3
+
+
 def test_op9(spark, docs, edges, empty):
     pattern = re.compile(r"""([Pp][Aa][Ss][Ss][Ww][Oo][Rr][Dd]|[Pp][Aa][Ss][Ss][Ww][Dd]|[Ss][Ee][Cc][Rr][Ee][Tt]|[Tt][Oo][Kk][Ee][Nn]|[Aa][Pp][Ii]_?[Kk][Ee][Yy])["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""")
     want = []
@@ -333,6 +399,41 @@ def test_op9(spark, docs, edges, empty):
     assert [(s.owners, s.repositories, s.live) for s in out[0]] == [(4, 8, False), (1, 1, True)]
 
 
+def test_op9_documents_not_rows(spark):
+    """Rows of one document count once, rows without an id one each; copies in one source make an example."""
+    value = "secret: 4f1Lmx02vQrT9zzQ1"
+    count = lambda rows: {(s.owners, s.repositories, s.live) for r in secrets.secrets(spark.createDataFrame(rows, "doc_id long, text string, source string")).collect() for s in r.spans}
+    assert count([(1, value, "a")] * 30) == {(1, 1, True)}
+    assert count([(None, value, "a")] * 5) == {(1, 5, True)}
+    assert count([(i, value, "a") for i in range(secrets.WIDE_REPOSITORIES)]) == {(1, secrets.WIDE_REPOSITORIES, False)}
+    assert count([(1, value, None), (1, value, "a")]) == {(2, 1, True)}
+
+
+def test_op9_spans(spark, docs):
+    """Every span and verdict against plain Python over sf0.001, with a wide value and a very long text."""
+    wide, rng = "token=Zq81kPLmx02vQrT9", random.Random(4)
+    key = lambda: "".join(rng.choices("ABCDEFghijkl0123456789", k=40))
+    extra = [(10_000 + i, f"x {wide} {key()} y", f"o{i % 5}") for i in range(30)] + [(20_000, " ".join(f"deadbeefdeadbeef{i:04x} {key()}" for i in range(4000)), "o1")]
+    df = docs.select("doc_id", "text", "source").unionByName(spark.createDataFrame(extra, "doc_id long, text string, source string"))
+    rows, owners, repositories, spans = [tuple(r) for r in df.collect()], {}, {}, {}
+    for doc, text, source in rows:
+        base = secrets.base_spans(text or "")
+        own = list(base)
+        for m in re.finditer(r"[A-Za-z0-9+/_=-]{24,}", text or ""):
+            x = m[0]
+            if not any(a < m.end() and m.start() < z for _, a, z, _ in base) and re.search(r"\d", x) and x.lower() != x and x.upper() != x and secrets.entropy(x) >= secrets.MIN_BITS:
+                own.append((3, m.start(), m.end(), x))
+        assert "-----BEGIN " not in (text or "")
+        spans[doc] = own
+        for _, _, _, v in own:
+            owners.setdefault(v, set()).add(source)
+            repositories.setdefault(v, set()).add(doc)
+    live = lambda v: len(owners[v]) < 3 and len(repositories[v]) < 25 and not secrets.EXAMPLE.search(v)
+    want = [(d, [(a, k, z, len(repositories[v]), len(owners[v]), live(v)) for k, a, z, v in sorted(own, key=lambda x: (x[1], x[0]))]) for d, own in spans.items()]
+    got = {r.doc_id: [tuple(s) for s in r.spans] for r in secrets.secrets(df).collect()}
+    assert got == dict(want)
+
+
 def test_op9_private_keys(spark):
     """Keys of one type differ by their bodies; only a key that many owners hold is an example."""
     rng = random.Random(9)
@@ -376,6 +477,31 @@ def test_op10(table, request):
     assert out.where("kept and base_failed").count() == 0
 
 
+def line_fails(line):
+    import regex
+
+    w = brute.words(line)
+    symbols, bangs = sum(c in "#*$%&|<>" for c in line), len(line) - len(line.replace("!!", ""))
+    letters, capitals = len(regex.findall(r"\p{L}", line)), len(regex.findall(r"\p{Lu}", line))
+    bad = len(w) >= 3 and (10 * symbols >= 3 * len(w) or (bangs and 5 * bangs >= 3 * len(w)) or not letters)
+    bad = bad or (len(w) >= 5 and len(line) >= 20 and letters >= 20 and 10 * capitals > 7 * letters)
+    return bad or (len(w) >= 10 and 10 * len(set(w)) < 3 * len(w)) or (len(w) <= 12 and re.search(quality.BOILERPLATE, line.lower()) is not None)
+
+
+@pytest.mark.parametrize("table", ["docs", "edges", "empty"])
+def test_op10_clean_text(table, request):
+    """Cleaned text, lost characters and verdict against plain Python."""
+    df = request.getfixturevalue(table)
+    want = []
+    for doc, text in pairs(df):
+        lines = (text or "").split("\n")
+        worded = [x for x in lines if brute.words(x)]
+        lost = sum(len(x) for x in worded if line_fails(x))
+        kept = not base_rules(text)[-1] and 100 * lost <= quality.MOST_LOST * sum(map(len, worded))
+        want.append((doc, "\n".join(x for x in lines if not line_fails(x)), lost, kept))
+    same(quality.judged(df).select("doc_id", "clean_text", "lost_chars", "kept"), want)
+
+
 def test_op10_lines(spark):
     junk = ["a | b | c | d", "ALL OF THESE WORDS ARE SHOUTED HERE", "go!! to!! the!! shop!!", "the " * 12, "1 2 3 4", "All rights reserved."]
     fine = ["A plain sentence of some words.", "Of.", "", "He said 12 things & left!"]
