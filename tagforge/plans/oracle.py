@@ -162,4 +162,7 @@ SELECT o_orderkey, 'frame_' || CASE WHEN o_orderkey * 40 > 999999 THEN (o_orderk
   'frame_' || CASE WHEN o_orderkey * 40 > 999999 THEN (o_orderkey * 40)::VARCHAR ELSE lpad((o_orderkey * 40)::VARCHAR, 6, '0') END || '_quality=' || CASE WHEN o_custkey % 4 = 3 THEN o_custkey // 2 + 1 ELSE o_custkey // 2 END || '.png' AS best_frame,
   CASE WHEN o_orderkey % 4 <> 0 THEN 'out/warped_tags/warped_' || o_orderkey * 40 || '_' || o_orderkey % 3 || '.png' ELSE '' END AS crop, substr({_PAYLOAD}, 1, 20) AS overlay,
   round(0.55::DOUBLE + 0.35::DOUBLE * (o_orderkey % 3 + 1) / 3, 9) AS progress FROM orders""",
+    "q24_ocr_lines": f"""
+WITH l AS (SELECT conv_id, list({_TEXT} ORDER BY turn, {_TEXT}) AS t, count(*) AS n FROM conversations GROUP BY conv_id), u AS (SELECT conv_id, t, n, unnest(range(n)) AS place FROM l)
+SELECT conv_id, place::INT AS place, t[place + 1] AS text, CASE WHEN place < n // 2 THEN (place + 1)::DOUBLE / 10 ELSE 0 END AS conf, CASE WHEN place < n // 3 THEN 2.0::DOUBLE * place ELSE 0 END AS y FROM u""",
 }

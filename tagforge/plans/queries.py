@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tagforge.functions import geometry, pixels, text
-from tagforge.operators import fields, images, pipeline, records, tracks
+from tagforge.operators import fields, images, ocr, pipeline, records, tracks
 from tagforge.sources.tables import read_parquet
 
 FPS = 29.97
@@ -212,3 +212,15 @@ def q23(spark: SparkSession, d: str) -> DataFrame:
         text.crop_path("out/warped_tags/", ms, place, F.col("o_orderkey") % 4 != 0).alias("crop"), text.overlay(payload()).alias("overlay"),
         F.round(pipeline.read_progress(place + 1, F.lit(3)), 9).alias("progress"),
     )
+
+
+def q24(spark: SparkSession, d: str) -> DataFrame:
+    """Lines of a recognizer's parallel lists, of which scores and boxes are too short."""
+    t = read_parquet(spark, d, "conversations").withColumn("text", text.text_of(F.col("text")))
+    lists = t.groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", "text"))).alias("t")).withColumn("n", F.size("t"))
+    upto = lambda k: F.filter(F.sequence(F.lit(0), F.col("n")), lambda i: i < F.floor(F.col("n") / k))
+    scores = F.transform(upto(2), lambda i: (i + 1) / 10)
+    corner = lambda i: F.array(F.lit(1.0), (i * 2).cast("double"))
+    boxes = F.transform(upto(3), lambda i: F.array(corner(i), corner(i), corner(i), corner(i)))
+    lines = ocr.lines_of_lists(F.col("t.text"), scores, boxes)
+    return lists.select("conv_id", F.posexplode(lines).alias("place", "x")).select("conv_id", "place", "x.text", "x.conf", F.col("x.bbox")[2][1].alias("y"))

@@ -7,6 +7,6 @@ QUERIES = {
     "q06_zones": queries.q06, "q07_discount": queries.q07, "q08_price_rules": queries.q08, "q09_code_fields": queries.q09, "q10_code_fallback": queries.q10,
     "q11_tag_color": queries.q11, "q12_orientation": queries.q12, "q13_sharpness": queries.q13, "q14_frame_sampler": queries.q14, "q15_similarity": queries.q15,
     "q16_progress": queries.q16, "q17_record": queries.q17, "q18_display": queries.q18, "q19_thumbnails": queries.q19,
-    "q20_keyframes": queries.q20, "q21_fields": queries.q21, "q22_labelled": queries.q22, "q23_names": queries.q23,
+    "q20_keyframes": queries.q20, "q21_fields": queries.q21, "q22_labelled": queries.q22, "q23_names": queries.q23, "q24_ocr_lines": queries.q24,
 }
 ORACLE_SQL = oracle.SQL

@@ -268,6 +268,20 @@ def test_labelled_and_page(spark):
     assert all("<script>" not in x for x in evil)
 
 
+def test_small_sources_and_sinks(spark, tmp_path):
+    """Image files below a folder, progress messages, gray levels, an image without a usable size."""
+    (tmp_path / "crops").mkdir()
+    (tmp_path / "crops" / "a.png").write_bytes(b"\x89PNG")
+    (tmp_path / "crops" / "b.txt").write_bytes(b"no image")
+    assert [(r.path.rsplit("/", 1)[1], bytes(r.content)) for r in tables.read_images(spark, str(tmp_path)).collect()] == [("a.png", b"\x89PNG")]
+    log = spark.createDataFrame([("t", "Reading", 0.55)], "task_id string, message string, fraction double")
+    assert tables.progress_json(log).first().value == '{"message":"Reading","progress":0.55}'
+    assert [one(spark, pixels.gray(*map(F.lit, p))) for p in ((0, 0, 0), (255, 255, 255), (255, 0, 0), (0, 255, 0), (0, 0, 255))] == [0, 255, 29, 150, 76]
+    empty = spark.createDataFrame([("in/v.mp4", 5, [[0.0, 0.0]] * 4, None, "p1=2", None, None, None, None)], "video string, timestamp_ms long, corners array<array<double>>, color string, qr_data string, qr_bbox array<array<double>>, ocr_text array<struct<bbox:array<array<double>>,text:string>>, warp_w int, warp_h int")
+    row = records.records(empty).first()
+    assert (row.color, row.product_name, row.raw_text, row.price1_qr, row.x_max) == ("unknown", "", "", "2", 0)
+
+
 def test_stream_equals_batch(spark, tmp_path):
     rows = [("v", i, 0, i % 7 if i % 11 else None, (i % 10) / 10, 0.0, 0.0, 1.0, 1.0, float(i * 37 % 50)) for i in range(300)]
     boxes = spark.createDataFrame(rows, tables.DETECTIONS)
