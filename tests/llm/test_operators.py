@@ -68,6 +68,24 @@ def test_op1(table, request):
     same(out, back(brute.substring(known(pairs(df)))))
 
 
+@pytest.mark.parametrize("seed", range(2))
+def test_op1_paths(spark, seed, monkeypatch):
+    """Documents glued from shared passages that branch, repeat in themselves and end anywhere, over many chunks."""
+    monkeypatch.setattr(substring_dedup, "CHUNK_BYTES", 3000)
+    rng = random.Random(seed)
+    few = [f"w{i}" for i in range(3 if seed else 400)]
+    passages = [[rng.choice(few) for _ in range(rng.randint(3, 90))] for _ in range(25)] + [["same"] * 70]
+    rows = []
+    for i in range(120):
+        words = [w for _ in range(rng.randint(1, 5)) for w in rng.choice(passages)[rng.choice([0, 0, 7]) :]]
+        rows.append((i if i % 40 else rng.choice([None, 5]), " ".join(words)))
+    rows += [rows[7], (500, rows[3][1]), (501, rows[3][1] + " end")]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    for window in (50, 20):
+        out = substring_dedup.substring_dedup(df, window).select("doc_id", "n_words", "n_removed", F.sha2(F.encode("kept_text", "UTF-8"), 256))
+        same(out, back(brute.substring(known(rows), window)))
+
+
 @pytest.mark.parametrize("table", ["docs", "edges", "empty"])
 def test_op2(table, request):
     df = request.getfixturevalue(table).where("doc_id is not null").dropDuplicates(["doc_id"])
