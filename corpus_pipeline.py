@@ -10,7 +10,9 @@ the columns of documents.
 4. mix_sources: each document as often as the mix of sources takes it.
 5. bpe: token ids of every text, and the text decoded from them.
 
-Edge cases are those of the operators; a repeated row is one more document everywhere.
+Edge cases are those of the operators: a repeated row is one more document, but rows that repeat a
+doc_id stay or go together in near_dedup and are one document in line_dedup.  Columns keep their
+names and values whatever an operator calls its own.
 """
 
 from __future__ import annotations
