@@ -165,4 +165,8 @@ SELECT o_orderkey, 'frame_' || CASE WHEN o_orderkey * 40 > 999999 THEN (o_orderk
     "q24_ocr_lines": f"""
 WITH l AS (SELECT conv_id, list({_TEXT} ORDER BY turn, {_TEXT}) AS t, count(*) AS n FROM conversations GROUP BY conv_id), u AS (SELECT conv_id, t, n, unnest(range(n)) AS place FROM l)
 SELECT conv_id, place::INT AS place, t[place + 1] AS text, CASE WHEN place < n // 2 THEN (place + 1)::DOUBLE / 10 ELSE 0 END AS conf, CASE WHEN place < n // 3 THEN 2.0::DOUBLE * place ELSE 0 END AS y FROM u""",
+    "q25_evaluation": f"""WITH {_FIELDS}
+SELECT 'price_discount' AS field, 'price_card' AS label, count(*) FILTER (WHERE r1 <> '') AS n, count(*) FILTER (WHERE r1 IN (SELECT (p_partkey % 300 + 100) || '.99' FROM part)) AS n_found FROM ended
+UNION ALL SELECT 'discount_amount', 'discount_amount', count(*) FILTER (WHERE amount <> ''), count(*) FILTER (WHERE amount IN (SELECT '-' || p_partkey % 20 || '%' FROM part)) FROM ended
+UNION ALL SELECT 'price_card', 'code', 0, 0""",
 }

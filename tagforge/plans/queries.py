@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tagforge.functions import geometry, pixels, text
-from tagforge.operators import fields, images, ocr, pipeline, records, tracks
+from tagforge.operators import evaluate, fields, images, ocr, pipeline, records, tracks
 from tagforge.sources.tables import read_parquet
 
 FPS = 29.97
@@ -224,3 +224,10 @@ def q24(spark: SparkSession, d: str) -> DataFrame:
     boxes = F.transform(upto(3), lambda i: F.array(corner(i), corner(i), corner(i), corner(i)))
     lines = ocr.lines_of_lists(F.col("t.text"), scores, boxes)
     return lists.select("conv_id", F.posexplode(lines).alias("place", "x")).select("conv_id", "place", "x.text", "x.conf", F.col("x.bbox")[2][1].alias("y"))
+
+
+def q25(spark: SparkSession, d: str) -> DataFrame:
+    """How many prices and discounts of the varied tags occur among labels made from parts."""
+    key = F.col("p_partkey")
+    labels = read_parquet(spark, d, "part").select(F.concat(F.lit(" "), (key % 300 + 100).cast("string"), F.lit(",99")).alias("price_card"), F.concat(F.lit("-"), (key % 20).cast("string"), F.lit("%")).alias("discount_amount"), F.lit("").alias("code"))
+    return evaluate.matched(q21(spark, d), labels, {"price_discount": "price_card", "discount_amount": "discount_amount", "price_card": "code"})
