@@ -17,7 +17,8 @@ boundary bin follows from running sums of the bins, and only documents of that o
 Edge cases: a null or empty text has size 0 and is taken 0 words; a null source is one more
 source, last in order; equal ids with equal texts tie and are ranked by nothing else, so each such
 group of repeated rows counts as one entry of the order taken or left together; an empty table gives an empty
-result; other columns pass through `mixed`.
+result; other columns pass through `mixed` under their own names, whatever `sampled` calls its columns (only
+`__u`, `__d`, `__s` and `__n` are taken).
 """
 
 from __future__ import annotations
