@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe, filter_audit, language_id, line_dedup, minhash_dedup, mixing, quality, secrets, substring_dedup, token_counts, topk, toxicity
+from . import bpe, collocations, filter_audit, language_id, line_dedup, minhash_dedup, mixing, quality, secrets, substring_dedup, token_counts, topk, toxicity
 
 QUERIES = {
     "op1_substring_dedup": substring_dedup.op1_substring_dedup,
@@ -15,7 +15,8 @@ QUERIES = {
     "op8_token_counts": token_counts.op8_token_counts,
     "op9_secret_scan": secrets.op9_secret_scan,
     "op10_quality_rules": quality.op10_quality_rules,
+    "op11_collocations": collocations.op11_collocations,
     "op12_language_id": language_id.op12_language_id,
     "op13_filter_audit": filter_audit.op13_filter_audit,
 }
-ORACLE_SQL = {"op3_exact_topk": topk.ORACLE_SQL, "op4_mix_sources": mixing.ORACLE_SQL, "op10_quality_rules": quality.ORACLE_SQL, "op13_filter_audit": filter_audit.ORACLE_SQL}
+ORACLE_SQL = {"op3_exact_topk": topk.ORACLE_SQL, "op4_mix_sources": mixing.ORACLE_SQL, "op10_quality_rules": quality.ORACLE_SQL, "op11_collocations": collocations.ORACLE_SQL, "op13_filter_audit": filter_audit.ORACLE_SQL}

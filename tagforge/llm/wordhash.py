@@ -80,12 +80,12 @@ def utf8(texts: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
     return data, offsets - offsets[0]
 
 
-def split_words(texts: pa.Array | pa.ChunkedArray, lower: bool = False) -> Words:
-    """Words and their 64-bit hashes; lower folds A-Z only."""
+def split_words(texts: pa.Array | pa.ChunkedArray, lower: bool = False, space: np.ndarray = _SPACE) -> Words:
+    """Words and their 64-bit hashes; lower folds A-Z only; space tells for each byte whether it parts words."""
     data, at = utf8(texts)
     if lower:
         data = _LOWER[data]
-    inside = ~_SPACE[data]
+    inside = ~space[data]
     edge = np.zeros(len(data) + 1, bool)
     edge[at] = True
     before = np.empty(len(data), bool)
