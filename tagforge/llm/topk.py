@@ -39,6 +39,8 @@ from .wordhash import utf8
 #: Share of components that are segments of their own at each level, and segments of the rest.
 LEVELS, REST = (0.0, 0.25, 0.5, 0.75, 0.875), 4
 SCALE = 256
+#: Margin of the bounds over the rounding of sums.
+SLACK = 16
 BLOCK, QUERY_BLOCK = 1 << 16, 1 << 14
 #: Rows and queries whose bounds are held at once.
 STEP_ROWS, STEP_QUERIES = 4096, 512
@@ -107,15 +109,19 @@ class Turned:
         cuts = np.unique(np.linspace(0, x.shape[1], min(REST, x.shape[1]) + 1).astype(int))
         long = np.diff(cuts)
         mean = np.add.reduceat(x, cuts[:-1], axis=1) / long
-        var = np.maximum(np.add.reduceat(x * x, cuts[:-1], axis=1) / long - mean * mean, 0)
+        off = x - np.repeat(mean, long, axis=1)  # E[x^2] - mean^2 would cancel where components are nearly equal
+        var = np.add.reduceat(off * off, cuts[:-1], axis=1) / long
         return np.concatenate([mean, np.sqrt(var)], 1) * np.sqrt(np.concatenate([long, long]))
 
 
 def survivors(q: Turned, x: Turned, a: slice, b: slice, least: np.ndarray, alive: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Pairs (query, candidate) of two slices whose bound reaches the query's threshold at every level."""
+    """Pairs (query, candidate) of two slices whose bound reaches the query's threshold at every level.
+
+    Rotation, sums and statistics each err by about dimension * 2**-52 of the norms at most; SLACK is the margin.
+    """
     rows, cols = np.arange(a.start, a.stop), np.arange(b.start, b.stop)
-    slack = 1e-9 * (q.norm[a] * x.norm[b].max(initial=0) + 1)
-    least = least - slack
+    error = SLACK * (q.x.shape[1] + 8) * 2.0**-52
+    least = least - error * (q.norm[a] * x.norm[b].max(initial=0) + np.abs(np.where(np.isfinite(least), least, 0))) - 1
     known, done = np.zeros((len(rows), len(cols))), 0
     for level, n in enumerate(q.upto):
         known += q.x[rows, done:n] @ x.x[cols, done:n].T

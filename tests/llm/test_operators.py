@@ -188,6 +188,27 @@ def test_op3_large_and_repeated(spark, monkeypatch):
     same(topk.top_k(df, lambda v: v % 50 == 0), plain_topk(whole))
 
 
+@pytest.mark.parametrize("turned", [False, True])
+@pytest.mark.parametrize("level, spread", [(1e6, 1), (4e5 * 256, 0.4), (4e5 * 256, 1), (1e9, 4), (1e12, 3000), (1e14, 1e3)])
+def test_op3_near_constant(level, spread, turned):
+    """Components that are nearly equal and large: the deviations must not drown in rounding."""
+    rng = np.random.default_rng(int(level) % 97 + int(spread))
+    x = np.floor(level + rng.standard_normal((600, 64)) * spread).astype(np.int64)
+    wide = rng.standard_normal((600, 64)) * level
+    wide -= wide.mean(axis=1, keepdims=True)  # others whose score with a query comes from the deviations alone
+    x[np.arange(600) % 200 > 0] = np.floor(wide).astype(np.int64)[np.arange(600) % 200 > 0]
+    rows = np.arange(len(x))
+    asked = rows[::200]
+    rotation = np.linalg.eigh((x / level).T @ (x / level))[1][:, ::-1].copy() if turned else None
+    best = []
+    for a in asked.tolist():
+        exact = [min(max(sum(p * q for p, q in zip(x[a].tolist(), v, strict=True)), -(2**63)), 2**63 - 1) for v in x.tolist()]
+        best.append(sorted((-exact[i], i) for i in range(len(x)) if i != a)[:5])
+    query, cand, score, _ = topk.search_block(asked, x[asked], [-b[-1][0] for b in best], rows, rows, x, 5, rotation)
+    for a, b in zip(asked.tolist(), best, strict=True):
+        assert [(-s, i) for s, i in b] == [(score[j], cand[j]) for j in np.flatnonzero(asked[query] == a)]
+
+
 def test_op3_prunes(spark):
     """Under 30 % of the pairs of sf0.1, random vectors of one length without any structure, are scored exactly."""
     t = spark.read.parquet("/root/testdata/sf0.1/embeddings.parquet").toPandas()
