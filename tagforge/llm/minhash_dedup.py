@@ -16,10 +16,10 @@
 The chance that a pair at the threshold shares no band is (1 - 0.8**5)**40, about 1e-7.
 
 Edge cases: null or empty texts have an empty set, are linked with nothing and are kept; fewer
-words than a shingle are one shingle; rows that repeat a doc_id count as one document, whose text
-is the least; a row with a null doc_id belongs to the documents with an equal set, or else is kept
-with a null component;
-other columns pass through in `near_dedup` and are ignored in `near_groups`.
+words than a shingle are one shingle; rows that repeat a doc_id are one document, which is linked
+with whatever one of its texts is linked with; a row with a null doc_id belongs to the documents with
+an equal set, or else is kept with a null component; other columns pass through in `near_dedup`,
+whatever their names, and are ignored in `near_groups`.
 """
 
 from __future__ import annotations
@@ -91,7 +91,7 @@ def signatures(k: int):
             bands, sign = [None] * n, [None] * n
             for i, d in enumerate(full.tolist()):
                 bands[d], sign[d] = signed(keys[:, i].copy()), packed[i].tobytes()
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(size.astype(np.int64)), pa.array(signed(set1)), pa.array(signed(set2)), pa.array(bands, pa.list_(pa.int64())), pa.array(sign, pa.binary())], names=["doc_id", "n_shingles", "set1", "set2", "bands", "packed"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(size.astype(np.int64)), pa.array(signed(set1)), pa.array(signed(set2)), pa.array(bands, pa.list_(pa.int64())), pa.array(sign, pa.binary())], names=["doc_id", "of_text", "n_shingles", "set1", "set2", "bands", "packed"])
 
     return run
 
@@ -180,35 +180,45 @@ def link_block(k: int, percent: int):
 def near_groups(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
     """doc_id, n_shingles, component_id, kept: one row for every input row."""
     ship_code(docs.sparkSession)
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    signs = staged(rows.mapInArrow(signatures(k), "doc_id long, n_shingles long, set1 long, set2 long, bands array<long>, packed binary"), "op2-signs")
-    one = signs.where("doc_id is not null and n_shingles > 0").groupBy("set1", "set2").agg(F.min("doc_id").alias("doc"))
-    one = staged(one, "op2-sets")  # joined from an exchange of its own, so that a hot set can be split
-    classes = staged(signs.select("doc_id", "n_shingles", "set1", "set2").join(one, ["set1", "set2"], "left").select("doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("doc")).alias("doc")), "op2-classes")
-    reps = signs.join(classes.where("doc_id = doc").select("doc_id").distinct(), "doc_id", "left_semi")
-
-    members = reps.select(F.col("doc_id").alias("doc"), F.explode("bands").alias("key"))
+    text = F.col("text").cast("string")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"), F.xxhash64(text).alias("of_text"))
+    signs = staged(rows.mapInArrow(signatures(k), "doc_id long, of_text long, n_shingles long, set1 long, set2 long, bands array<long>, packed binary"), "op2-signs")
+    # every set is a node, whatever documents hold it; its text and signature are those of one row
+    one = signs.where("doc_id is not null and n_shingles > 0").groupBy("set1", "set2").agg(F.min(F.struct("doc_id", "of_text")).alias("x"), F.max("n_shingles").alias("size"))
+    one = staged(one.select("set1", "set2", F.col("x.doc_id").alias("first"), F.col("x.of_text").alias("of_text"), "size", F.monotonically_increasing_id().alias("doc")), "op2-sets")  # joined from an exchange of its own, so that a hot set can be split
+    classes = staged(signs.select("doc_id", "n_shingles", "set1", "set2").join(one.select("set1", "set2", "doc"), ["set1", "set2"], "left").select("doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("doc")).alias("doc")), "op2-classes")
+    nodes = one.select(F.col("first").alias("doc_id"), "of_text", "doc")
+    reps = staged(signs.join(nodes, ["doc_id", "of_text"]).groupBy("doc").agg(F.first("bands").alias("bands"), F.first("packed").alias("packed")), "op2-reps")
+    # the texts of a repeated id are one document
+    several = classes.where("doc_id is not null and doc is not null").groupBy("doc_id").agg(F.min("doc").alias("a"), F.max("doc").alias("z")).where("a < z")
+    same_id = classes.where("doc is not null").join(several.select("doc_id", "a"), "doc_id").where("a < doc").select("a", F.col("doc").alias("b")).distinct()
+
+    members = reps.select("doc", F.explode("bands").alias("key"))
     hubs = members.groupBy("key").agg(F.min(F.struct(F.xxhash64("doc", "key").alias("h"), F.col("doc").alias("hub"))).alias("low"), F.min("doc").alias("d0"), F.max("doc").alias("d1")).where("d0 < d1")
     member_hub = staged(members.join(hubs.select("key", "low.hub"), "key").select("key", "doc", "hub"), "op2-hubs")
 
     # Texts of the candidates only, from one exchange of the table.
-    candidates = staged(rows.where("doc_id is not null and text is not null").join(member_hub.select(F.col("doc").alias("doc_id")).distinct(), "doc_id").groupBy("doc_id").agg(F.min("text").alias("text")), "op2-texts")
-    packed = signs.where("packed is not null").groupBy("doc_id").agg(F.min("packed").alias("packed"))
+    wanted = nodes.join(member_hub.select("doc").distinct(), "doc")
+    candidates = staged(rows.where("doc_id is not null and text is not null").join(wanted, ["doc_id", "of_text"]).groupBy("doc").agg(F.min("text").alias("text")), "op2-texts")
+    packed = reps
     pairs = member_hub.where("doc <> hub").select(F.least("doc", "hub").alias("a"), F.greatest("doc", "hub").alias("b")).distinct()
-    pairs = pairs.join(packed.select(F.col("doc_id").alias("a"), F.col("packed").alias("pa")), "a").join(packed.select(F.col("doc_id").alias("b"), F.col("packed").alias("pb")), "b")
+    pairs = pairs.join(packed.select(F.col("doc").alias("a"), F.col("packed").alias("pa")), "a").join(packed.select(F.col("doc").alias("b"), F.col("packed").alias("pb")), "b")
     s = percent / 100
     least = s - SLACK * (s * (1 - s) / N) ** 0.5
     likely = pairs.select("a", "b", "pa", "pb").mapInArrow(estimates, "a long, b long, similarity double").where(F.col("similarity") >= least).select("a", "b")
-    text = lambda x: candidates.select(F.col("doc_id").alias(x), F.col("text").alias(f"text_{x}"))
+    text = lambda x: candidates.select(F.col("doc").alias(x), F.col("text").alias(f"text_{x}"))
     links = staged(likely.join(text("a"), "a").join(text("b"), "b").select("a", "b", "text_a", "text_b").mapInArrow(confirm_pairs(k, percent), "a long, b long"), "op2-links")
 
     found = components(links)
     labelled = staged(member_hub.select("key", "doc").join(found.withColumnRenamed("node", "doc"), "doc", "left").select("key", "doc", F.coalesce("component", "doc").alias("part")), "op2-parts")
-    sizes = classes.where("doc_id = doc").groupBy("doc").agg(F.max("n_shingles").alias("size"))
-    more = _links_between_parts(labelled, candidates, sizes, k, percent)
-    found = components(links.unionByName(more))
-    out = classes.join(found.withColumnRenamed("node", "doc"), "doc", "left")
-    component = F.coalesce("component", "doc", "doc_id")
+    more = _links_between_parts(labelled, candidates, one.select("doc", "size"), k, percent)
+    found = components(links.unionByName(more).unionByName(same_id))
+    # a component is named by the least id in it
+    least = found.join(one.select(F.col("doc").alias("node"), "first"), "node").groupBy("component").agg(F.min("first").alias("least"))
+    linked = found.join(least, "component").select(F.col("node").alias("doc"), "least")
+    named = staged(one.select("doc", "first").join(linked, "doc", "left").select("doc", F.coalesce("least", "first").alias("name")), "op2-names")
+    out = classes.join(named, "doc", "left")
+    component = F.coalesce("name", "doc_id")
     return out.select("doc_id", "n_shingles", component.alias("component_id"), component.eqNullSafe(F.col("doc_id")).alias("kept"))
 
 
@@ -225,14 +235,18 @@ def _links_between_parts(labelled: DataFrame, candidates: DataFrame, sizes: Data
     placed = staged(docs.join(plan, "cluster").select("cluster", "doc", "part", "n_all", "n_few", (F.col("part") != F.col("main")).alias("few"), F.pmod(F.xxhash64("doc"), "n_all").cast("int").alias("block"), F.expr("if(part = main, -1, cast(pmod(xxhash64(doc, 7), n_few) as int))").alias("few_block")), "op2-blocks")
     queries = placed.where("few").select("cluster", "doc", "part", F.lit(0).alias("side"), F.col("few_block").alias("i"), F.explode(F.expr("sequence(0, n_all - 1)")).alias("j"))
     others = placed.select("cluster", "doc", "part", F.lit(1).alias("side"), F.explode(F.expr("sequence(0, n_few - 1)")).alias("i"), F.col("block").alias("j"))
-    sides = queries.unionByName(others).join(candidates.withColumnRenamed("doc_id", "doc"), "doc").select("cluster", "i", "j", "side", "doc", "part", "text")
+    sides = queries.unionByName(others).join(candidates, "doc").select("cluster", "i", "j", "side", "doc", "part", "text")
     return staged(sides.groupBy("cluster", "i", "j").applyInArrow(link_block(k, percent), "a long, b long"), "op2-more")
 
 
 def near_dedup(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
-    """The input rows (all columns) of one document of each group: the smallest doc_id; of rows that repeat it, all."""
-    kept = near_groups(docs, k, percent).where("kept").select(F.col("doc_id").alias("__kept")).distinct()
-    return docs.join(kept, docs["doc_id"].cast("long").eqNullSafe(F.col("__kept")), "left_semi")
+    """The input rows (all columns) of one document of each group: the smallest doc_id; of rows that repeat it, all.
+
+    A row whose component is named by another document goes, so a copy of a document that stays never does.
+    """
+    name = next(n for n in (f"__kept{i}" for i in range(len(docs.columns) + 1)) if n not in {c.lower() for c in docs.columns})
+    kept = near_groups(docs, k, percent).where("kept").select(F.col("doc_id").alias(name)).distinct()
+    return docs.join(kept, docs["doc_id"].cast("long").eqNullSafe(F.col(name)), "left_semi")
 
 
 def op2_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

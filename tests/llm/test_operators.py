@@ -106,8 +106,8 @@ def test_op2_blocks_and_estimate(spark, monkeypatch):
     df = spark.createDataFrame(rows, "doc_id long, text string")
     same(minhash_dedup.near_groups(df, 4, 80), brute.near(rows))
     signs = minhash_dedup.signatures(4)
-    batches = df.toArrow().combine_chunks().to_batches()
-    packed = next(iter(signs(iter(batches)))).column(5)
+    batches = df.withColumn("of_text", F.xxhash64("text")).toArrow().combine_chunks().to_batches()
+    packed = next(iter(signs(iter(batches)))).column(6)
     sets = [set(zip(*(t.split()[j:] for j in range(4)), strict=False)) for _, t in rows]
     est = minhash_dedup.estimate(packed.slice(0, 59), packed.slice(1, 59))
     true = [len(a & b) / len(a | b) for a, b in zip(sets, sets[1:], strict=False)]
@@ -131,6 +131,18 @@ def test_op2_null_ids_and_repeats(edges, empty):
     assert minhash_dedup.near_dedup(empty).count() == 0
 
 
+def test_op2_ids_with_several_texts(spark):
+    """All texts of an id are one document: what is linked with one is linked with all, and no copy of what stays stays."""
+    text = lambda x, n=40: " ".join(f"{x}{i}" for i in range(n))
+    a, b, c, d = map(text, "abcd")
+    rows = [(5, a), (5, b), (3, b), (7, a), (9, c), (9, d), (9, c), (12, d + " more"), (20, text("e")), (20, text("f")), (30, "g h"), (31, None), (31, text("h")), (32, text("h")), (33, None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").withColumn("__kept", F.lit(1)).repartition(4)
+    found = {(r.doc_id, r.component_id, r.kept) for r in minhash_dedup.near_groups(df, 4, 80).collect()}
+    assert found == {(5, 3, False), (3, 3, True), (7, 3, False), (9, 9, True), (12, 9, False), (20, 20, True), (30, 30, True), (31, 31, True), (32, 31, False), (33, 33, True)}
+    kept = minhash_dedup.near_dedup(df, 4, 80)
+    assert sorted(r.doc_id for r in kept.collect()) == [3, 9, 9, 9, 20, 20, 30, 31, 31, 33] and kept.columns == ["doc_id", "text", "__kept"]
+
+
 def test_components(spark):
     rng = random.Random(1)
     links = [(rng.randrange(300), rng.randrange(300)) for _ in range(200)] + [(1000 + i, 1001 + i) for i in range(60)] + [(5000, 5001 + i) for i in range(50)]
