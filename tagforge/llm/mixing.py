@@ -14,11 +14,15 @@ taken if that comes nearer to the target, so a source misses its target by half
 The order of a hot source isn't sorted in one task: sizes are summed in `BINS` bins of the key, the
 boundary bin follows from running sums of the bins, and only documents of that one bin are ranked.
 
+The group of equal rows at the boundary is taken as far as it fits, row by row; which of them doesn't matter,
+so they are counted and dealt out by number, however many they are.
+
+Sources are ordered and their level is found without gathering them: sorted parts are numbered, and the level
+comes from rounds of one aggregation each, until no more source is full.
+
 Edge cases: a null or empty text has size 0 and is taken 0 words; a null source is one more
-source, last in order; equal ids with equal texts tie and are ranked by nothing else, so each such
-group of repeated rows counts as one entry of the order taken or left together; an empty table gives an empty
-result; other columns pass through `mixed` under their own names, whatever `sampled` calls its columns (only
-`__u`, `__d`, `__s` and `__n` are taken).
+source, last in order; rows that repeat an id, text and source are entries of their own that tie; an empty table
+gives an empty result; other columns pass through `mixed` under their own names, whatever they are.
 """
 
 from __future__ import annotations
@@ -31,6 +35,8 @@ from .staging import read_table, staged
 WEIGHTS = (3, 1, 2)
 SHARE, MOST = 1.5, 2
 BINS = 1 << 14
+#: Equal rows that one task makes again.
+EQUAL_ROWS = 1 << 16
 WORD = r"[^\x20\x09-\x0D]+"
 
 
@@ -38,20 +44,30 @@ def n_words(text) -> F.Column:
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
 
 
+def placed(sizes: DataFrame) -> DataFrame:
+    """sizes with place, the number of each source (from 0) by code point, null last; no task sorts them all."""
+    ordered = staged(sizes.repartitionByRange(F.col("source").asc_nulls_last()).sortWithinPartitions(F.col("source").asc_nulls_last()).withColumn("__part", F.spark_partition_id()), "op4-sources")
+    parts = ordered.groupBy("__part").agg(F.count("*").alias("n"))  # a row a task
+    before = Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
+    parts = parts.select(F.col("__part").alias("__p"), F.coalesce(F.sum("n").over(before), F.lit(0)).alias("__before"))
+    inside = Window.partitionBy("__part").orderBy(F.col("source").asc_nulls_last())
+    numbered = ordered.join(F.broadcast(parts), F.col("__part") == F.col("__p")).withColumn("place", F.row_number().over(inside) - 1 + F.col("__before"))
+    return numbered.select(*sizes.columns, "place")
+
+
 def targets(sizes: DataFrame, weights=WEIGHTS, share: float = SHARE, most: int = MOST) -> DataFrame:
-    """sizes: source, source_size (one row a source) -> also weight, target."""
-    order = Window.orderBy(F.col("source").asc_nulls_last())
-    place = (F.row_number().over(order) - 1) % len(weights)
-    ranked = sizes.withColumn("weight", F.element_at(F.array(*map(F.lit, weights)), (place + 1).cast("int")))
-    ranked = ranked.withColumn("full", (F.col("source_size") * most).cast("double"))
-    by_fill = Window.orderBy(F.col("full") / F.col("weight"), F.col("source").asc_nulls_last())
-    before = by_fill.rowsBetween(Window.unboundedPreceding, -1)
-    after = by_fill.rowsBetween(Window.currentRow, Window.unboundedFollowing)
-    everything = Window.partitionBy()
-    levels = ranked.withColumn("level", (F.sum("source_size").over(everything) * share - F.coalesce(F.sum("full").over(before), F.lit(0.0))) / F.sum("weight").over(after))
-    # the level of the first source in order that it doesn't fill is the one that holds
-    held = F.min(F.when(F.col("full") / F.col("weight") >= F.col("level"), F.struct(F.col("full") / F.col("weight"), F.col("level").alias("level")))).over(everything)
-    return levels.withColumn("target", F.least("full", F.col("weight") * F.coalesce(held["level"], F.col("full") / F.col("weight")))).select("source", "source_size", "weight", "target")
+    """sizes: source, source_size and more (one row a source) -> also weight, target."""
+    ranked = placed(sizes).withColumn("weight", F.element_at(F.array(*map(F.lit, weights)), (F.col("place") % len(weights)).cast("int") + 1))
+    ranked = staged(ranked.withColumn("full", (F.col("source_size") * most).cast("double")), "op4-weights")
+    goal, level, n_full = (ranked.agg(F.sum("source_size")).first()[0] or 0) * share, 0.0, None
+    while True:  # the level rises while sources are found full below it
+        fill = F.col("full") / F.col("weight") < level
+        full, weight, n = ranked.agg(F.sum(F.when(fill, F.col("full"))), F.sum(F.when(~fill, F.col("weight"))), F.count_if(fill)).first()
+        if not weight or n == n_full:
+            break
+        level, n_full = (goal - (full or 0.0)) / weight, n
+    target = F.least(F.col("full"), F.col("weight") * F.lit(level)) if weight else F.col("full")
+    return ranked.withColumn("target", target).drop("full", "place")
 
 
 def uniform(doc_id, text) -> F.Column:
@@ -60,13 +76,13 @@ def uniform(doc_id, text) -> F.Column:
 
 
 def sampled(docs: DataFrame, weights=WEIGHTS, share: float = SHARE, most: int = MOST, text: str = "text") -> DataFrame:
-    """doc_id, source, u, size, source_size, target, copies (whole copies that the mix takes), n_same."""
+    """doc_id, source, u, size, source_size, target, copies (how often the mix takes the row); for rows of a group of
+    equal ones that is taken in part also same, their number, and fits, how many of them get one copy more."""
     word_size = n_words(F.col(text))
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), word_size.alias("size"), uniform(F.col("doc_id"), F.col(text)).alias("u"))
     rows = staged(rows, "op4-sizes")
     sums = rows.groupBy("source").agg(F.sum("size").alias("source_size"), F.count("*").alias("n"))
-    plan = targets(sums.select("source", "source_size"), weights, share, most)
-    plan = plan.withColumnRenamed("source", "s").join(sums.select(F.col("source").alias("s2"), "n"), F.col("s").eqNullSafe(F.col("s2"))).drop("s2")
+    plan = targets(sums, weights, share, most).withColumnRenamed("source", "s")
     ratio = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)
     plan = plan.withColumn("sure", F.least(F.floor(ratio), F.lit(most)).cast("int")).withColumn("rest", F.greatest(F.col("target") - F.col("sure") * F.col("source_size"), F.lit(0.0)))
     plan = staged(plan, "op4-plan")
@@ -81,22 +97,46 @@ def sampled(docs: DataFrame, weights=WEIGHTS, share: float = SHARE, most: int =
     edge = bins.withColumn("before", F.coalesce(F.sum("size").over(run), F.lit(0))).where("before < rest").groupBy("source").agg(F.max(F.struct("bin", "before")).alias("e")).select(F.col("source").alias("s"), F.col("e.bin").alias("edge"), F.col("e.before").alias("before"))
     edge = staged(edge, "op4-edge")
     ranked = ranked.join(edge, ranked["source"].eqNullSafe(edge["s"]), "left").drop("s")
-    last = ranked.where("bin = edge").groupBy("source", "key", "doc_id", "u", "before", "rest").agg(F.sum("size").alias("size"))
+    last = ranked.where("bin = edge").groupBy("source", "key", "doc_id", "u", "before", "rest", "source_size", "target", "sure").agg(F.sum("size").alias("all"), F.count("*").alias("same"))
     inner = Window.partitionBy("source").orderBy("key", "doc_id", "u")
-    last = last.withColumn("upto", F.sum("size").over(inner) + F.col("before"))
-    # taken while the middle of the document lies within the rest
-    last = last.where(F.col("upto") - F.col("size") / 2 <= F.col("rest")).select(F.col("source").alias("s"), F.col("doc_id").alias("d"), F.col("u").alias("v"))
-    ranked = ranked.join(last, ranked["source"].eqNullSafe(last["s"]) & ranked["doc_id"].eqNullSafe(last["d"]) & (ranked["u"] == last["v"]), "left")
+    one = F.col("all") / F.col("same")
+    last = last.withColumn("ahead", F.sum("all").over(inner) - F.col("all") + F.col("before"))
+    # a row is taken while its middle lies within the rest; the quotient may be off by one
+    within = lambda n: F.col("ahead") + n * one - one / 2 <= F.col("rest")
+    near = F.floor((F.col("rest") - F.col("ahead")) / one + 0.5)
+    fits = F.when(within(near + 1), near + 1).when(within(near), near).otherwise(near - 1)
+    last = last.withColumn("fits", F.least(F.col("same"), F.greatest(F.lit(0), fits)).cast("long"))
+    last = staged(last.withColumn("size", one.cast("long")), "op4-last")
+    split = (F.col("fits") > 0) & (F.col("fits") < F.col("same"))
+    marks = last.where("fits > 0").select(F.col("source").alias("s"), F.col("doc_id").alias("d"), F.col("u").alias("v"), split.alias("split"))
+    ranked = ranked.join(marks, ranked["source"].eqNullSafe(marks["s"]) & ranked["doc_id"].eqNullSafe(marks["d"]) & (ranked["u"] == marks["v"]), "left")
     extra = F.coalesce((F.col("bin") < F.col("edge")) | F.col("v").isNotNull(), F.lit(False)).cast("int")
-    return ranked.select("doc_id", "source", "u", "size", "source_size", "target", (F.col("sure") + extra).alias("copies"))
+    columns = ["doc_id", "source", "u", "size", "source_size", "target"]
+    whole = ranked.where(~F.coalesce("split", F.lit(False))).select(*columns, (F.col("sure") + extra).alias("copies"), F.lit(None).cast("long").alias("fits"), F.lit(None).cast("long").alias("same"))
+    # one group a source at most is taken in part: its rows are made again from their number, in blocks
+    blocks = last.where(split).withColumn("b", F.explode(F.sequence(F.lit(0), F.floor((F.col("same") - 1) / EQUAL_ROWS)))).repartition("source", "b")
+    number = F.explode(F.sequence(F.col("b") * EQUAL_ROWS + 1, F.least(F.col("same"), (F.col("b") + 1) * EQUAL_ROWS)))
+    parts = blocks.withColumn("i", number).select(*columns, (F.col("sure") + (F.col("i") <= F.col("fits")).cast("int")).alias("copies"), "fits", "same")
+    return whole.unionByName(parts)
 
 
 def mixed(docs: DataFrame, weights=WEIGHTS, share: float = SHARE, most: int = MOST) -> DataFrame:
     """The input rows, each as often as the mix takes it."""
-    want = sampled(docs, weights, share, most).where("copies > 0").select(F.col("doc_id").alias("__d"), F.col("u").alias("__u"), F.col("source").alias("__s"), F.col("copies").alias("__n")).distinct()
-    keyed = docs.withColumn("__u", uniform(F.col("doc_id"), F.col("text")))
-    both = keyed.join(want, keyed["doc_id"].cast("long").eqNullSafe(want["__d"]) & (keyed["__u"] == want["__u"]) & keyed["source"].cast("string").eqNullSafe(want["__s"])).drop(want["__u"]).drop("__u", "__d", "__s")
-    return both.withColumn("__n", F.explode(F.sequence(F.lit(1), F.col("__n")))).drop("__n")
+    own = {c: f"__own{i}" for i, c in enumerate(docs.columns)}
+    rows = docs.select(F.col("doc_id").cast("long").alias("d"), F.col("source").cast("string").alias("s"), uniform(F.col("doc_id"), F.col("text")).alias("u"), F.struct(*(F.col(f"`{c}`").alias(n) for c, n in own.items())).alias("row"))
+    want = staged(sampled(docs, weights, share, most).where("copies > 0 or fits is not null").groupBy(F.col("doc_id").alias("wd"), F.col("source").alias("ws"), F.col("u").alias("wu")).agg(F.max("copies").alias("copies"), F.max("fits").alias("fits"), F.max("same").alias("same")), "op4-want")
+    both = rows.join(want, rows["d"].eqNullSafe(want["wd"]) & rows["s"].eqNullSafe(want["ws"]) & (rows["u"] == want["wu"]))
+    taken = both.where("fits is null").withColumn("i", F.explode(F.sequence(F.lit(1), F.col("copies")))).select("row")
+    # of equal rows taken in part, those of equal other columns are counted; `fits` of all get one copy more
+    split = both.where("fits is not null").groupBy("wd", "ws", "wu", "copies", "fits", "same", F.to_json("row").alias("key")).agg(F.count("*").alias("n"), F.first("row").alias("row"))
+    before = Window.partitionBy("wd", "ws", "wu").orderBy("key").rowsBetween(Window.unboundedPreceding, -1)
+    split = split.withColumn("ahead", F.coalesce(F.sum("n").over(before), F.lit(0)))
+    more = F.least(F.col("n"), F.greatest(F.lit(0), F.col("fits") - F.col("ahead")))
+    split = split.withColumn("copies", (F.col("copies") - 1) * F.col("n") + more).where("copies > 0")
+    split = split.withColumn("b", F.explode(F.sequence(F.lit(0), F.floor((F.col("copies") - 1) / EQUAL_ROWS)))).repartition("ws", "b")
+    number = F.explode(F.sequence(F.col("b") * EQUAL_ROWS + 1, F.least(F.col("copies"), (F.col("b") + 1) * EQUAL_ROWS)))
+    out = taken.unionByName(split.withColumn("i", number).select("row"))
+    return out.select(*(F.col(f"row.{n}").alias(c) for c, n in own.items()))
 
 
 def op4_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -254,6 +254,43 @@ def test_op4(edges, empty, docs):
     assert mixing.sampled(empty).count() == mixing.mixed(empty).count() == 0
 
 
+def test_op4_equal_rows(spark, monkeypatch):
+    """Sources of equal rows come as near to their targets as others: only as many as fit get a copy more."""
+    monkeypatch.setattr(mixing, "EQUAL_ROWS", 7)
+    rows = [(1, "a b c", "x", i // 60) for i in range(100)] + [(i, "d e f g h", "y", 0) for i in range(2, 60)] + [(3, "d e f g h", "y", 1), (90, None, None, 0)]
+    rows += [(500, "u v", "z", i % 3) for i in range(41)] + [(501, "u v", "z", 0) for i in range(41)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string, __n long").repartition(5)
+    want = {}
+    for r in mixing.sampled(df).collect():
+        size, target, taken = want.get(r.source, (0, 0, 0))
+        want[r.source] = size + 1, r.target, taken + r.size * r.copies
+    assert {s: x[0] for s, x in want.items()} == {"x": 100, "y": 59, "z": 82, None: 1}
+    assert all(abs(target - taken) <= 2.5 for _, target, taken in want.values())
+    out = mixing.mixed(df)
+    assert out.columns == df.columns
+    words = {r.source: r.n for r in out.groupBy("source").agg(F.sum(mixing.n_words(F.col("text"))).alias("n")).collect()}
+    assert words == {s: taken for s, (_, _, taken) in want.items() if s}
+    most = out.groupBy("doc_id", "source", "__n").count().collect()
+    number = {k: sum((r[0], r[2], r[3]) == k for r in rows) for k in {(r[0], r[2], r[3]) for r in rows}}
+    assert all(r["count"] <= 2 * number[r.doc_id, r.source, r["__n"]] for r in most)
+
+
+def test_op4_many_sources(spark):
+    """Targets of 300 sources against a plain loop that fills them one after the other."""
+    rng = random.Random(4)
+    sizes = [(f"s{i:03}", rng.choice([0, 1, 5, 70, 900, 40_000])) for i in range(299)] + [(None, 33)]
+    got = {r.source: r.target for r in mixing.targets(spark.createDataFrame(sizes, "source string, source_size long").repartition(7)).collect()}
+    weight = {s: (3, 1, 2)[i % 3] for i, (s, _) in enumerate(sizes)}
+    full, left = {}, dict(sizes)
+    while True:
+        level = (1.5 * sum(n for _, n in sizes) - sum(full.values())) / sum(weight[s] for s in left)
+        over = [s for s in left if 2 * left[s] < weight[s] * level]
+        if not over:
+            break
+        full |= {s: 2.0 * left.pop(s) for s in over}
+    assert got == pytest.approx(full | {s: weight[s] * level for s in left})
+
+
 def test_op5(spark, edges, empty):
     docs, labels = (spark.read.parquet(f"/root/testdata/sf0.1/{t}.parquet") for t in ("documents", "labels"))
     out = toxicity.op5_toxicity(spark, "/root/testdata/sf0.1").join(labels.groupBy("doc_id").agg(F.max("toxic").alias("toxic")), "doc_id").where("held_out").collect()
