@@ -462,15 +462,43 @@ def test_op8_edges(spark, docs, edges, empty, tmp_path):
     assert token_counts.counted(spark.createDataFrame([(None, "s", "l"), ("", "s", "l")], "text string, source string, lang string"), bpe.ranks_path()).agg(F.sum("n_tokens")).first()[0] == 0
     first, second = (token_counts.Rollup(spark, f"file://{tmp_path}/two") for _ in range(2))
     assert first.commit("nothing", token_counts.inserts(token_counts.estimated(empty))) and first.totals().count() == 0
-    stale, real = [second._version()], second._version
+    stale, real = [second._versions()], second._versions
     assert first.commit("a", token_counts.inserts(token_counts.estimated(edges)))
-    second._version = lambda: stale.pop() if stale else real()
+    second._versions = lambda: stale.pop() if stale else real()
     assert second.commit("b", token_counts.inserts(token_counts.estimated(edges))) and not stale
     assert first.committed() == ["a", "b", "nothing"] and first.totals().agg(F.sum("n_docs")).first()[0] == 2 * edges.count()
     assert not second.commit("a", token_counts.inserts(token_counts.estimated(edges)))
     assert len(list((tmp_path / "two").glob("v-*"))) <= 3
 
 
+def test_op8_overtaken(spark, tmp_path, monkeypatch):
+    """A writer and a reader that others overtake by two versions, whose files are gone, start again; ids are folded."""
+    monkeypatch.setattr(token_counts, "FOLDED", 2)
+    row = lambda n: token_counts.inserts(spark.createDataFrame([("s", "en", "t", n)], "source string, lang string, tokenizer string, n_tokens long"))
+    fast, slow = (token_counts.Rollup(spark, f"file://{tmp_path}/r", keep=0) for _ in range(2))
+    assert fast.commit("b0", row(1))
+    old, real = slow._versions(), slow._versions
+    (tmp_path / "r" / "v-torn").mkdir()
+    (tmp_path / "r" / "log" / "new-torn").touch()
+    for i in range(1, 6):
+        assert fast.commit(f"b{i}", row(10**i))
+    assert len(list((tmp_path / "r").glob("v-*"))) == 1 and not list((tmp_path / "r" / "log").glob("new-*"))
+    assert len(list((tmp_path / "r" / "log").glob("0*"))) <= 2 and len(list((tmp_path / "r" / "batches").glob("0*"))) == 3
+    stale = [old]
+    slow._versions = lambda: stale.pop() if stale else real()
+    assert slow.totals().first().n_tokens == 111_111
+    stale = [old]
+    assert slow.commit("b6", row(10**6)) and not stale
+    stale = [old]
+    assert not slow.commit("b1", row(5))
+    assert fast.totals().first()[3:] == (7, 1_111_111) and fast.committed() == [f"b{i}" for i in range(7)]
+    gone = fast._entry(fast._versions()[-1])[0]
+    (tmp_path / "r" / gone.rpartition("/")[2] / "totals" / "_SUCCESS").unlink()
+    fast._files().delete(fast._at(gone.rpartition("/")[2]), True)
+    with pytest.raises(Exception, match="PATH_NOT_FOUND"):  # nobody overtook it: the newest version itself is lost
+        fast.commit("b7", row(1))
+
+
 def test_op9(spark, docs, edges, empty):
     pattern = re.compile(r"""([Pp][Aa][Ss][Ss][Ww][Oo][Rr][Dd]|[Pp][Aa][Ss][Ss][Ww][Dd]|[Ss][Ee][Cc][Rr][Ee][Tt]|[Tt][Oo][Kk][Ee][Nn]|[Aa][Pp][Ii]_?[Kk][Ee][Yy])["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""")
     want = []
