@@ -31,6 +31,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, BinaryType, LongType, StructField, StructType
 
+from .names import own_names
 from .staging import chunks_written, read_table, ship_code
 from .wordhash import CHUNK_BYTES as PIECE_BYTES
 from .wordhash import U64, _by_place, mix, pieces, utf8
@@ -293,7 +294,7 @@ def _with_ids(batch: pa.RecordBatch, ids: pa.Array) -> pa.RecordBatch:
 
 
 def encode(docs: DataFrame, ranks_file: str, decoded: bool = False) -> DataFrame:
-    """Input columns but text, n_tokens and ids (little-endian unsigned 32-bit); clashing names become in_<name>.
+    """Input columns but text, n_tokens and ids (little-endian unsigned 32-bit); `in_` comes before clashing names until they are free.
 
     With `decoded`, the ids are decoded again in the same pass into the column of that name.
     """
@@ -303,8 +304,8 @@ def encode(docs: DataFrame, ranks_file: str, decoded: bool = False) -> DataFrame
         ranks = spark.sparkContext.broadcast(f.read())
     made = ("n_tokens", "ids", "decoded") if decoded else ("n_tokens", "ids")
     text = F.col("text").cast("string")
-    own = [c for c in docs.columns if c != "text"]
-    rows = docs.select(text.alias("__text"), *(F.col(f"`{c}`").alias(f"in_{c}" if c in made else c) for c in own))
+    names = own_names((c for c in docs.columns if c != "text"), made, ("__text", "__chunk", "__words"))
+    rows = docs.select(text.alias("__text"), *(F.col(f"`{c}`").alias(name) for c, name in names.items()))
     total = docs.agg(F.sum(F.coalesce(F.octet_length(text), F.lit(0)) + 16)).first()[0] or 0
     held = spark.sparkContext.broadcast(frequent_words(docs.select(text.alias("text")), total, encoder(ranks.value)))
     dealt = in_chunks(rows, held, total)

@@ -186,7 +186,8 @@ def grown(prefix: int, pointers: np.ndarray, least: int, whole: bool) -> Iterato
         for i in (range(len(at)) if not whole and k + 1 < depth else np.flatnonzero(n >= least).tolist()):
             longer = [*phrase, int(word[at[i]])]
             yield longer, int(n[i])
-            if k + 1 < depth and n[i] >= least:
+            # only whole suffixes are all in one task, so only they can be pruned by what it has of their start
+            if k + 1 < depth and (n[i] >= least or not whole and k + 2 < depth):
                 yield from extend(longer, own[at[i] : end[i]])
 
     yield from extend([prefix], np.arange(len(pointers)))

@@ -28,6 +28,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .names import own_names
 from .staging import read_table, ship_code, staged, unstage
 from .wordhash import pieces
 
@@ -232,14 +233,8 @@ def repeated_lines(docs: DataFrame, least: int = MIN_CHARS) -> DataFrame:
 def line_dedup(docs: DataFrame, least: int = MIN_CHARS) -> DataFrame:
     """doc_id, n_lines, n_dropped, kept_text and the other input columns."""
     gone = repeated_lines(docs, least)
-    taken, rest = {*MADE, *docs.columns}, []
-    for c in docs.columns:
-        if c not in ("doc_id", "text"):
-            name = c
-            while c in MADE and name in taken:
-                name = f"in_{name}"
-            taken.add(name)
-            rest.append(F.col(f"`{c}`").alias(name))
+    names = own_names((c for c in docs.columns if c not in ("doc_id", "text")), MADE, ("text", "__doc", "__row", "__text", "__keys"))
+    rest = [F.col(f"`{c}`").alias(name) for c, name in names.items()]
     joined = _keyed(docs, F.col("doc_id").cast("long").alias("doc_id"), *rest).join(gone, ["__doc", "__row"], "left")
     own = [c for c in joined.columns if c not in ("__doc", "__row", "__text", "__keys", "doc_id")]
     joined = joined.select("__text", "__keys", "doc_id", *(F.col(f"`{c}`") for c in own))

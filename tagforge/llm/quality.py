@@ -22,6 +22,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .names import own_names
 from .staging import read_table
 
 WORD = r"[^\x20\x09-\x0D]+"
@@ -77,7 +78,8 @@ def repeat_words(words: Column) -> Column:
 def judged(docs: DataFrame) -> DataFrame:
     """Input columns and n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, clean_text, lost_chars, kept."""
     made = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "clean_text", "lost_chars", "kept"]
-    own = [F.col(f"`{c}`") for c in docs.columns if c not in made]
+    names = own_names((c for c in docs.columns if c not in made), (), ("__text", "__w", "__l", *made))
+    own = [F.col(f"`{c}`").alias(name) for c, name in names.items()]
     text = F.col("__text")
     chars = lambda lines: F.aggregate(lines, F.lit(0), lambda a, x: a + F.length(x))
     rows = docs.select(*own, F.coalesce(F.col("text").cast("string"), F.lit("")).alias("__text"))
@@ -97,7 +99,7 @@ def judged(docs: DataFrame) -> DataFrame:
     })
     rows = rows.withColumn("base_failed", (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MOST_REPEATED * F.col("n_words")))
     rows = rows.withColumn("kept", ~F.col("base_failed") & (100 * F.col("lost_chars") <= MOST_LOST * F.col("__l.all")))
-    return rows.select(*own, *made)
+    return rows.select(*(F.col(f"`{name}`").alias(c) for c, name in names.items()), *made)
 
 
 def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -39,6 +39,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .names import held_out, own_names
 from .staging import read_table, ship_code, staged
 from .wordhash import pieces
 
@@ -224,14 +225,6 @@ def logistic(x: np.ndarray, y: np.ndarray) -> list[float]:
     return beta.tolist()
 
 
-def held_out(doc_id) -> F.Column:
-    return F.coalesce(F.crc32(doc_id.cast("string")) % 4 == 2, F.lit(False))
-
-
-def held_out(doc_id) -> F.Column:
-    return F.coalesce(F.crc32(doc_id.cast("string")) % 4 == 2, F.lit(False))
-
-
 def training_rows(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """text, fold, toxic of labelled rows that aren't held out, each text once."""
     known = labels.where("doc_id is not null and toxic is not null").where(~held_out(F.col("doc_id")))
@@ -345,8 +338,8 @@ def scored(docs: DataFrame, labels: DataFrame, columns: list[str] | None = None)
     spark = docs.sparkSession
     ship_code(spark)
     model = fit(docs, labels)
-    own = docs.columns if columns is None else columns
-    rows = docs.select(F.col("text").cast("string").alias("__text"), *(F.col(f"`{c}`").alias("in_toxicity" if c == "toxicity" else c) for c in own))
+    names = own_names(docs.columns if columns is None else columns, ("toxicity",), ("__text",))
+    rows = docs.select(F.col("text").cast("string").alias("__text"), *(F.col(f"`{c}`").alias(name) for c, name in names.items()))
     schema = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in rows.schema if f.name != "__text") + "toxicity double"
     return rows.mapInArrow(score_rows(*model), schema)
 

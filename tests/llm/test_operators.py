@@ -15,7 +15,7 @@ from pyspark.sql import Row
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from tagforge.llm import bpe, components, line_dedup, minhash_dedup, mixing, quality, secrets, substring_dedup, token_counts, topk, toxicity
+from tagforge.llm import bpe, components, language_id, line_dedup, minhash_dedup, mixing, quality, secrets, substring_dedup, token_counts, topk, toxicity
 
 SF = "/root/testdata/sf0.001"
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, kept_text string, ids string, n_tokens string, kept boolean"
@@ -625,6 +625,24 @@ def test_op10_lines(spark):
     assert [r.f for r in out] == [True] * len(junk) + [False] * len(fine)
 
 
+def test_free_names(spark, docs):
+    """Columns called as the operators call their own, in any case, come through with their values."""
+    names = ["toxicity", "in_toxicity", "ids", "in_ids", "N_Tokens", "decoded", "__chunk", "__words", "__text", "__w", "__l", "__doc", "__Row", "__keys", "n_lines", "in_n_lines", "lang_pred", "score", "__kept", "__u", "__d", "__n"]
+    rows = [(i, t, "en", "s", *(f"{c}{i}" for c in names)) for i, t in enumerate(["a line of some words\nanother", "a line of some words\nits own", None])]
+    df = spark.createDataFrame(rows, ", ".join(["doc_id long", "text string", "lang string", "source string", *(f"`{c}` string" for c in names)]))
+    labels = spark.createDataFrame([(0, 1)], "doc_id long, toxic int")
+    once = bpe.encode(df, bpe.ranks_path(), decoded=True)
+    results = [
+        toxicity.scored(df, labels), once, bpe.encode(bpe.encode(once.withColumn("text", F.lit("x")), bpe.ranks_path()).withColumn("text", F.lit("y")), bpe.ranks_path()),
+        line_dedup.line_dedup(df), quality.judged(df), minhash_dedup.near_dedup(df), mixing.mixed(df), language_id.identified(df, language_id.fit(df)),
+    ]
+    for out in results:
+        found = out.collect()
+        values = [set(map(str, r)) for r in found]
+        assert found and all(any({f"{c}{i}" for c in names} <= v for i in range(3)) for v in values), out.columns
+        assert len({c.lower() for c in out.columns}) == len(out.columns)
+
+
 def test_pipeline(spark, docs, edges):
     """Stage by stage: what a stage drops follows from brute force over what it was given."""
     held = docs
