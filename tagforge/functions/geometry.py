@@ -23,6 +23,12 @@ def axis(points: Column, i: int) -> Column:
     return F.transform(points, lambda p: p[i])
 
 
+def finite(points: Column) -> Column:
+    """The points, or null if one of their numbers is missing or not finite."""
+    whole = F.forall(points, lambda p: F.forall(p, lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v) < float("inf"))))
+    return F.when(whole, points)
+
+
 def bounding_box(points: Column) -> Column:
     """Struct x_min, y_min, x_max, y_max, cut to integers toward zero."""
     side = lambda f, i: f(axis(points, i)).cast("int")

@@ -98,10 +98,10 @@ def frame_name(ms: Column, sharpness: Column | None = None) -> Column:
     return F.format_string("frame_%06d_quality=%d.png", ms, F.rint(sharpness).cast("long"))
 
 
-def crop_path(folder: str, ms: Column, place: Column, has_image: Column) -> Column:
+def crop_path(folder: str | Column, ms: Column, place: Column, has_image: Column) -> Column:
     """Path of a tag's crop by its frame's milliseconds and its place in the frame; '' without an image."""
-    name = F.format_string(f"{folder.rstrip('/').replace('%', '%%')}/warped_%d_%d.png", ms, place)
-    return F.when(has_image, name).otherwise("")
+    own = F.lit(folder.rstrip("/")) if isinstance(folder, str) else folder
+    return F.when(has_image, F.concat(own, F.format_string("/warped_%d_%d.png", ms, place))).otherwise("")
 
 
 def base_name(path: Column) -> Column:

@@ -33,9 +33,9 @@ COLOR_NAMES = {"red": "красный", "yellow": "жёлтый"}
 OTHER_COLOR = "неизвестно"
 
 
-def explode_tags(frames: DataFrame) -> DataFrame:
-    """frames: video, timestamp_ms, price_tags -> one row a tag; a frame without tags gives none."""
-    return frames.select("video", "timestamp_ms", F.posexplode("price_tags").alias("tag_ord", "tag")).select("video", "timestamp_ms", "tag_ord", "tag.*")
+def explode_tags(frames: DataFrame, *more: str) -> DataFrame:
+    """frames: video, timestamp_ms, price_tags -> one row a tag, with more columns of its frame; a frame without tags gives none."""
+    return frames.select("video", "timestamp_ms", *more, F.posexplode("price_tags").alias("tag_ord", "tag")).select("video", "timestamp_ms", *more, "tag_ord", "tag.*")
 
 
 def complete(rows: DataFrame, columns: list[str] = COLUMNS) -> DataFrame:

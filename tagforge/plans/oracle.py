@@ -74,6 +74,34 @@ chosen AS (
     CASE WHEN color = 'red' AND abs(n::BIGINT) > 100 THEN '-' || ltrim(n, '-') ELSE '' END AS moved, CASE WHEN color = 'red' AND abs(n::BIGINT) <= 100 THEN '-' || ltrim(n, '-') || '%' ELSE '' END AS amount,
     CASE WHEN p5 <> '' AND (p6 = '' OR h5 >= h6) THEN p5 ELSE p6 END AS tall FROM offered),
 ended AS (SELECT *, {_KOPECKS.format("d0")} AS d1, CASE WHEN color = 'red' THEN {_KOPECKS.format("coalesce(nullif(tall, ''), moved)")} ELSE '' END AS r1 FROM chosen)"""
+
+
+def _crop(tags: str) -> str:
+    """CTEs from tags (id, n: the frame's number, x1, y1, x2, y2) to crop (id, h, w, y, x, b, g, r) and look (id, color, quarters)."""
+    level = lambda c, y, x: f"""(CASE WHEN {x} < 0 OR {y} < 0 OR {x} > 31 OR {y} > 23 THEN 0
+      WHEN n % 3 = 0 AND {y} >= 12 THEN {f"200 + ({x} + {y}) % 50" if c == 2 else f"({x} * {y} + n) % 40"}
+      WHEN n % 3 = 1 AND {x} < 16 THEN {(f"20 + {y} % 9", f"190 + ({x} + n) % 9", "225")[c]}
+      ELSE ({(f"n * 7 + {y} * 13 + {x} * 29", f"n * 3 + {y} * {y} + {x}", f"n + {x} * {x} * 5 + {y} * 3")[c]}) % 256 END)::DOUBLE"""
+    between = lambda c: f"floor(({level(c, 'y0', 'x0')} * (1 - fx) + {level(c, 'y0', '(x0 + 1)')} * fx) * (1 - fy) + ({level(c, '(y0 + 1)', 'x0')} * (1 - fx) + {level(c, '(y0 + 1)', '(x0 + 1)')} * fx) * fy + 0.5)::INT"
+    half = lambda row, high: f"avg(colored) FILTER (WHERE {row} >= {high} // 2) - avg(colored) FILTER (WHERE {row} < {high} // 2)"
+    return f"""
+tag AS (SELECT *, trunc(x2 - x1)::INT AS w, trunc(y2 - y1)::INT AS h FROM ({tags})),
+pixel AS (SELECT *, x1 + x * ((x2 - x1) / (w - 1)) AS sx, y1 + y * ((y2 - y1) / (h - 1)) AS sy FROM (SELECT *, unnest(range(w)) AS x FROM (SELECT *, unnest(range(h)) AS y FROM tag WHERE w >= 10 AND h >= 10))),
+place AS (SELECT *, floor(sx)::BIGINT AS x0, floor(sy)::BIGINT AS y0, sx - floor(sx) AS fx, sy - floor(sy) AS fy FROM pixel),
+crop AS (SELECT id, h, w, y, x, {between(0)} AS b, {between(1)} AS g, {between(2)} AS r FROM place),
+vivid AS (SELECT *, greatest(b, g, r) AS v, greatest(b, g, r) - least(b, g, r) AS d FROM crop),
+angle AS (SELECT *, CASE WHEN v = 0 THEN 0 ELSE floor(255 * d::DOUBLE / v + 0.5) END AS s,
+  CASE WHEN d = 0 THEN 0.0::DOUBLE WHEN v = r THEN 30 * (g - b) / d::DOUBLE WHEN v = g THEN 60 + 30 * (b - r) / d::DOUBLE ELSE 120 + 30 * (r - g) / d::DOUBLE END AS t FROM vivid),
+hue AS (SELECT *, floor(CASE WHEN t < 0 THEN t + 180 ELSE t END + 0.5)::INT % 180 AS hh FROM angle),
+mask AS (SELECT *, CASE WHEN (hh <= 10 OR hh >= 160) AND s >= 70 AND v >= 50 THEN 1 ELSE 0 END AS red, CASE WHEN hh BETWEEN 20 AND 35 AND s >= 70 AND v >= 50 THEN 1 ELSE 0 END AS yellow FROM hue),
+masked AS (SELECT *, red + yellow AS colored FROM mask),
+turns AS (SELECT id, CASE WHEN avg(red) > 0.05 THEN 'red' WHEN avg(yellow) > 0.05 THEN 'yellow' ELSE 'unknown' END AS color,
+  [{half('y', 'h')}, {half('x', 'w')}, {half('h - 1 - y', 'h')}, {half('w - 1 - x', 'w')}] AS scores FROM masked GROUP BY id),
+look AS (SELECT id, color, (list_position(list_transform(scores, lambda z: round(z, 12)), round(list_max(scores), 12)) - 1)::INT AS quarters FROM turns)"""
+
+
+_TAG_K = "2 + k % 8 / 4.0::DOUBLE AS x1, 1 + k % 12 / 4.0::DOUBLE AS y1, 2 + k % 8 / 4.0::DOUBLE + 12 + k % 15 AS x2, 1 + k % 12 / 4.0::DOUBLE + 8 + k % 12 AS y2"
+_EMPTY = ", ".join(f"'' AS {c}" for c in CODE_KEYS if c not in ("qr_code_barcode", "price1_qr"))
 _NAMES = {k: f'"{v}"' for k, v in LABELS.items()}
 _COLOR_SQL = "CASE color WHEN 'red' THEN 'красный' WHEN 'yellow' THEN 'жёлтый' ELSE 'неизвестно' END"
 _SHOWN = ", ".join(f"coalesce(nullif({c}::VARCHAR, ''), '-') AS {c}" for c in SHOWN)
@@ -169,4 +197,21 @@ SELECT conv_id, place::INT AS place, t[place + 1] AS text, CASE WHEN place < n /
 SELECT 'price_discount' AS field, 'price_card' AS label, count(*) FILTER (WHERE r1 <> '') AS n, count(*) FILTER (WHERE r1 IN (SELECT (p_partkey % 300 + 100) || '.99' FROM part)) AS n_found FROM ended
 UNION ALL SELECT 'discount_amount', 'discount_amount', count(*) FILTER (WHERE amount <> ''), count(*) FILTER (WHERE amount IN (SELECT '-' || p_partkey % 20 || '%' FROM part)) FROM ended
 UNION ALL SELECT 'price_card', 'code', 0, 0""",
+    "q26_crops": f"""WITH {_crop(f"SELECT k AS id, k AS n, {_TAG_K} FROM (SELECT p_partkey AS k FROM part)")},
+sums AS (SELECT id, h, w, sum(b)::BIGINT AS blue, sum(g)::BIGINT AS green, sum(r)::BIGINT AS red,
+  sum(b * ((y * w + x) * 3 % 97 + 1) + g * (((y * w + x) * 3 + 1) % 97 + 1) + r * (((y * w + x) * 3 + 2) % 97 + 1))::BIGINT AS checked FROM crop GROUP BY id, h, w)
+SELECT id AS p_partkey, h, w, blue, green, red, checked, color, quarters FROM sums JOIN look USING (id)""",
+    "q27_price_tags": f"""WITH
+seen AS (SELECT p_partkey AS k, 'in/v' || p_partkey % 2 || '.avi' AS video, p_partkey // 4 + o AS n, o, 50.0::DOUBLE + CASE WHEN o = 0 THEN p_partkey % 7 ELSE p_partkey * 3 % 7 END AS sharp FROM part, range(2) AS v(o)),
+best AS (SELECT * FROM seen QUALIFY row_number() OVER (PARTITION BY k ORDER BY sharp DESC, n) = 1),
+listed AS (SELECT *, (row_number() OVER (PARTITION BY video, n ORDER BY k // 4, k) - 1)::INT AS tag_ord FROM best),
+{_crop(f"SELECT k AS id, n, {_TAG_K} FROM listed WHERE n % 11 <> 0")}
+SELECT split_part(video, '/', 2) AS filename, CASE WHEN look.id IS NULL THEN '' ELSE p_brand END AS product_name,
+  CASE WHEN look.id IS NULL THEN '' ELSE (k % 900 + 100) || ',99' END AS price_default, '' AS price_card, '' AS price_discount,
+  CASE WHEN look.id IS NULL THEN '' ELSE 'p1=' || k || '.5;barcode=' || k END AS barcode, '' AS discount_amount, '' AS id_sku, '' AS print_datetime, '' AS code, '' AS additional_info,
+  coalesce(color, 'unknown') AS color, '' AS special_symbols, trunc(listed.n / 25.0::DOUBLE * 1000)::BIGINT AS frame_timestamp, trunc(x1)::INT AS x_min, trunc(y1)::INT AS y_min, trunc(x2)::INT AS x_max, trunc(y2)::INT AS y_max,
+  CASE WHEN look.id IS NULL THEN '' ELSE 'warped_tags/' || split_part(video, '/', 2) || '-' || substr(md5(video), 1, 8) || '/warped_' || trunc(listed.n / 25.0::DOUBLE * 1000)::BIGINT || '_' || tag_ord || '.png' END AS warped_image,
+  CASE WHEN look.id IS NULL THEN '' ELSE p_brand || ' ' || (k % 900 + 100) END AS raw_text, {_EMPTY},
+  CASE WHEN look.id IS NULL THEN '' ELSE k::VARCHAR END AS qr_code_barcode, CASE WHEN look.id IS NULL THEN '' ELSE k || ',5' END AS price1_qr, tag_ord
+FROM listed JOIN tag ON tag.id = k JOIN part ON p_partkey = k LEFT JOIN look ON look.id = k""",
 }

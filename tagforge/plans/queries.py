@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tagforge.functions import geometry, pixels, text
-from tagforge.operators import evaluate, fields, images, ocr, pipeline, records, tracks
+from tagforge.operators import crops, evaluate, fields, images, ocr, pipeline, records, tracks
 from tagforge.sources.tables import read_parquet
 
 FPS = 29.97
@@ -231,3 +231,53 @@ def q25(spark: SparkSession, d: str) -> DataFrame:
     key = F.col("p_partkey")
     labels = read_parquet(spark, d, "part").select(F.concat(F.lit(" "), (key % 300 + 100).cast("string"), F.lit(",99")).alias("price_card"), F.concat(F.lit("-"), (key % 20).cast("string"), F.lit("%")).alias("discount_amount"), F.lit("").alias("code"))
     return evaluate.matched(q21(spark, d), labels, {"price_discount": "price_card", "discount_amount": "discount_amount", "price_card": "code"})
+
+
+def picture(n: F.Column, h: int = 24, w: int = 32) -> F.Column:
+    """Bytes of the h x w frame number n: gradients, with a red lower half in every third and yellow on the left in the next."""
+    def level(i: F.Column) -> F.Column:
+        y, x, c = F.floor(i / (3 * w)), F.floor(i % (3 * w) / 3), i % 3
+        plain = F.when(c == 0, n * 7 + y * 13 + x * 29).when(c == 1, n * 3 + y * y + x).otherwise(n + x * x * 5 + y * 3) % 256
+        red = F.when(c == 2, 200 + (x + y) % 50).otherwise((x * y + n) % 40)
+        yellow = F.when(c == 0, 20 + y % 9).when(c == 1, 190 + (x + n) % 9).otherwise(225)
+        return F.when((n % 3 == 0) & (y >= h // 2), red).when((n % 3 == 1) & (x < w // 2), yellow).otherwise(plain)
+
+    return crops.bytes_of(F.transform(F.sequence(F.lit(0), F.lit(3 * h * w - 1)), level))
+
+
+def pictures(numbers: DataFrame) -> DataFrame:
+    """numbers: video, frame_idx -> also h, w, data."""
+    return numbers.select("video", "frame_idx", F.lit(24).alias("h"), F.lit(32).alias("w"), picture(F.col("frame_idx")).alias("data"))
+
+
+def tag_corners(k: F.Column) -> list[F.Column]:
+    """Left, top, right and bottom of the box of tag k at quarters of a pixel; some leave the frame, some are too small."""
+    left, top = 2 + k % 8 / 4, 1 + k % 12 / 4
+    return [left, top, left + 12 + k % 15, top + 8 + k % 12]
+
+
+def q26(spark: SparkSession, d: str) -> DataFrame:
+    """Crops of one tag in the picture of every part, from tiles of 16 x 16 pixels: sums of their levels, color and turn."""
+    p = read_parquet(spark, d, "part").select(F.lit("v").alias("video"), F.col("p_partkey").alias("frame_idx"))
+    tags = p.select("video", "frame_idx", F.col("frame_idx").alias("tag"), geometry.corners(*tag_corners(F.col("frame_idx"))).alias("corners"))
+    cut = crops.crops(crops.tiles(pictures(p), 16), tags, 16)
+    levels = F.expr("transform(sequence(1, length(data)), i -> cast(conv(hex(substring(data, i, 1)), 16, 10) as int))")
+    cut = cut.withColumn("levels", levels)
+    channel = lambda c: F.expr(f"aggregate(filter(levels, (x, i) -> i % 3 = {c}), 0L, (a, x) -> a + x)")
+    checked = F.expr("aggregate(transform(levels, (x, i) -> cast(x * (i % 97 + 1) as bigint)), 0L, (a, x) -> a + x)")
+    return cut.select(F.col("tag").alias("p_partkey"), "h", "w", channel(0).alias("blue"), channel(1).alias("green"), channel(2).alias("red"), checked.alias("checked"), "color", "quarters")
+
+
+def q27(spark: SparkSession, d: str) -> DataFrame:
+    """Records of two videos with equal timestamps from boxes, frames, tiles, codes and text; every eleventh frame is missing."""
+    k = F.col("p_partkey")
+    video = F.concat(F.lit("in/v"), (k % 2).cast("string"), F.lit(".avi")).alias("video")
+    p = read_parquet(spark, d, "part")
+    seen = p.select(video, k.alias("track_id"), k.alias("k"), F.explode(F.sequence(F.lit(0), F.lit(1))).alias("n"))
+    left, top, right, bottom = tag_corners(F.col("k"))
+    boxes = seen.select("video", "track_id", (F.floor(F.col("k") / 4) + F.col("n")).alias("frame_idx"), (F.col("k") * 2 + F.col("n")).alias("box_idx"), F.lit(0.9).alias("conf"), (50.0 + F.when(F.col("n") == 0, F.col("k") % 7).otherwise(F.col("k") * 3 % 7)).alias("sharpness"), left.alias("x1"), top.alias("y1"), right.alias("x2"), bottom.alias("y2"))
+    frames = pictures(boxes.select("video", "frame_idx").distinct().where("frame_idx % 11 <> 0"))
+    videos = p.select(video, F.lit(25.0).alias("fps")).distinct()
+    line = lambda t, x: F.struct(geometry.corners(F.lit(x - 1.0), F.lit(0.0), F.lit(x + 1.0), F.lit(2.0)).alias("bbox"), t.alias("text"))
+    found = p.select(video, k.alias("track_id"), F.concat(F.lit("p1="), k.cast("string"), F.lit(".5;barcode="), k.cast("string")).alias("qr_data"), F.lit(None).cast("array<array<double>>").alias("qr_bbox"), F.array(line(F.col("p_brand"), 1.0), line((k % 900 + 100).cast("string"), 30.0)).alias("ocr_text"))
+    return pipeline.price_tags(boxes, frames, videos, found, tiles=crops.tiles(frames, 16), side=16)

@@ -8,11 +8,14 @@ from pyspark.sql import types as T
 
 from tagforge.functions import text
 from tagforge.operators.records import COLUMNS, LABELS, SHOWN, display
+from tagforge.sources.stage import ship_code
 
 DETECTIONS = "video string, frame_idx long, box_idx int, track_id long, conf double, x1 float, y1 float, x2 float, y2 float, sharpness double"
 NUMBERS = {"frame_timestamp": T.LongType(), "x_min": T.IntegerType(), "y_min": T.IntegerType(), "x_max": T.IntegerType(), "y_max": T.IntegerType()}
 #: A fixed value: how the labels mark what is missing.
 NONE = "нет"
+#: A fixed value: how the labels spell one of their columns.
+MISSPELT = "wholesale_level_1_coun"
 
 
 def read_parquet(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -40,7 +43,7 @@ def read_labels(spark: SparkSession, path: str) -> DataFrame:
     """Hand-made labels: NONE is null, text is trimmed, decimal commas and points both read, the misspelt count column renamed."""
     raw = spark.read.csv(path, header=True, escape='"', multiLine=True)
     clean = lambda c: F.nullif(F.nullif(text.strip(F.col(f"`{c}`")), F.lit(NONE)), F.lit(""))
-    out = {"wholesale_level_1_coun": "wholesale_level_1_count"}
+    out = {MISSPELT: "wholesale_level_1_count"}
     number = lambda c: F.replace(clean(c), F.lit(","), F.lit("."))
     kinds = {c: "decimal(10,2)" for c in raw.columns if "price" in c} | {c: "double" for c in ("x_min", "y_min", "x_max", "y_max")} | {"frame_timestamp": "long"}
     cols = [(number(c).try_cast(kinds[c]) if c in kinds else F.regexp_extract(clean(c), r"-?\d+", 0).try_cast("int") if c == "discount_amount" else clean(c)).alias(out.get(c, c)) for c in raw.columns]
@@ -52,6 +55,41 @@ def read_images(spark: SparkSession, path: str, pattern: str = "*.png") -> DataF
     return spark.read.format("binaryFile").option("pathGlobFilter", pattern).option("recursiveFileLookup", "true").load(path).select("path", "content")
 
 
+def write_images(files: DataFrame, folder: str) -> int:
+    """files: path below the folder, content -> that many files, written by the tasks that hold them; a task that runs again writes the same."""
+    spark = files.sparkSession
+    ship_code(spark)
+    uri = spark._jvm.org.apache.hadoop.fs.Path(folder).toUri()
+    if (uri.getScheme() or "file") == "file":
+        return files.select("path", "content").mapInArrow(_written(uri.getPath()), "n long").agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    from pyarrow import fs
+
+    system, base = fs.FileSystem.from_uri(folder)
+    return files.select("path", "content").mapInArrow(_written(base, system), "n long").agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+
+
+def _written(base: str, system=None):
+    def run(batches):
+        import posixpath
+
+        import pyarrow as pa
+        from pyarrow import fs
+
+        files, n = system or fs.LocalFileSystem(), 0
+        for batch in batches:
+            for path, content in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                target = posixpath.normpath(posixpath.join(base, path or ""))
+                if not target.startswith(base.rstrip("/") + "/"):
+                    raise ValueError(f"{path!r} lies outside of the folder")
+                files.create_dir(posixpath.dirname(target), recursive=True)
+                with files.open_output_stream(target) as out:
+                    out.write(content)
+                n += 1
+        yield pa.RecordBatch.from_pydict({"n": [n]})
+
+    return run
+
+
 def html_rows(rows: DataFrame) -> DataFrame:
     """One HTML table row for each record; values are escaped, a thumbnail column becomes an image."""
     pictured = "thumbnail" in rows.columns

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import math
 
 import duckdb
@@ -233,17 +234,21 @@ def test_pipeline_of_tags(spark, tmp_path):
     videos = spark.createDataFrame([("in/v.mp4", 0.0)], "video string, fps double")
     found = {r.frame_idx: r for r in pipeline.keyframes(boxes, frames, videos).collect()}
     assert {i: [t.track_id for t in r.price_tags] for i, r in found.items()} == {3: [2, 1], 6: [4, 5]} and found[3].timestamp_ms == 100 and found[6].pixels == "p6"
-    assert tuple(pipeline.counts(pipeline.keyframes(boxes, frames, videos)).first()) == (2, 4, 4)
+    kept = pipeline.keyframes(boxes, frames, videos)
+    assert tuple(pipeline.counts(kept).first()) == (2, 4, 4)
+    assert tuple(pipeline.counts(kept, pipeline.best_frames(boxes, videos)).first()) == (2, 4, 4, 1, 1)
+    assert tuple(pipeline.counts(kept.limit(0)).first()) == (0, 0, 0)
     line = "array(named_struct('bbox', array(array(2D, 2D), array(8D, 2D), array(8D, 6D), array(2D, 6D)), 'text', 'Tea'), named_struct('bbox', array(array(40D, 2D), array(44D, 2D), array(44D, 6D), array(40D, 6D)), 'text', '99.50'))"
     read = spark.range(1).select(F.lit("in/v.mp4").alias("video"), F.explode(F.array(F.lit(2), F.lit(4), F.lit(5))).alias("track_id"), F.lit("yellow").alias("color"), F.lit("p1=3;barcode=7").alias("qr_data"), F.expr("array(array(3D, 2D), array(5D, 4D))").alias("qr_bbox"), F.expr(line).alias("ocr_text"))
-    heard = []
+    heard, folder = [], f"warped_tags/v.mp4-{hashlib.md5(b'in/v.mp4').hexdigest()[:8]}"
     out = pipeline.in_order(pipeline.price_tags(boxes, frames, videos, read.withColumn("track_id", F.col("track_id").cast(boxes.schema["track_id"].dataType)), "aspect", progress=lambda *x: heard.append(x)))
     rows = out.collect()
     assert [(r.frame_timestamp, r.x_min, r.product_name, r.price_default, r.color, r.warped_image) for r in rows] == [
-        (100, 20, "Tea", "99,50", "yellow", "warped_tags/warped_100_0.png"), (100, 10, "", "", "unknown", "warped_tags/warped_100_1.png"),
-        (200, 40, "Tea", "99,50", "yellow", "warped_tags/warped_200_0.png"), (200, 50, "", "", "unknown", ""),
+        (100, 20, "Tea", "99,50", "yellow", f"{folder}/warped_100_0.png"), (100, 10, "", "", "unknown", f"{folder}/warped_100_1.png"),
+        (200, 40, "Tea", "99,50", "yellow", f"{folder}/warped_200_0.png"), (200, 50, "", "", "unknown", ""),
     ]
-    assert rows[0].price1_qr == "3" and [x for _, x in heard] == sorted(pipeline.STAGES.values())
+    shares = [x for _, x in heard]
+    assert rows[0].price1_qr == "3" and shares == sorted(shares) and {0.0, 0.3, 0.35, 0.5, 0.55, 0.9, 1.0} <= set(shares)
     tables.write_results(out, f"{tmp_path}/one", one_file=True)
     assert len(list((tmp_path / "one").glob("part-*"))) == 1
     assert [r.frame_timestamp for r in tables.read_results(spark, f"{tmp_path}/one").collect()] == [100, 100, 200, 200]
