@@ -1,9 +1,9 @@
 """Operators on detections: the best observation of each track, frames, sampling, progress.
 
 Best observations are one aggregation with a full tie key, combined before the shuffle, so a track
-with very many boxes costs no more than its partial results.  Sampling decides by the last kept
-frame, so a video's frames pass one task in order; they are sorted there, not gathered, and only the
-last kept one is held.
+with very many boxes costs no more than its partial results.  Sampling by a number is in `sampling`; sampling by
+images decides by the last kept image, so a video's frames pass one task in order; they are sorted there, not
+gathered, and only the last kept one is held.
 """
 
 from __future__ import annotations
@@ -19,6 +19,7 @@ from pyspark.sql.types import ArrayType, LongType, StructField, StructType
 
 from tagforge.functions.geometry import frame_ms
 from tagforge.functions.similarity import resized, windowed_similarity
+from tagforge.sources.stage import staged
 
 LEAST_CONF = 0.3
 
@@ -66,33 +67,13 @@ def _kept_lists(schema, step):
     return run
 
 
-def sample_frames(frames: DataFrame, gate: float, change: float, most: int) -> DataFrame:
-    """frames: video, frame_idx, sharpness, signal -> video, kept: ids of kept frames in order.
-
-    A frame is kept if it is sharp enough and its signal differs by more than `change` from the
-    last kept frame's; after `most` frames no more are.  Null numbers are never kept.
-    """
-    def step(last, kept, batch):
-        ids, signal = batch.column(1).to_numpy(), batch.column(2).to_numpy()
-        at = 0
-        while len(kept) < most and at < len(ids):
-            differs = np.ones(len(ids) - at, bool) if last is None else np.abs(signal[at:] - last) > change
-            if not differs.any():
-                break
-            at += int(differs.argmax())
-            kept.append(int(ids[at]))
-            last, at = signal[at], at + 1
-        return last
-
-    sharp = frames.where((F.col("sharpness") >= gate) & F.col("signal").isNotNull())
-    return _sampled(_in_video_order(sharp, F.col("signal").cast("double").alias("signal")), step)
-
-
 def sample_images(frames: DataFrame, gate: float = 100, most_similar: float = 0.95, most: int = 200) -> DataFrame:
     """frames: video, frame_idx, sharpness, rows, cols, grid (gray levels, row by row) -> video, kept.
 
-    As `sample_frames`, but a frame is kept unless its windowed similarity to the last kept frame,
-    resized if their sizes differ, exceeds `most_similar`.  Only the last kept frame is held.
+    As `sampling.sample_frames`, but a frame is kept unless its windowed similarity to the last kept frame,
+    resized if their sizes differ, exceeds `most_similar`.  Only the last kept frame is held.  A frame with a missing
+    level is never kept and never compared with.  Whether two frames are similar needs both of them, so a video's sharp
+    frames pass one task in order; videos are as many tasks as there are.
     """
     def step(last, kept, batch):
         for frame, rows, cols, grid in zip(*(c.to_pylist() for c in batch.columns[1:]), strict=True):
@@ -104,7 +85,7 @@ def sample_images(frames: DataFrame, gate: float = 100, most_similar: float = 0.
                 kept.append(frame)
         return last
 
-    sharp = frames.where((F.col("sharpness") >= gate) & (F.size("grid") == F.col("rows") * F.col("cols")) & (F.col("rows") > 0))
+    sharp = frames.where((F.col("sharpness") >= gate) & (F.size("grid") == F.col("rows") * F.col("cols")) & (F.col("rows") > 0) & F.forall("grid", lambda x: x.isNotNull() & ~F.isnan(x.cast("double"))))
     return _sampled(_in_video_order(sharp, F.col("rows").cast("int"), F.col("cols").cast("int"), F.col("grid").cast("array<double>")), step)
 
 
@@ -117,15 +98,19 @@ def _sampled(ordered: DataFrame, step) -> DataFrame:
 def monotone_progress(log: DataFrame, block: int = 1 << 16) -> DataFrame:
     """log: task_id, seq, fraction -> rows whose fraction is no less than all before it (and 0).
 
-    Maxima of blocks of `block` numbers run ahead of the rows of each block, so a task with very many
-    rows is as many groups as it has blocks.
+    Rows are sorted over all tasks and numbered in blocks of `block` rows, whatever their seq; maxima of a task's blocks
+    run ahead of the rows of each block, so a log with very many rows is as many groups as it has blocks.
     """
-    rows = log.withColumn("__block", F.floor(F.col("seq") / block))
+    order = ["task_id", "seq"]
+    rows = log.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("__at", F.monotonically_increasing_id())
+    # ids rise from row to row in a partition and from one partition to the next, so equal quotients are neighbours
+    rows = rows.withColumn("__block", F.floor(F.col("__at") / block))
+    rows = staged(rows, "progress-rows")
     most = rows.groupBy("task_id", "__block").agg(F.max("fraction").alias("most"))
     earlier = Window.partitionBy("task_id").orderBy("__block").rowsBetween(Window.unboundedPreceding, -1)
     most = most.select(F.col("task_id").alias("__task"), F.col("__block").alias("__b"), F.max("most").over(earlier).alias("__before"))
-    rows = rows.join(most, rows["task_id"].eqNullSafe(most["__task"]) & rows["__block"].eqNullSafe(most["__b"]))
-    inside = Window.partitionBy("task_id", "__block").orderBy("seq").rowsBetween(Window.unboundedPreceding, -1)
+    rows = rows.join(most, rows["task_id"].eqNullSafe(most["__task"]) & (rows["__block"] == most["__b"]))
+    inside = Window.partitionBy("task_id", "__block").orderBy("__at").rowsBetween(Window.unboundedPreceding, -1)
     rows = rows.withColumn("__most", F.greatest(F.lit(0.0), F.col("__before"), F.max("fraction").over(inside)))
     return rows.where(F.col("fraction") >= F.col("__most")).select(*log.columns)
 

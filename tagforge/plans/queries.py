@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tagforge.functions import geometry, pixels, text
-from tagforge.operators import crops, evaluate, fields, images, ocr, pipeline, records, tracks
+from tagforge.operators import crops, evaluate, fields, images, ocr, pipeline, records, sampling, tracks
 from tagforge.sources.tables import read_parquet
 
 FPS = 29.97
@@ -120,7 +120,7 @@ def q13(spark: SparkSession, d: str) -> DataFrame:
 
 def q14(spark: SparkSession, d: str) -> DataFrame:
     frames = read_parquet(spark, d, "events").select(F.col("user_id").alias("video"), F.col("event_id").alias("frame_idx"), F.col("value").alias("sharpness"), F.col("value").alias("signal"))
-    return tracks.sample_frames(frames, 20, 10, 5).select("video", F.array_join(F.transform("kept", lambda x: x.cast("string")), ",").alias("kept"))
+    return sampling.sample_frames(frames, 20, 10, 5).select("video", F.array_join(F.transform("kept", lambda x: x.cast("string")), ",").alias("kept"))
 
 
 def q15(spark: SparkSession, d: str) -> DataFrame:

@@ -10,7 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tagforge.functions import geometry, pixels, similarity, text
-from tagforge.operators import fields, images, ocr, pipeline, records, tracks
+from tagforge.operators import fields, images, ocr, pipeline, records, sampling, tracks
 from tagforge.plans import registry
 from tagforge.sources import tables
 from tagforge.streaming import detections
@@ -71,7 +71,7 @@ def test_tracks(spark):
     assert tracks.track_best(boxes.limit(0)).count() == 0
     assert one(spark, geometry.frame_ms(F.lit(61), F.lit(29.97))) == 2035 and one(spark, geometry.frame_ms(F.lit(3), F.lit(0.0))) == 120
     frames = spark.createDataFrame([(1, i, v, v) for i, v in enumerate([5.0, 30.0, 35.0, 45.0, 41.0, 100.0])] + [(1, 9, None, 3.0)], "video long, frame_idx long, sharpness double, signal double")
-    assert tracks.sample_frames(frames, 20, 10, 5).first().kept == [1, 3, 5] and tracks.sample_frames(frames, 20, 10, 2).first().kept == [1, 3]
+    assert sampling.sample_frames(frames, 20, 10, 5).first().kept == [1, 3, 5] and sampling.sample_frames(frames, 20, 10, 2).first().kept == [1, 3]
     log = spark.createDataFrame([("t", i, v) for i, v in enumerate([0.0, 0.3, 0.2, 0.3, 0.55])] + [("t", 9, None)], "task_id string, seq long, fraction double")
     assert [r.fraction for r in tracks.monotone_progress(log).orderBy("seq").collect()] == [0, 0.3, 0.3, 0.55]
 
@@ -211,6 +211,51 @@ def test_sample_images(spark):
     assert tracks.sample_images(df.limit(0)).count() == 0
 
 
+def plain_sample(rows, gate, change, most):
+    """rows: video, frame_idx, sharpness, signal."""
+    out = {}
+    for video in {r[0] for r in rows}:
+        last, kept = None, []
+        for _, i, sharp, x in sorted((r for r in rows if r[0] == video and None not in r[1:] and r[2] >= gate and not math.isnan(r[3])), key=lambda r: (r[1], r[3])):
+            if len(kept) < most and (last is None or abs(x - last) > change):
+                last = x
+                kept.append(i)
+        if kept:
+            out[video] = kept
+    return out
+
+
+@pytest.mark.parametrize("block", [1, 5, 64, 1 << 16])
+def test_sample_frames(spark, block):
+    """Walks, steps, constant stretches, rising and falling signals over many blocks and tasks a video; nulls, repeated numbers, null videos."""
+    import random
+
+    rng = random.Random(block)
+    rows, level = [], 0.0
+    for i in range(400):
+        level += rng.choice([0, 0, 1, -1, 4])
+        rows.append(("walk", i, rng.choice([50.0, 5.0]), level))
+    rows += [("flat", i, 30.0, 7.0 if i < 290 else 99.0) for i in range(300)] + [("up", i, 30.0, float(i)) for i in range(200)] + [("saw", i, 30.0, float(-i % 13)) for i in range(200)]
+    rows += [(None, i, 30.0, float(i % 5 * 6)) for i in range(40)] + [("nulls", None, 30.0, 1.0), ("nulls", 1, None, 1.0), ("nulls", 2, 30.0, None), ("nulls", 3, 30.0, float("nan")), ("dull", 1, 1.0, 1.0)]
+    rows += [("same", 4, 30.0, x) for x in (20.0, 0.0, 40.0)] + [("far", 10**12 * i, 30.0, 11.0 * i) for i in range(30)]
+    df = spark.createDataFrame(rows, "video string, frame_idx long, sharpness double, signal double").repartition(6)
+    for most in (1, 6, 200):
+        got = {r.video: r.kept for r in sampling.sample_frames(df, 20, 10, most, block).collect()}
+        assert got == plain_sample(rows, 20, 10, most)
+    assert sampling.sample_frames(df.limit(0), 20, 10, 5, block).count() == 0
+
+
+def test_sample_images_with_missing_levels(spark):
+    """A frame with a null level neither ends its video's sample nor becomes its last kept frame."""
+    grid = lambda n: [float((i * n) % 7 * 30) for i in range(64)]
+    rows = [("v", i, 200.0, 8, 8, grid(i + 1)) for i in range(6)]
+    rows[0] = (*rows[0][:5], [None, *rows[0][5][1:]])
+    rows[3] = (*rows[3][:5], [*rows[3][5][:-1], float("nan")])
+    df = spark.createDataFrame(rows, "video string, frame_idx long, sharpness double, rows int, cols int, grid array<double>")
+    kept = tracks.sample_images(df).first().kept
+    assert kept[0] == 1 and not {0, 3} & set(kept) and len(kept) >= 3
+
+
 def test_progress_blocks(spark):
     import random
 
@@ -224,6 +269,9 @@ def test_progress_blocks(spark):
     log = spark.createDataFrame(rows, "task_id string, seq long, fraction double")
     for block in (7, 1000):
         assert sorted(map(tuple, tracks.monotone_progress(log, block).collect()), key=lambda r: r[1]) == want
+    sparse = log.withColumn("seq", F.col("seq") * 1_000_000_000)
+    plan = tracks.monotone_progress(sparse, 100)
+    assert plan.count() == len(want) and sorted(r.seq // 1_000_000_000 for r in plan.collect()) == [s for _, s, _ in want]
 
 
 def test_pipeline_of_tags(spark, tmp_path):
