@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -233,21 +234,27 @@ def q25(spark: SparkSession, d: str) -> DataFrame:
     return evaluate.matched(q21(spark, d), labels, {"price_discount": "price_card", "discount_amount": "discount_amount", "price_card": "code"})
 
 
-def picture(n: F.Column, h: int = 24, w: int = 32) -> F.Column:
-    """Bytes of the h x w frame number n: gradients, with a red lower half in every third and yellow on the left in the next."""
-    def level(i: F.Column) -> F.Column:
-        y, x, c = F.floor(i / (3 * w)), F.floor(i % (3 * w) / 3), i % 3
-        plain = F.when(c == 0, n * 7 + y * 13 + x * 29).when(c == 1, n * 3 + y * y + x).otherwise(n + x * x * 5 + y * 3) % 256
-        red = F.when(c == 2, 200 + (x + y) % 50).otherwise((x * y + n) % 40)
-        yellow = F.when(c == 0, 20 + y % 9).when(c == 1, 190 + (x + n) % 9).otherwise(225)
-        return F.when((n % 3 == 0) & (y >= h // 2), red).when((n % 3 == 1) & (x < w // 2), yellow).otherwise(plain)
-
-    return crops.bytes_of(F.transform(F.sequence(F.lit(0), F.lit(3 * h * w - 1)), level))
+def picture(n: int, h: int = 24, w: int = 32) -> np.ndarray:
+    """The h x w frame number n: gradients, with a red lower half in every third and yellow on the left in the next."""
+    y, x = np.mgrid[:h, :w]
+    out = np.stack([n * 7 + y * 13 + x * 29, n * 3 + y * y + x, n + x * x * 5 + y * 3], axis=2) % 256
+    if n % 3 == 0:
+        out[h // 2 :] = np.stack([(x * y + n) % 40, (x * y + n) % 40, 200 + (x + y) % 50], axis=2)[h // 2 :]
+    if n % 3 == 1:
+        out[:, : w // 2] = np.stack([20 + y % 9, 190 + (x + n) % 9, np.full_like(x, 225)], axis=2)[:, : w // 2]
+    return out.astype(np.uint8)
 
 
 def pictures(numbers: DataFrame) -> DataFrame:
     """numbers: video, frame_idx -> also h, w, data."""
-    return numbers.select("video", "frame_idx", F.lit(24).alias("h"), F.lit(32).alias("w"), picture(F.col("frame_idx")).alias("data"))
+    rows = numbers.select("video", "frame_idx", F.lit(24).alias("h"), F.lit(32).alias("w"))
+    return crops.mapped(rows, "data binary", lambda row: [picture(row["frame_idx"]).tobytes()])
+
+
+def level_sums(row: dict) -> list[int]:
+    """Sums of a crop's blue, green and red, and of all levels weighted by their place."""
+    levels = np.frombuffer(row["data"], np.uint8).astype(int)
+    return [*(int(levels[c::3].sum()) for c in range(3)), int((levels * (np.arange(len(levels)) % 97 + 1)).sum())]
 
 
 def tag_corners(k: F.Column) -> list[F.Column]:
@@ -261,11 +268,8 @@ def q26(spark: SparkSession, d: str) -> DataFrame:
     p = read_parquet(spark, d, "part").select(F.lit("v").alias("video"), F.col("p_partkey").alias("frame_idx"))
     tags = p.select("video", "frame_idx", F.col("frame_idx").alias("tag"), geometry.corners(*tag_corners(F.col("frame_idx"))).alias("corners"))
     cut = crops.crops(crops.tiles(pictures(p), 16), tags, 16)
-    levels = F.expr("transform(sequence(1, length(data)), i -> cast(conv(hex(substring(data, i, 1)), 16, 10) as int))")
-    cut = cut.withColumn("levels", levels)
-    channel = lambda c: F.expr(f"aggregate(filter(levels, (x, i) -> i % 3 = {c}), 0L, (a, x) -> a + x)")
-    checked = F.expr("aggregate(transform(levels, (x, i) -> cast(x * (i % 97 + 1) as bigint)), 0L, (a, x) -> a + x)")
-    return cut.select(F.col("tag").alias("p_partkey"), "h", "w", channel(0).alias("blue"), channel(1).alias("green"), channel(2).alias("red"), checked.alias("checked"), "color", "quarters")
+    summed = crops.mapped(cut, "blue long, green long, red long, checked long", level_sums)
+    return summed.select(F.col("tag").alias("p_partkey"), "h", "w", "blue", "green", "red", "checked", "color", "quarters")
 
 
 def q27(spark: SparkSession, d: str) -> DataFrame:
