@@ -27,6 +27,8 @@ from tagforge.sources.stage import ship_code
 
 #: Rows and columns of a tile.
 SIDE = 256
+#: Bytes of tiles that are sent at once.
+BATCH_BYTES = 4 << 20
 #: Largest number of pixels of a crop that is sampled; a larger box is no tag of one frame.
 MOST_PIXELS = 1 << 26
 TILE = "video string, frame_idx long, side int, tile_y int, tile_x int, frame_h int, frame_w int, h int, w int, data binary"
@@ -35,16 +37,23 @@ TILE = "video string, frame_idx long, side int, tile_y int, tile_x int, frame_h
 def cut(side: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         schema = pa.schema([("video", pa.string()), ("frame_idx", pa.int64()), *((c, pa.int32()) for c in ("side", "tile_y", "tile_x", "frame_h", "frame_w", "h", "w")), ("data", pa.binary())])
+        held, size = [], 0
+        out = lambda: pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*held, strict=True), schema, strict=True)], schema=schema)
         for batch in batches:
             for video, frame, h, w, data in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 img = raster.image(data, h, w)
                 if img is None:
                     continue
                 for y in range(0, h, side):
-                    parts = [img[y : y + side, x : x + side] for x in range(0, w, side)]
-                    n = len(parts)
-                    columns = [[video] * n, [frame] * n, [side] * n, [y // side] * n, list(range(n)), [h] * n, [w] * n, [p.shape[0] for p in parts], [p.shape[1] for p in parts], [p.tobytes() for p in parts]]
-                    yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, schema, strict=True)], schema=schema)
+                    for x in range(0, w, side):
+                        part = img[y : y + side, x : x + side]
+                        held.append((video, frame, side, y // side, x // side, h, w, part.shape[0], part.shape[1], part.tobytes()))
+                        size += part.size
+                        if size > BATCH_BYTES:
+                            yield out()
+                            held, size = [], 0
+        if held:
+            yield out()
 
     return run
 
