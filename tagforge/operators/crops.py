@@ -162,17 +162,27 @@ def _replaced(rows: DataFrame, new: dict[str, str], columns: list[str]) -> DataF
     return rows.select(*(F.col(new.get(c, c)).alias(c) for c in columns))
 
 
-def thumbnails(images: DataFrame, most: int = 200) -> DataFrame:
-    """images: path, h, w, data -> path, h, w, content: PNG files with no side longer than most, the shape kept; null without pixels."""
+def shrunk(images: DataFrame, most: int = 200) -> DataFrame:
+    """images: h, w, data and more -> with no side longer than most, the shape kept; null without pixels."""
     def shrink(row: dict) -> list:
         img = raster.image(row["data"], row["h"], row["w"])
         if img is None:
             return [None, None, None]
         out = raster.thumbnail(img, most)
-        return [out.shape[0], out.shape[1], raster.png(out)]
+        return [out.shape[0], out.shape[1], out.tobytes()]
+
+    return _replaced(mapped(images, "__h int, __w int, __data binary", shrink), {"h": "__h", "w": "__w", "data": "__data"}, images.columns)
 
-    rows = images.select("path", F.col("h").cast("int").alias("h"), F.col("w").cast("int").alias("w"), "data")
-    return mapped(rows, "__h int, __w int, content binary", shrink).select("path", F.col("__h").alias("h"), F.col("__w").alias("w"), "content")
+
+def thumbnails(images: DataFrame, most: int = 200) -> DataFrame:
+    """images: path, h, w, data -> path, h, w, content: PNG files with no side longer than most; null without pixels."""
+    rows = shrunk(images.select("path", F.col("h").cast("int").alias("h"), F.col("w").cast("int").alias("w"), "data"), most)
+    return mapped(rows, "content binary", _png).select("path", "h", "w", "content")
+
+
+def _png(row: dict) -> list:
+    img = raster.image(row["data"], row["h"], row["w"])
+    return [None if img is None else raster.png(img)]
 
 
 def debug_frames(frames: DataFrame) -> DataFrame:
@@ -200,11 +210,7 @@ def debug_codes(images: DataFrame) -> DataFrame:
 
 def as_png(images: DataFrame) -> DataFrame:
     """images: path, h, w, data -> path, content; images without pixels are left out."""
-    def encode(row: dict) -> list:
-        img = raster.image(row["data"], row["h"], row["w"])
-        return [None if img is None else raster.png(img)]
-
-    return mapped(images.select("path", F.col("h").cast("int").alias("h"), F.col("w").cast("int").alias("w"), "data"), "content binary", encode).where("content is not null").select("path", "content")
+    return mapped(images.select("path", F.col("h").cast("int").alias("h"), F.col("w").cast("int").alias("w"), "data"), "content binary", _png).where("content is not null").select("path", "content")
 
 
 def sharpness(frames: DataFrame, boxes: DataFrame) -> DataFrame:

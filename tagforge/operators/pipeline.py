@@ -25,6 +25,8 @@ ORIENTATIONS = ("color", "aspect")
 # What is told at each stage, and the share of the work that is done then.
 STAGES = {"track": 0.0, "frames": 0.3, "crop": 0.35, "orient": 0.5, "read": 0.55, "done": 1.0}
 READ_SHARE = 0.35
+#: What records are listed by.
+ORDER = ("filename", "frame_timestamp", "tag_ord")
 
 
 def best_frames(boxes: DataFrame, videos: DataFrame) -> DataFrame:
@@ -82,7 +84,7 @@ def oriented(tags: DataFrame, mode: str, turns: DataFrame | None = None, image:
 
 def in_order(rows: DataFrame) -> DataFrame:
     """Records as they are listed: by video, best frame, then the order in which tracks were first seen."""
-    return rows.orderBy("filename", "frame_timestamp", "tag_ord").select(COLUMNS)
+    return rows.orderBy(*ORDER).select(COLUMNS)
 
 
 def counts(frames: DataFrame, wanted: DataFrame | None = None) -> DataFrame:

@@ -76,13 +76,18 @@ chosen AS (
 ended AS (SELECT *, {_KOPECKS.format("d0")} AS d1, CASE WHEN color = 'red' THEN {_KOPECKS.format("coalesce(nullif(tall, ''), moved)")} ELSE '' END AS r1 FROM chosen)"""
 
 
+def _level(c: int, y: str, x: str) -> str:
+    """Channel c of pixel (y, x) of the picture of frame n; 0 outside of it."""
+    red = f"200 + ({x} + {y}) % 50" if c == 2 else f"({x} * {y} + n) % 40"
+    yellow = (f"20 + {y} % 9", f"190 + ({x} + n) % 9", "225")[c]
+    plain = (f"n * 7 + {y} * 13 + {x} * 29", f"n * 3 + {y} * {y} + {x}", f"n + {x} * {x} * 5 + {y} * 3")[c]
+    return f"""(CASE WHEN {x} < 0 OR {y} < 0 OR {x} > 31 OR {y} > 23 THEN 0
+      WHEN n % 3 = 0 AND {y} >= 12 THEN {red} WHEN n % 3 = 1 AND {x} < 16 THEN {yellow} ELSE ({plain}) % 256 END)::DOUBLE"""
+
+
 def _crop(tags: str) -> str:
     """CTEs from tags (id, n: the frame's number, x1, y1, x2, y2) to crop (id, h, w, y, x, b, g, r) and look (id, color, quarters)."""
-    level = lambda c, y, x: f"""(CASE WHEN {x} < 0 OR {y} < 0 OR {x} > 31 OR {y} > 23 THEN 0
-      WHEN n % 3 = 0 AND {y} >= 12 THEN {f"200 + ({x} + {y}) % 50" if c == 2 else f"({x} * {y} + n) % 40"}
-      WHEN n % 3 = 1 AND {x} < 16 THEN {(f"20 + {y} % 9", f"190 + ({x} + n) % 9", "225")[c]}
-      ELSE ({(f"n * 7 + {y} * 13 + {x} * 29", f"n * 3 + {y} * {y} + {x}", f"n + {x} * {x} * 5 + {y} * 3")[c]}) % 256 END)::DOUBLE"""
-    between = lambda c: f"floor(({level(c, 'y0', 'x0')} * (1 - fx) + {level(c, 'y0', '(x0 + 1)')} * fx) * (1 - fy) + ({level(c, '(y0 + 1)', 'x0')} * (1 - fx) + {level(c, '(y0 + 1)', '(x0 + 1)')} * fx) * fy + 0.5)::INT"
+    between = lambda c: f"floor(({_level(c, 'y0', 'x0')} * (1 - fx) + {_level(c, 'y0', '(x0 + 1)')} * fx) * (1 - fy) + ({_level(c, '(y0 + 1)', 'x0')} * (1 - fx) + {_level(c, '(y0 + 1)', '(x0 + 1)')} * fx) * fy + 0.5)::INT"
     half = lambda row, high: f"avg(colored) FILTER (WHERE {row} >= {high} // 2) - avg(colored) FILTER (WHERE {row} < {high} // 2)"
     return f"""
 tag AS (SELECT *, trunc(x2 - x1)::INT AS w, trunc(y2 - y1)::INT AS h FROM ({tags})),
@@ -214,4 +219,10 @@ SELECT split_part(video, '/', 2) AS filename, CASE WHEN look.id IS NULL THEN ''
   CASE WHEN look.id IS NULL THEN '' ELSE p_brand || ' ' || (k % 900 + 100) END AS raw_text, {_EMPTY},
   CASE WHEN look.id IS NULL THEN '' ELSE k::VARCHAR END AS qr_code_barcode, CASE WHEN look.id IS NULL THEN '' ELSE k || ',5' END AS price1_qr, tag_ord
 FROM listed JOIN tag ON tag.id = k JOIN part ON p_partkey = k LEFT JOIN look ON look.id = k""",
+    "q28_numbered": "SELECT o_orderkey, row_number() OVER (ORDER BY o_orderdate DESC, o_orderkey) - 1 AS place FROM orders",
+    "q29_shrunk": f"""
+WITH cell AS (SELECT n, y // 2 AS ty, x // 2 AS tx, {_level(0, 'y', 'x')} AS b, {_level(1, 'y', 'x')} AS g, {_level(2, 'y', 'x')} AS r FROM (SELECT p_partkey AS n, y, unnest(range(32)) AS x FROM (SELECT p_partkey, unnest(range(24)) AS y FROM part))),
+small AS (SELECT n, ty, tx, floor(avg(b) + 0.5)::BIGINT AS b, floor(avg(g) + 0.5)::BIGINT AS g, floor(avg(r) + 0.5)::BIGINT AS r FROM cell GROUP BY n, ty, tx)
+SELECT n AS p_partkey, 12::INT AS h, 16::INT AS w, sum(b)::BIGINT AS blue, sum(g)::BIGINT AS green, sum(r)::BIGINT AS red,
+  sum(b * ((ty * 16 + tx) * 3 % 97 + 1) + g * (((ty * 16 + tx) * 3 + 1) % 97 + 1) + r * (((ty * 16 + tx) * 3 + 2) % 97 + 1))::BIGINT AS checked FROM small GROUP BY n""",
 }

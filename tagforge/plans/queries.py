@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tagforge.functions import geometry, pixels, text
-from tagforge.operators import crops, evaluate, fields, images, ocr, pipeline, records, sampling, tracks
+from tagforge.operators import crops, evaluate, fields, images, ocr, ordered, pipeline, records, sampling, tracks
 from tagforge.sources.tables import read_parquet
 
 FPS = 29.97
@@ -285,3 +285,16 @@ def q27(spark: SparkSession, d: str) -> DataFrame:
     line = lambda t, x: F.struct(geometry.corners(F.lit(x - 1.0), F.lit(0.0), F.lit(x + 1.0), F.lit(2.0)).alias("bbox"), t.alias("text"))
     found = p.select(video, k.alias("track_id"), F.concat(F.lit("p1="), k.cast("string"), F.lit(".5;barcode="), k.cast("string")).alias("qr_data"), F.lit(None).cast("array<array<double>>").alias("qr_bbox"), F.array(line(F.col("p_brand"), 1.0), line((k % 900 + 100).cast("string"), 30.0)).alias("ocr_text"))
     return pipeline.price_tags(boxes, frames, videos, found, tiles=crops.tiles(frames, 16), side=16)
+
+
+def q28(spark: SparkSession, d: str) -> DataFrame:
+    """All orders numbered by date, latest first, over many tasks."""
+    rows = read_parquet(spark, d, "orders").select("o_orderkey", "o_orderdate", "o_totalprice")
+    return ordered.numbered(rows, [F.desc("o_orderdate"), F.col("o_orderkey")]).select("o_orderkey", "place")
+
+
+def q29(spark: SparkSession, d: str) -> DataFrame:
+    """The picture of every part, no side longer than 16: sums of its levels."""
+    p = read_parquet(spark, d, "part").select(F.lit("v").alias("video"), F.col("p_partkey").alias("frame_idx"))
+    small = crops.shrunk(pictures(p), 16)
+    return crops.mapped(small, "blue long, green long, red long, checked long", level_sums).select(F.col("frame_idx").alias("p_partkey"), "h", "w", "blue", "green", "red", "checked")

@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tagforge.functions import text
 from tagforge.operators.records import COLUMNS, LABELS, SHOWN, display
-from tagforge.sources.stage import ship_code
+from tagforge.sources.stage import ship_code, staged
 
 DETECTIONS = "video string, frame_idx long, box_idx int, track_id long, conf double, x1 float, y1 float, x2 float, y2 float, sharpness double"
 NUMBERS = {"frame_timestamp": T.LongType(), "x_min": T.IntegerType(), "y_min": T.IntegerType(), "x_max": T.IntegerType(), "y_max": T.IntegerType()}
@@ -28,9 +30,16 @@ def read_detections(spark: SparkSession, path: str) -> DataFrame:
 
 def read_results(spark: SparkSession, path: str) -> DataFrame:
     """The result CSV with its own types; a missing value is '' again, never null, in text columns."""
+    return _texts(_result_rows(spark, path))
+
+
+def _result_rows(spark: SparkSession, path: str) -> DataFrame:
     schema = T.StructType([T.StructField(c, NUMBERS.get(c, T.StringType())) for c in COLUMNS])
-    rows = spark.read.csv(path, header=True, schema=schema, escape='"', multiLine=True, ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False)
-    return rows.select(*(F.col(c) if c in NUMBERS else text.text_of(F.col(c)).alias(c) for c in COLUMNS))
+    return spark.read.csv(path, header=True, schema=schema, escape='"', multiLine=True, ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False)
+
+
+def _texts(rows: DataFrame, *more) -> DataFrame:
+    return rows.select(*(F.col(c) if c in NUMBERS else text.text_of(F.col(c)).alias(c) for c in COLUMNS), *more)
 
 
 def write_results(rows: DataFrame, path: str, one_file: bool = False) -> None:
@@ -39,6 +48,53 @@ def write_results(rows: DataFrame, path: str, one_file: bool = False) -> None:
     (rows.coalesce(1) if one_file else rows).write.mode("overwrite").csv(path, header=True, escape='"', emptyValue="", nullValue="", ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False)
 
 
+MANIFEST = "_manifest.json"
+
+
+def write_ordered(rows: DataFrame, order: list[str], path: str, parts: int | None = None) -> list[dict]:
+    """Results as many CSV files whose rows follow each other: the files and their numbers of rows, in order, are returned and written to MANIFEST.
+
+    rows have the result columns and those of order; Spark chooses the number of parts unless one is given.  Each file is one range of the order, so no task sorts or writes them all.
+    """
+    spark = rows.sparkSession
+    ranged = rows.repartitionByRange(*([parts] if parts else []), *order).sortWithinPartitions(*order)
+    write_results(ranged, path)
+    # a part's name begins with the number of its range
+    files = spark.read.text(path, pathGlobFilter="part-*").select(F.col("_metadata.file_name").alias("file")).distinct().collect()  # a row a file
+    counted = {r.file: r.n for r in _result_rows(spark, path).select(F.col("_metadata.file_name").alias("file")).groupBy("file").agg(F.count("*").alias("n")).collect()}
+    made = [{"file": f, "rows": counted.get(f, 0)} for f in sorted(r.file for r in files)]
+    target = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/{MANIFEST}")
+    out = target.getFileSystem(spark._jsc.hadoopConfiguration()).create(target, True)
+    try:
+        out.write(json.dumps(made).encode())
+    finally:
+        out.close()
+    return made
+
+
+def read_ordered(spark: SparkSession, path: str) -> DataFrame:
+    """Results written by `write_ordered` with place, the number of each row in their order; raises if the files aren't those of the manifest."""
+    source = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/{MANIFEST}")
+    stream = source.getFileSystem(spark._jsc.hadoopConfiguration()).open(source)
+    try:
+        parts = json.loads(spark._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8"))
+    finally:
+        stream.close()
+    rows = _result_rows(spark, path).withColumns({"__file": F.col("_metadata.file_name"), "__at": F.monotonically_increasing_id()})
+    rows = staged(rows, "ordered")
+    found = {r["__file"]: (r.n, r.first) for r in rows.groupBy("__file").agg(F.count("*").alias("n"), F.min("__at").alias("first")).collect()}
+    if {f: n for f, (n, _) in found.items()} != {p["file"]: p["rows"] for p in parts if p["rows"]}:
+        raise ValueError(f"the files in {path} aren't those of its manifest")
+    begin, starts = 0, []
+    for p in parts:
+        if p["rows"]:
+            starts.append((p["file"], begin - found[p["file"]][1]))
+            begin += p["rows"]
+    shift = spark.createDataFrame(starts, "__f string, __shift long")
+    # a file is read by one task from its start to its end
+    return _texts(rows.join(F.broadcast(shift), F.col("__file") == F.col("__f")), (F.col("__at") + F.col("__shift")).alias("place"))
+
+
 def read_labels(spark: SparkSession, path: str) -> DataFrame:
     """Hand-made labels: NONE is null, text is trimmed, decimal commas and points both read, the misspelt count column renamed."""
     raw = spark.read.csv(path, header=True, escape='"', multiLine=True)
