@@ -225,4 +225,18 @@ WITH cell AS (SELECT n, y // 2 AS ty, x // 2 AS tx, {_level(0, 'y', 'x')} AS b,
 small AS (SELECT n, ty, tx, floor(avg(b) + 0.5)::BIGINT AS b, floor(avg(g) + 0.5)::BIGINT AS g, floor(avg(r) + 0.5)::BIGINT AS r FROM cell GROUP BY n, ty, tx)
 SELECT n AS p_partkey, 12::INT AS h, 16::INT AS w, sum(b)::BIGINT AS blue, sum(g)::BIGINT AS green, sum(r)::BIGINT AS red,
   sum(b * ((ty * 16 + tx) * 3 % 97 + 1) + g * (((ty * 16 + tx) * 3 + 1) % 97 + 1) + r * (((ty * 16 + tx) * 3 + 2) % 97 + 1))::BIGINT AS checked FROM small GROUP BY n""",
+    "q30_average_precision": """
+WITH truths AS (SELECT 'l' || p_partkey % 3 AS label, count(*) AS n_truths FROM part GROUP BY label),
+pred AS (
+  SELECT DISTINCT l_partkey AS t, 'l' || l_partkey % 3 AS label, ((l_orderkey * 8 + l_linenumber) * 64 + l_quantity)::BIGINT * 1000000 + l_partkey AS id,
+    (l_orderkey * 7 + l_partkey) % 101 / 101.0::DOUBLE AS conf, l_quantity % 12 AS off FROM lineitem WHERE l_linenumber < 3),
+ranked AS (SELECT *, (20 - off) * 20 / (800 - (20 - off) * 20) AS overlap, row_number() OVER (PARTITION BY label ORDER BY conf DESC, id) AS place, count(*) OVER (PARTITION BY label) AS n_predictions FROM pred),
+levelled AS (SELECT *, unnest([0.5::DOUBLE, 0.75::DOUBLE]) AS level FROM ranked),
+-- boxes of other parts are too far away, so a part's most confident box that is near enough takes it
+hit AS (SELECT * FROM levelled WHERE overlap >= level QUALIFY row_number() OVER (PARTITION BY level, t ORDER BY conf DESC, id) = 1),
+counted AS (SELECT *, row_number() OVER (PARTITION BY level, label ORDER BY place) AS k FROM hit),
+point AS (SELECT level, label, k * 100 // n_truths AS reach, k / place AS precision FROM counted JOIN truths USING (label)),
+areas AS (SELECT level, label, sum(best) / 101 AS area FROM (SELECT level, label, g, coalesce(max(precision) FILTER (WHERE reach >= g), 0) AS best FROM point, range(101) AS v(g) GROUP BY level, label, g) GROUP BY level, label)
+SELECT label, level, n_truths, n_predictions, count(*) AS n_matched, round(count(*) / n_predictions, 9) AS precision, round(count(*) / n_truths, 9) AS recall, round(any_value(area), 9) AS average_precision
+FROM hit JOIN truths USING (label) JOIN areas USING (level, label) GROUP BY label, level, n_truths, n_predictions""",
 }

@@ -3,11 +3,11 @@
 from __future__ import annotations
 
 import numpy as np
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tagforge.functions import geometry, pixels, text
-from tagforge.operators import crops, evaluate, fields, images, ocr, ordered, pipeline, records, sampling, tracks
+from tagforge.operators import crops, detection_metrics, evaluate, fields, images, ocr, ordered, pipeline, records, sampling, tracks
 from tagforge.sources.tables import read_parquet
 
 FPS = 29.97
@@ -298,3 +298,18 @@ def q29(spark: SparkSession, d: str) -> DataFrame:
     p = read_parquet(spark, d, "part").select(F.lit("v").alias("video"), F.col("p_partkey").alias("frame_idx"))
     small = crops.shrunk(pictures(p), 16)
     return crops.mapped(small, "blue long, green long, red long, checked long", level_sums).select(F.col("frame_idx").alias("p_partkey"), "h", "w", "blue", "green", "red", "checked")
+
+
+def q30(spark: SparkSession, d: str) -> DataFrame:
+    """Average precision of boxes made from lineitem against those of its parts: several predictions for a truth, false ones, three labels."""
+    k = F.col("p_partkey")
+    truths = read_parquet(spark, d, "part").select((k % 50).alias("image"), F.concat(F.lit("l"), (k % 3).cast("string")).alias("label"), k.alias("id"), *(x.cast("double").alias(c) for c, x in zip(detection_metrics.SIDES, (k * 40, k % 7 * 10, k * 40 + 20, k % 7 * 10 + 20), strict=True)))
+    n = F.row_number().over(Window.partitionBy("l_partkey", "l_orderkey", "l_linenumber", "l_quantity").orderBy("l_extendedprice", "l_suppkey", "l_discount", "l_tax", "l_shipdate"))
+    line = read_parquet(spark, d, "lineitem").withColumn("n", n).where("n = 1 and l_linenumber < 3")
+    p, off = F.col("l_partkey"), F.col("l_quantity") % 12
+    id_ = ((F.col("l_orderkey") * 8 + F.col("l_linenumber")) * 64 + F.col("l_quantity")).cast("long") * 1_000_000 + p
+    conf = (F.col("l_orderkey") * 7 + p) % 101 / 101
+    sides = (p * 40 + off, p % 7 * 10, p * 40 + off + 20, p % 7 * 10 + 20)
+    predictions = line.select((p % 50).alias("image"), F.concat(F.lit("l"), (p % 3).cast("string")).alias("label"), id_.alias("id"), conf.alias("conf"), *(x.cast("double").alias(c) for c, x in zip(detection_metrics.SIDES, sides, strict=True)))
+    out = detection_metrics.average_precision(predictions, truths, (0.5, 0.75))
+    return out.select("label", "level", "n_truths", "n_predictions", "n_matched", *(F.round(c, 9).alias(c) for c in ("precision", "recall", "average_precision")))

@@ -8,6 +8,6 @@ QUERIES = {
     "q11_tag_color": queries.q11, "q12_orientation": queries.q12, "q13_sharpness": queries.q13, "q14_frame_sampler": queries.q14, "q15_similarity": queries.q15,
     "q16_progress": queries.q16, "q17_record": queries.q17, "q18_display": queries.q18, "q19_thumbnails": queries.q19,
     "q20_keyframes": queries.q20, "q21_fields": queries.q21, "q22_labelled": queries.q22, "q23_names": queries.q23, "q24_ocr_lines": queries.q24,
-    "q25_evaluation": queries.q25, "q26_crops": queries.q26, "q27_price_tags": queries.q27, "q28_numbered": queries.q28, "q29_shrunk": queries.q29,
+    "q25_evaluation": queries.q25, "q26_crops": queries.q26, "q27_price_tags": queries.q27, "q28_numbered": queries.q28, "q29_shrunk": queries.q29, "q30_average_precision": queries.q30,
 }
 ORACLE_SQL = oracle.SQL
