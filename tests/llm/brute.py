@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 import hashlib
+import math
 import re
-from collections import defaultdict
+from collections import Counter, defaultdict
 
 SPACE = "\x20\x09\x0a\x0b\x0c\x0d"
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -81,3 +82,39 @@ def lines(rows):
         kept = [x for x in own if not (len(key(x)) >= 10 and len(seen[key(x)]) > 1 and min(seen[key(x)]) != doc)]
         out.append((doc, len(own), len(own) - len(kept), sha("\n".join(kept))))
     return out
+
+
+def mix(rows, weights=(3, 1, 2), share=1.5, most=2):
+    """rows: (doc_id, text, source) -> how often each row is taken, by Pareto order sampling after whole copies."""
+    sizes = [len(words(t)) for _, t, _ in rows]
+    sources = sorted({s for *_, s in rows}, key=lambda s: (s is None, s or ""))
+    of = {s: [i for i, r in enumerate(rows) if r[2] == s] for s in sources}
+    total = {s: sum(sizes[i] for i in of[s]) for s in sources}
+    weight = {s: weights[i % len(weights)] for i, s in enumerate(sources)}
+    target, left = {}, set(sources)
+    while left:
+        level = (share * sum(total.values()) - sum(target.values())) / sum(weight[s] for s in left)
+        full = {s for s in left if most * total[s] < weight[s] * level}
+        if not full:
+            target |= {s: weight[s] * level for s in left}
+            break
+        target |= {s: float(most * total[s]) for s in full}
+        left -= full
+    out = Counter()
+    for s in sources:
+        if not total[s]:
+            continue
+        sure = min(math.floor(target[s] / total[s]), most)
+        rest = max(target[s] - sure * total[s], 0.0)
+        part, order = rest / total[s], []
+        for i in of[s]:
+            d, t, _ = rows[i]
+            u = (int(hashlib.md5(":".join(x for x in (None if d is None else str(d), t) if x is not None).encode()).hexdigest()[:13], 16) + 0.5) / 2**52
+            out[rows[i]] += sure
+            if sizes[i] and rest > 0:
+                order.append((u / (1 - u) / (part / (1 - part) * math.sqrt(sizes[i] * len(of[s]) / total[s])), d, u, i))
+        ahead = 0
+        for *_, i in sorted(order):
+            out[rows[i]] += ahead + sizes[i] / 2 <= rest
+            ahead += sizes[i]
+    return +out

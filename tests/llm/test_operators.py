@@ -7,6 +7,7 @@ import math
 import random
 import re
 import struct
+from collections import Counter
 
 import brute
 import numpy as np
@@ -339,12 +340,8 @@ def plain_toxicity(docs, labels):
     return [toxicity.choose(counts, total["t"], total["c"], z, least) for z, least in toxicity.CHOICES]
 
 
-def test_op5_against_plain(spark):
-    """Entry weights and every score equal those of plain Python over sf0.01."""
-    docs, labels = (spark.read.parquet(f"/root/testdata/sf0.01/{t}.parquet") for t in ("documents", "labels"))
-    texts = {r.doc_id: r.text for r in docs.collect()}
-    weights, phrases, curve = toxicity.fit(docs, labels)
-    assert any(w.keys() == weights.keys() and all(math.isclose(w[e], weights[e]) for e in w) for w in plain_toxicity(texts, [(r.doc_id, r.toxic) for r in labels.collect()]))
+def plain_scorer(weights, phrases, curve):
+    """A function that scores a text by plain searches."""
     entries = sorted(weights, key=len)
     excused = [toxicity.fold(p) for p in [*toxicity.EXCEPTIONS, *phrases]]
 
@@ -359,6 +356,16 @@ def test_op5_against_plain(spark):
         z = curve[0] + curve[1] * math.log1p(total) + curve[2] * math.log1p(100 * total / max(folded.count(" ") - 1, 1))
         return 1 / (1 + math.exp(-max(-30, min(30, z))))
 
+    return score
+
+
+def test_op5_against_plain(spark):
+    """Entry weights and every score equal those of plain Python over sf0.01."""
+    docs, labels = (spark.read.parquet(f"/root/testdata/sf0.01/{t}.parquet") for t in ("documents", "labels"))
+    texts = {r.doc_id: r.text for r in docs.collect()}
+    weights, phrases, curve = toxicity.fit(docs, labels)
+    assert any(w.keys() == weights.keys() and all(math.isclose(w[e], weights[e]) for e in w) for w in plain_toxicity(texts, [(r.doc_id, r.toxic) for r in labels.collect()]))
+    score = plain_scorer(weights, phrases, curve)
     got = {r.doc_id: r.toxicity for r in toxicity.scored(docs, labels, ["doc_id"]).collect()}
     some = sorted(texts)[::9]
     assert len(got) == len(texts) and all(math.isclose(got[d], score(texts[d]), rel_tol=1e-9) for d in some)
@@ -652,6 +659,12 @@ def test_pipeline(spark, docs, edges):
         after = held.collect()
         if name != "bpe":
             assert held.columns == docs.columns
+        if name == "toxicity":
+            score = plain_scorer(*toxicity.fit(before, spark.read.parquet(f"{SF}/labels.parquet")))
+            assert {r.doc_id for r in after} == {d for d, r in rows.items() if score(r.text) < 0.3} and 0 < len(after) < len(rows)
+        if name == "mix_sources":
+            want = brute.mix([(r.doc_id, r.text, r.source) for r in before.collect()])
+            assert Counter((r.doc_id, r.text, r.source) for r in after) == want and len(want) < len(rows) < want.total()
         if name == "line_dedup":
             want = {d: h for d, _, _, h in brute.lines([(r.doc_id, r.text) for r in rows.values()])}
             assert {r.doc_id: brute.sha(r.text) for r in after} == want
