@@ -80,10 +80,15 @@ def parse_code(payload: Column, separator: str = ";") -> Column:
 
 def decoded(raw: Column) -> Column:
     """Bytes as UTF-8 text without those that are no valid UTF-8; '' for null."""
-    # what replaces an invalid byte goes; the same character in valid bytes is put aside meanwhile
-    mark, kept = F.lit("\ufffd"), F.lit("\ue000\ufdd0\ue001")
-    valid = F.make_valid_utf8(F.replace(raw.cast("string"), mark, kept))
-    return text_of(F.replace(F.replace(valid, mark, F.lit("")), kept, mark))
+    # what replaces an invalid byte goes; the same character in valid bytes is written as `escape 1` meanwhile, the escape as `escape 0`
+    mark, escape = "\ufffd", "\ue000"
+    out = raw.cast("string")
+    for a, b in ((escape, f"{escape}0"), (mark, f"{escape}1")):
+        out = F.replace(out, F.lit(a), F.lit(b))
+    out = F.replace(F.make_valid_utf8(out), F.lit(mark), F.lit(""))
+    for a, b in ((f"{escape}1", mark), (f"{escape}0", escape)):
+        out = F.replace(out, F.lit(a), F.lit(b))
+    return text_of(out)
 
 
 def overlay(payload: Column) -> Column:

@@ -8,17 +8,20 @@ from pyspark.sql import functions as F
 from tagforge.functions import pixels
 
 
-def tag_color(points: DataFrame, image: str = "image_id") -> DataFrame:
+def tag_color(points: DataFrame, image: str = "image_id", images: DataFrame | None = None) -> DataFrame:
     """points: image, b, g, r -> image, n, red_share, yellow_share, color.
 
-    Red is asked before yellow; a share must exceed COLORED; an image without pixels has no row.
-    Counts are combined before the shuffle.
+    Red is asked before yellow; a share must exceed COLORED; of images, those without pixels are unknown, and without
+    that table they have no row.  Counts are combined before the shuffle.
     """
     p = pixels.hsv(F.col("b").cast("int"), F.col("g").cast("int"), F.col("r").cast("int"))
     seen = points.select(image, p.alias("p")).groupBy(image).agg(F.count("*").alias("n"), F.count_if(pixels.is_red(F.col("p"))).alias("red"), F.count_if(pixels.is_yellow(F.col("p"))).alias("yellow"))
     seen = seen.withColumns({"red_share": F.col("red") / F.col("n"), "yellow_share": F.col("yellow") / F.col("n")})
     color = F.when(F.col("red_share") > pixels.COLORED, "red").when(F.col("yellow_share") > pixels.COLORED, "yellow").otherwise("unknown")
-    return seen.select(image, "n", "red_share", "yellow_share", color.alias("color"))
+    out = seen.select(image, "n", "red_share", "yellow_share", color.alias("color"))
+    if images is None:
+        return out
+    return images.select(image).distinct().join(out, image, "left").fillna({"n": 0, "red_share": 0.0, "yellow_share": 0.0, "color": "unknown"})
 
 
 def best_turn(points: DataFrame, image: str = "image_id") -> DataFrame:

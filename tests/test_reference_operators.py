@@ -138,7 +138,7 @@ def test_strip_and_separators(spark):
     assert one(spark, text.parse_code(F.lit("p1=2|p2=3"), "|")).price2_qr == "3"
 
 
-@pytest.mark.parametrize("raw", [b"abc", b"a\xffb", b"\xd0\x96\xd0", b"\xef\xbf\xbd!\xf0\x9f\x98", b"", b"\xe2\x28\xa1", "жёлтый".encode("cp1251"), b"\xed\xa0\x80x"])
+@pytest.mark.parametrize("raw", [b"abc", b"a\xffb", b"\xd0\x96\xd0", b"\xef\xbf\xbd!\xf0\x9f\x98", b"", b"\xe2\x28\xa1", "жёлтый".encode("cp1251"), b"\xed\xa0\x80x", "\ue000\ufdd0\ue001".encode(), "\ue0001\ufffd\ue0000\ue000".encode() + b"\xee\x80"])
 def test_decoded(spark, raw):
     assert one(spark, text.decoded(F.lit(raw))) == raw.decode("utf-8", "ignore")
 
@@ -309,6 +309,12 @@ def test_pipeline_of_tags(spark, tmp_path):
             pipeline.oriented(tags, mode, given)
 
 
+def test_color_without_pixels(spark):
+    points = spark.createDataFrame([(1, 10, 10, 220)] * 3, "image_id long, b int, g int, r int")
+    every = spark.createDataFrame([(1,), (2,), (2,)], "image_id long")
+    assert {(r.image_id, r.n, r.color) for r in images.tag_color(points, images=every).collect()} == {(1, 3, "red"), (2, 0, "unknown")}
+
+
 def test_labelled_and_page(spark):
     out = registry.QUERIES["q17_record"](spark, SF).limit(2).withColumn("thumbnail", F.lit("data:image/png;base64,AA=="))
     shown = records.labelled(out.withColumn("color", F.lit("red")))
