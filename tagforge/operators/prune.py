@@ -14,9 +14,10 @@ def only_listed(rows: DataFrame, listed: DataFrame, keys: list[str], bits: int =
 
     The keys of listed are hashed into a table of fixed size (1 MB at most), which is a constant of the plan, so wide
     rows are judged where they are read.  Rows without all keys go, as they do in an inner join.  A key that isn't listed
-    passes only if it shares a bit with one that is; with a million listed keys about one in nine.
+    passes only if it shares a bit with one that is; with a million listed keys about one in nine.  Keys are whole numbers or texts.
     """
-    place = F.pmod(F.xxhash64(*keys), F.lit(bits)) + 1
+    # as text, so that an int and a long of one value are one key
+    place = F.pmod(F.xxhash64(*(F.col(k).cast("string") for k in keys)), F.lit(bits)) + 1
     marks = listed.select(place.alias("place")).groupBy(F.bitmap_bucket_number("place").alias("n")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("place")).alias("bitmap"))
     found = {r.n: bytes(r.bitmap) for r in marks.collect()}  # bits / BITMAP rows at most
     table = F.array(*(F.lit(found.get(n + 1, b"")) for n in range(bits // BITMAP)))

@@ -110,6 +110,8 @@ def test_only_listed(spark):
     left = prune.only_listed(rows.unionByName(spark.sql("SELECT null AS video, 3L AS frame_idx, 'x' AS data")), listed, ["video", "frame_idx"])
     assert left.join(listed, ["video", "frame_idx"]).count() == 400 and left.count() < 420 and left.where("video is null").count() == 0
     assert prune.only_listed(rows, listed.limit(0), ["video", "frame_idx"]).count() == 0
+    narrow = listed.withColumn("frame_idx", F.col("frame_idx").cast("int"))
+    assert prune.only_listed(rows, narrow, ["video", "frame_idx"]).join(narrow, ["video", "frame_idx"]).count() == 400
 
 
 def plain_inside(corners, y, x):
