@@ -2,9 +2,9 @@
 
 A frame's pixels are row-major bytes, blue-green-red.  Frames are cut into tiles first, in the task that
 reads them; a tag's box is an interval of rows and one of columns, so it meets the tiles that it touches
-by an equality join on (video, frame, tile row, tile column) and only these move.  A tag's tiles come
-together in one group, which is as large as the tag's box; there the crop is sampled, bilinear at sub-pixel
-places, through the homography that carries its corners to an upright rectangle.
+by an equality join on (video, frame, tile row, tile column) and only these move, between executors and never
+through the driver.  A tag's tiles come together, sorted by tag in one task, which holds those of one tag at a time; there the
+crop is sampled, bilinear at sub-pixel places, through the homography that carries its corners to an upright rectangle.
 
 Edge cases: a tag that is too small has a null crop and keeps its row, as does one whose frame or tiles are
 missing; points outside of the frame are black; corners on one line or not finite, or missing, give no crop; frames
@@ -87,30 +87,52 @@ CROP = "h int, w int, data binary, color string, quarters int, turn_score double
 
 
 def cropped(side: int, pixels_too: bool):
-    """One tag's tiles -> its key and crop."""
-
-    def run(table: pa.Table) -> pa.Table:
-        rows = table.to_pylist()
-        if any(r["side"] != side for r in rows):
-            raise ValueError(f"the tiles aren't squares of {side} pixels")
-        corners = np.array(rows[0]["corners"], float)
-        out = dict.fromkeys(("h", "w", "data", "color", "quarters", "turn_score"))
+    """Rows sorted by tag -> each tag's key and crop; one tag's tiles and a few megabytes of crops are held at a time."""
+
+    def crop(corners: list, tiles: list[tuple]) -> list:
+        """tiles: tile_y, tile_x, frame_h, frame_w, h, w, data."""
+        corners = np.array(corners, float)
         edge = lambda i, j: float(np.sqrt(((corners[i] - corners[j]) ** 2).sum()))
         w, h = int(max(edge(2, 3), edge(1, 0))), int(max(edge(1, 2), edge(0, 3)))
-        if w * h <= MOST_PIXELS:
-            top, left = min(r["tile_y"] for r in rows) * side, min(r["tile_x"] for r in rows) * side
-            high, wide = rows[0]["frame_h"], rows[0]["frame_w"]
-            below, right = (max(r[c] for r in rows) * side + side for c in ("tile_y", "tile_x"))
-            region = np.zeros((min(below, high) - top, min(right, wide) - left, 3), np.uint8)
-            for r in rows:
-                y, x = r["tile_y"] * side - top, r["tile_x"] * side - left
-                region[y : y + r["h"], x : x + r["w"]] = raster.image(r["data"], r["h"], r["w"])
-            img = raster.sampled(region, *raster.source_points(corners, w, h), left, top)
-            out = {"h": h, "w": w, "data": img.tobytes() if pixels_too else None, **measured(img)}
-        keys = table.select(["video", "frame_idx", "tag"]).slice(0, 1)
-        for c, kind in (("h", pa.int32()), ("w", pa.int32()), ("data", pa.binary()), ("color", pa.string()), ("quarters", pa.int32()), ("turn_score", pa.float64())):
-            keys = keys.append_column(c, pa.array([out[c]], kind))
-        return keys
+        if w * h > MOST_PIXELS:
+            return [None] * 6
+        top, left = min(t[0] for t in tiles) * side, min(t[1] for t in tiles) * side
+        high, wide = tiles[0][2:4]
+        below, right = (max(t[i] for t in tiles) * side + side for i in (0, 1))
+        region = np.zeros((min(below, high) - top, min(right, wide) - left, 3), np.uint8)
+        for tile_y, tile_x, _, _, own_h, own_w, data in tiles:
+            y, x = tile_y * side - top, tile_x * side - left
+            region[y : y + own_h, x : x + own_w] = raster.image(data, own_h, own_w)
+        img = raster.sampled(region, *raster.source_points(corners, w, h), left, top)
+        return [h, w, img.tobytes() if pixels_too else None, *measured(img).values()]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names = ("h", "w", "data", "color", "quarters", "turn_score")
+        kinds = [pa.string(), pa.int64(), None, pa.int32(), pa.int32(), pa.binary(), pa.string(), pa.int32(), pa.float64()]
+        key, corners, tiles, held, size = None, None, [], [], 0
+        out = lambda: pa.RecordBatch.from_arrays([pa.array(c, kind) for c, kind in zip(zip(*held, strict=True), kinds, strict=True)], names=["video", "frame_idx", "tag", *names])
+        same = lambda a, b: a is not None and all(x == y or (x != x and y != y) for x, y in zip(a, b, strict=True))
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            kinds[2] = batch.schema.field("tag").type
+            if any(x != side for x in batch.column("side").unique().to_pylist()):
+                raise ValueError(f"the tiles aren't squares of {side} pixels")
+            column = lambda c: batch.column(c).to_pylist()  # noqa: E731, B023
+            own = zip(*map(column, ("tile_y", "tile_x", "frame_h", "frame_w", "h", "w", "data")), strict=True)
+            for i, (new, tile) in enumerate(zip(zip(*map(column, ("video", "frame_idx", "tag")), strict=True), own, strict=True)):
+                if not same(key, new):
+                    if tiles:
+                        held.append((*key, *crop(corners, tiles)))
+                        size += len(held[-1][5] or b"") + 100
+                    if size > BATCH_BYTES:
+                        yield out()
+                        held, size = [], 0
+                    key, corners, tiles = new, batch.column("corners")[i].as_py(), []
+                tiles.append(tile)
+        if tiles:
+            held.append((*key, *crop(corners, tiles)))
+            yield out()
 
     return run
 
@@ -124,8 +146,11 @@ def crops(cut_frames: DataFrame, tags: DataFrame, side: int = SIDE, pixels_too:
     ship_code(tags.sparkSession)
     keys = ["video", "frame_idx", "tile_y", "tile_x"]
     kind = tags.schema["tag"].dataType.simpleString()
-    met = touched(tags.select(F.col("video").cast("string").alias("video"), F.col("frame_idx").cast("long").alias("frame_idx"), "tag", "corners"), side).join(cut_frames, keys)
-    return met.groupBy("video", "frame_idx", "tag").applyInArrow(cropped(side, pixels_too), f"video string, frame_idx long, tag {kind}, {CROP}")
+    wanted = touched(tags.select(F.col("video").cast("string").alias("video"), F.col("frame_idx").cast("long").alias("frame_idx"), "tag", "corners"), side)
+    # Spark can't tell how large tiles are, nor how many of them a tag touches: neither side may be taken for a small one and sent through the driver
+    met = wanted.join(cut_frames.hint("merge"), keys)
+    together = met.repartition("video", "frame_idx", "tag").sortWithinPartitions("video", "frame_idx", "tag")
+    return together.mapInArrow(cropped(side, pixels_too), f"video string, frame_idx long, tag {kind}, {CROP}")
 
 
 def mapped(images: DataFrame, made: str, step: Callable[[dict], list]) -> DataFrame:

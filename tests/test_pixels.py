@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from tagforge.functions import pixels, raster
 from tagforge.operators import crops, images, pipeline, progress, prune
+from tagforge.plans import queries
 from tagforge.sources import tables
 
 CORNERS = "video string, frame_idx long, tag int, corners array<array<double>>"
@@ -64,6 +65,30 @@ def test_crops(spark):
         assert not black[15:].any() and not black[:, 20:].any()
 
 
+def test_tiles_stay_off_the_driver(spark):
+    """Tiles look small to Spark before they are made: neither they nor tags nor what was read of tags may be broadcast."""
+    frames = spark.range(40).select(F.lit("v").alias("video"), F.col("id").alias("frame_idx"), F.lit(20).alias("h"), F.lit(30).alias("w"), F.lit(bytearray(range(200)) * 9).alias("data"))
+    corners = F.expr("array(array(2D, 3D), array(25D, 3D), array(25D, 17D), array(2D, 17D))")
+    asked = frames.select("video", "frame_idx", F.explode(F.array(F.lit(0), F.lit(1))).alias("tag"), corners.alias("corners"))
+    cut = crops.crops(crops.tiles(frames, 8), asked, 8)
+    plan = lambda df: df._jdf.queryExecution().executedPlan().toString()
+    assert "Broadcast" not in plan(cut) and "SortMergeJoin" in plan(cut)
+    q26, q27 = (query(spark, "/root/testdata/sf0.001") for query in (queries.q26, queries.q27))
+    assert "Broadcast" not in plan(q26) and "BroadcastHashJoin" not in plan(q27)
+    want = sorted(map(tuple, cut.collect()))
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "5")  # a tag's tiles come in two batches
+    try:
+        assert sorted(map(tuple, crops.crops(crops.tiles(frames, 8), asked, 8).collect())) == want and len(want) == 80
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+
+
+def test_pictures_are_dealt_to_many_tasks(spark):
+    """One small file of numbers is one task; the pixels made from it are not."""
+    made = queries.pictures(spark.range(0, 400, 1, 1).select(F.lit("v").alias("video"), F.col("id").alias("frame_idx")))
+    assert made.select(F.spark_partition_id().alias("p")).distinct().count() > 8 and made.count() == 400
+
+
 def test_measures_agree(spark):
     """Colors, turns, gray levels and edges of arrays in tasks and of pixels as rows or expressions are the same."""
     rng = np.random.default_rng(8)
