@@ -245,9 +245,17 @@ def picture(n: int, h: int = 24, w: int = 32) -> np.ndarray:
     return out.astype(np.uint8)
 
 
+def dealt(rows: DataFrame, *keys: str) -> DataFrame:
+    """Rows of a small file, which is one task, as several tasks for each core."""
+    return rows.repartition(4 * rows.sparkSession.sparkContext.defaultParallelism, *keys)
+
+
 def pictures(numbers: DataFrame) -> DataFrame:
-    """numbers: video, frame_idx -> also h, w, data."""
-    rows = numbers.select("video", "frame_idx", F.lit(24).alias("h"), F.lit(32).alias("w"))
+    """numbers: video, frame_idx -> also h, w, data.
+
+    A few bytes of numbers become many of pixels, so they are dealt to several tasks for each core before.
+    """
+    rows = dealt(numbers, "video", "frame_idx").select("video", "frame_idx", F.lit(24).alias("h"), F.lit(32).alias("w"))
     return crops.mapped(rows, "data binary", lambda row: [picture(row["frame_idx"]).tobytes()])
 
 
@@ -266,7 +274,7 @@ def tag_corners(k: F.Column) -> list[F.Column]:
 def q26(spark: SparkSession, d: str) -> DataFrame:
     """Crops of one tag in the picture of every part, from tiles of 16 x 16 pixels: sums of their levels, color and turn."""
     p = read_parquet(spark, d, "part").select(F.lit("v").alias("video"), F.col("p_partkey").alias("frame_idx"))
-    tags = p.select("video", "frame_idx", F.col("frame_idx").alias("tag"), geometry.corners(*tag_corners(F.col("frame_idx"))).alias("corners"))
+    tags = dealt(p, "frame_idx").select("video", "frame_idx", F.col("frame_idx").alias("tag"), geometry.corners(*tag_corners(F.col("frame_idx"))).alias("corners"))
     cut = crops.crops(crops.tiles(pictures(p), 16), tags, 16)
     summed = crops.mapped(cut, "blue long, green long, red long, checked long", level_sums)
     return summed.select(F.col("tag").alias("p_partkey"), "h", "w", "blue", "green", "red", "checked", "color", "quarters")
@@ -280,11 +288,11 @@ def q27(spark: SparkSession, d: str) -> DataFrame:
     seen = p.select(video, k.alias("track_id"), k.alias("k"), F.explode(F.sequence(F.lit(0), F.lit(1))).alias("n"))
     left, top, right, bottom = tag_corners(F.col("k"))
     boxes = seen.select("video", "track_id", (F.floor(F.col("k") / 4) + F.col("n")).alias("frame_idx"), (F.col("k") * 2 + F.col("n")).alias("box_idx"), F.lit(0.9).alias("conf"), (50.0 + F.when(F.col("n") == 0, F.col("k") % 7).otherwise(F.col("k") * 3 % 7)).alias("sharpness"), left.alias("x1"), top.alias("y1"), right.alias("x2"), bottom.alias("y2"))
-    frames = pictures(boxes.select("video", "frame_idx").distinct().where("frame_idx % 11 <> 0"))
+    frames = boxes.select("video", "frame_idx").distinct().where("frame_idx % 11 <> 0")
     videos = p.select(video, F.lit(25.0).alias("fps")).distinct()
     line = lambda t, x: F.struct(geometry.corners(F.lit(x - 1.0), F.lit(0.0), F.lit(x + 1.0), F.lit(2.0)).alias("bbox"), t.alias("text"))
     found = p.select(video, k.alias("track_id"), F.concat(F.lit("p1="), k.cast("string"), F.lit(".5;barcode="), k.cast("string")).alias("qr_data"), F.lit(None).cast("array<array<double>>").alias("qr_bbox"), F.array(line(F.col("p_brand"), 1.0), line((k % 900 + 100).cast("string"), 30.0)).alias("ocr_text"))
-    return pipeline.price_tags(boxes, frames, videos, found, tiles=crops.tiles(frames, 16), side=16)
+    return pipeline.price_tags(boxes, frames, videos, found, tiles=crops.tiles(pictures(frames), 16), side=16)
 
 
 def q28(spark: SparkSession, d: str) -> DataFrame:
