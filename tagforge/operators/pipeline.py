@@ -50,7 +50,7 @@ def with_frames(wanted: DataFrame, frames: DataFrame) -> DataFrame:
     Frames that aren't wanted are left out where they are read, so their pixels don't move, however many are wanted.
     """
     few = only_listed(frames, wanted, ["video", "frame_idx"]) if len(frames.columns) > 2 else frames
-    return wanted.join(few, ["video", "frame_idx"])
+    return wanted.join(few.hint("merge"), ["video", "frame_idx"])  # Spark can't tell how large pixels are
 
 
 def keyframes(boxes: DataFrame, frames: DataFrame, videos: DataFrame) -> DataFrame:
@@ -71,7 +71,7 @@ def oriented(tags: DataFrame, mode: str, turns: DataFrame | None = None, image:
         rows = tags.withColumn("quarters", F.when(h > w, 3).otherwise(0))
     elif turns is not None:
         by_image = turns.groupBy(F.col(image)).agg(F.min("quarters").cast("int").alias("quarters"))
-        rows = tags.drop("quarters").join(by_image, image, "left").withColumn("quarters", F.coalesce("quarters", F.lit(0)))
+        rows = tags.drop("quarters").join(by_image.hint("merge"), image, "left").withColumn("quarters", F.coalesce("quarters", F.lit(0)))
     elif "quarters" in tags.columns:
         rows = tags.withColumn("quarters", F.coalesce("quarters", F.lit(0)))
     else:
@@ -136,12 +136,12 @@ def price_tags(
         tags = tags.withColumn("warped_image", text.crop_path(folder_of(crops, F.col("video")), F.col("timestamp_ms"), F.col("tag_ord"), F.coalesce(usable, F.lit(False))))
         if tiles is not None:
             seen = pixels.crops(tiles, tags.withColumnRenamed("tag_ord", "tag"), side, pixels_too=False)
-            tags = tags.join(seen.select("video", "frame_idx", F.col("tag").alias("tag_ord"), "color", "quarters"), ["video", "frame_idx", "tag_ord"], "left")
+            tags = tags.join(seen.select("video", "frame_idx", F.col("tag").alias("tag_ord"), "color", "quarters").hint("merge"), ["video", "frame_idx", "tag_ord"], "left")
         return kept(tags, "tags")
 
     tags = run("crop", share("crop"), share("orient"), with_crops)
     read = found.drop("color") if tiles is not None else found
-    tags = tags.join(read, ["video", "track_id"], "left")
+    tags = tags.join(read.hint("merge"), ["video", "track_id"], "left")  # as many rows as tags: not through the driver
     # a tag too small for an image has nothing that is read from one
     tags = tags.withColumns({c: F.when(F.col("warp_w").isNotNull(), F.col(c)) for c in ("color", "qr_data", "qr_bbox", "ocr_text")})
     tags = oriented(tags, orientation, turns)
