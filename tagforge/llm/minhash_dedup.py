@@ -183,26 +183,25 @@ def near_groups(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
     text = F.col("text").cast("string")
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"), F.xxhash64(text).alias("of_text"))
     signs = staged(rows.mapInArrow(signatures(k), "doc_id long, of_text long, n_shingles long, set1 long, set2 long, bands array<long>, packed binary"), "op2-signs")
-    # every set is a node, whatever documents hold it; its text and signature are those of one row
-    one = signs.where("doc_id is not null and n_shingles > 0").groupBy("set1", "set2").agg(F.min(F.struct("doc_id", "of_text")).alias("x"), F.max("n_shingles").alias("size"))
-    one = staged(one.select("set1", "set2", F.col("x.doc_id").alias("first"), F.col("x.of_text").alias("of_text"), "size", F.monotonically_increasing_id().alias("doc")), "op2-sets")  # joined from an exchange of its own, so that a hot set can be split
+    # every set is a node, whatever documents hold it; its text is that of one row, its signature that of all of them
+    sets = signs.where("doc_id is not null and n_shingles > 0").groupBy("set1", "set2")
+    one = sets.agg(F.min(F.struct("doc_id", "of_text")).alias("x"), F.max("n_shingles").alias("size"), F.first("bands").alias("bands"), F.first("packed").alias("packed"))
+    one = staged(one.select("set1", "set2", F.col("x.doc_id").alias("first"), F.col("x.of_text").alias("of_text"), "size", "bands", "packed", F.monotonically_increasing_id().alias("doc")), "op2-sets")  # joined from an exchange of its own, so that a hot set can be split
     classes = staged(signs.select("doc_id", "n_shingles", "set1", "set2").join(one.select("set1", "set2", "doc"), ["set1", "set2"], "left").select("doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("doc")).alias("doc")), "op2-classes")
     nodes = one.select(F.col("first").alias("doc_id"), "of_text", "doc")
-    reps = staged(signs.join(nodes, ["doc_id", "of_text"]).groupBy("doc").agg(F.first("bands").alias("bands"), F.first("packed").alias("packed")), "op2-reps")
     # the texts of a repeated id are one document
     several = classes.where("doc_id is not null and doc is not null").groupBy("doc_id").agg(F.min("doc").alias("a"), F.max("doc").alias("z")).where("a < z")
     same_id = classes.where("doc is not null").join(several.select("doc_id", "a"), "doc_id").where("a < doc").select("a", F.col("doc").alias("b")).distinct()
 
-    members = reps.select("doc", F.explode("bands").alias("key"))
+    members = one.select("doc", F.explode("bands").alias("key"))
     hubs = members.groupBy("key").agg(F.min(F.struct(F.xxhash64("doc", "key").alias("h"), F.col("doc").alias("hub"))).alias("low"), F.min("doc").alias("d0"), F.max("doc").alias("d1")).where("d0 < d1")
     member_hub = staged(members.join(hubs.select("key", "low.hub"), "key").select("key", "doc", "hub"), "op2-hubs")
 
     # Texts of the candidates only, from one exchange of the table.
     wanted = nodes.join(member_hub.select("doc").distinct(), "doc")
     candidates = staged(rows.where("doc_id is not null and text is not null").join(wanted, ["doc_id", "of_text"]).groupBy("doc").agg(F.min("text").alias("text")), "op2-texts")
-    packed = reps
     pairs = member_hub.where("doc <> hub").select(F.least("doc", "hub").alias("a"), F.greatest("doc", "hub").alias("b")).distinct()
-    pairs = pairs.join(packed.select(F.col("doc").alias("a"), F.col("packed").alias("pa")), "a").join(packed.select(F.col("doc").alias("b"), F.col("packed").alias("pb")), "b")
+    pairs = pairs.join(one.select(F.col("doc").alias("a"), F.col("packed").alias("pa")), "a").join(one.select(F.col("doc").alias("b"), F.col("packed").alias("pb")), "b")
     s = percent / 100
     least = s - SLACK * (s * (1 - s) / N) ** 0.5
     likely = pairs.select("a", "b", "pa", "pb").mapInArrow(estimates, "a long, b long, similarity double").where(F.col("similarity") >= least).select("a", "b")

@@ -161,6 +161,27 @@ def test_components(spark):
     assert {tuple(r) for r in components.components(spark.createDataFrame(links, "a long, b long")).collect()} == want
 
 
+@pytest.mark.parametrize("last", [0, 90, components.LAST_LINKS])
+def test_components_last_links(spark, last):
+    """Rounds of stars alone, rounds and a last task, a last task alone: the same components."""
+    links = [(i, i + 1) for i in range(0, 120)] + [(1000, 1001 + i) for i in range(50)] + [(2000 - i, 1999 - i) for i in range(0, 40, 2)] + [(7, 7), (-5, 3000)]
+    want = {(i, 0) for i in range(121)} | {(1000 + i, 1000) for i in range(51)} | {(x, 1999 - i) for i in range(0, 40, 2) for x in (2000 - i, 1999 - i)} | {(-5, -5), (3000, -5)}
+    df = spark.createDataFrame(links, "a long, b long").repartition(5)
+    assert sorted(map(tuple, components.components(df, last=last).collect())) == sorted(want)
+    assert components.components(df.limit(0), last=last).count() == 0
+
+
+def test_near_dedup_jobs(spark, docs):
+    """What the driver holds goes with the jobs of a session, however small they are: rounds over small graphs are not run."""
+    spark.sparkContext.setJobGroup("near", "near_dedup")
+    try:
+        minhash_dedup.near_dedup(docs).count()
+    finally:
+        spark.sparkContext._jsc.clearJobGroup()
+    jobs = len(spark.sparkContext.statusTracker().getJobIdsForGroup("near"))
+    assert 0 < jobs < 80
+
+
 def test_op3_brute_force(spark):
     rng = np.random.default_rng(2)
     rows = [(i, rng.integers(-3, 4, 8).astype(float).tolist()) for i in range(400)]
